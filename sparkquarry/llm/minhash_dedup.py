@@ -8,18 +8,25 @@ one shingle, one without words is the empty set, which is linked with nothing).
    folded into band keys, and all samples into an *odd sketch*: a parity bitmap
    in which each (sample number, sample) flips one bit.
 2. Equal sets are one class, represented by the smallest doc_id.
-3. Representatives that share a band key are compared with the smallest of the
-   key's members: one pair a member and key, never all pairs. The exclusive or
-   of two odd sketches has a population count from which the number of
-   differing samples, and so the similarity, is estimated; pairs clearly below
-   the threshold go.
-4. What remains is confirmed on the full sets.
-5. Links make components. Members of a key that are still in different
-   components are then compared in blocks, again by sketch first, so no link
-   between candidates is lost; confirmed ones join the components.
+3. Representatives that share a band key are compared with one leader of the
+   key, never with each other: first with its smallest doc_id; those whose
+   sketch is too far from that, in two more rounds, with one drawn by a hash of
+   key and doc_id. The exclusive or of two odd sketches has a population count
+   from which the number of differing samples, and so the similarity, is
+   estimated; pairs clearly below the threshold go.
+4. What remains is a ball of candidates around each leader. Links to the leader
+   are confirmed on the full sets. Those of a ball that are not linked to it may
+   still be linked to each other or to linked ones: they are compared in blocks,
+   by distance to the leader (the Jaccard distance keeps the triangle
+   inequality), size and sketch first and then on the full sets, until they are
+   joined. Only links that join something leave a block.
+5. Links make components.
 
 With 32 bands of 4 rows a pair at the threshold of 0.8 shares no key with a
-probability of 5e-8.
+probability of 5e-8, and 13 keys on average, each with a leader of its own.
+The sets of candidates are built from a second reading of the documents, of
+which a bitmap of fixed size (``FILTER_BITS``) lets only candidates and a few
+others through, so that texts are not shuffled.
 
 Edge cases: null text and text without words have the empty set (n_shingles 0,
 own component, kept). Rows that repeat a doc_id are one document (the row with
@@ -32,7 +39,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +47,10 @@ from . import scratch
 from .components import connected_components
 from .textkernel import U64, long_lists, mix, shingles, signed, slices, span_hash, text_buffer, word_bounds
 
-BANDS, ROWS, SKETCH_BITS = 32, 4, 256
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, o0 long, o1 long, o2 long, o3 long"
-ODD = ("o0", "o1", "o2", "o3")
-#: Members of a band key in a block when what is left of it is compared pair by pair.
-BLOCK = 256
+BANDS, ROWS, SKETCH_BITS, FILTER_BITS, ROUNDS = 32, 4, 1024, 22, 3
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, odd array<long>"
+#: Members of a ball in a block.
+BLOCK = 512
 
 
 def _distinct(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +84,9 @@ def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def most_flips(similarity: float, samples: int, bits: int) -> int:
-    """Population count above which a pair of sketches is given up: where the estimate is six deviations below ``similarity``."""
-    differing = samples * (1 - similarity) + 6 * (samples * similarity * (1 - similarity)) ** 0.5
-    return int(bits / 2 * (1 - np.exp(-4 * differing / bits)) + 6 * (bits / 4) ** 0.5 * 0.5)
+    """Population count above which a pair of sketches is given up: where the estimate is five deviations of the samples below ``similarity``."""
+    differing = samples * (1 - similarity) + 5 * (samples * similarity * (1 - similarity)) ** 0.5
+    return int(np.ceil(bits / 2 * (1 - np.exp(-4 * differing / bits))))
 
 
 def estimated_similarity(flips: float, samples: int, bits: int) -> float:
@@ -117,62 +122,109 @@ def _sketches(k: int, bands: int, rows: int):
                         keys[:, x] = key
                 ends_of = np.concatenate([[0], np.cumsum((size > 0) * bands)])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(signed(sums[0])), pa.array(signed(sums[1])), long_lists(signed(keys.ravel()), ends_of), *(pa.array(signed(np.ascontiguousarray(odd[:, w]))) for w in range(len(ODD)))],
+                    [ids.slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(signed(sums[0])), pa.array(signed(sums[1])), long_lists(signed(keys.ravel()), ends_of), long_lists(signed(odd.ravel()), np.arange(len(size) + 1) * odd.shape[1])],
                     names=[x.split()[0] for x in SKETCH.split(", ")],
                 )
 
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, wanted: np.ndarray):
+    """Sorted shingle sets of the documents whose hash has its bit set in ``wanted``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = batch.column(2).to_numpy().view(U64) & U64((1 << FILTER_BITS) - 1)
+            batch = batch.filter(pa.array((wanted[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1))
             buf, offs = text_buffer(batch.column(1))
             for i, j in slices(offs):
                 b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 starts, ends, first = word_bounds(b, o)
                 h, begin = _distinct(*shingles(span_hash(b, starts, ends, lower=True), first, k, short=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), long_lists(signed(h), begin)], names=["doc_id", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), long_lists(signed(h).view(np.int64), begin)], names=["doc_id", "members"])
 
     return run
 
 
-def _flips(a: str, b: str):
-    return sum(F.bit_count(F.col(f"{a}.{o}").bitwiseXOR(F.col(f"{b}.{o}"))) for o in ODD)
+def _wanted_bits(ids: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` bits that has the hashes of the ids; its size does not grow with them."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    words = ids.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words.w.to_numpy().astype(np.int64)] = words.m.to_numpy()
+    return out.view(U64)
+
+
+def _flips(x: str, y: str):
+    n = SKETCH_BITS // 64
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, n)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+
+
+def _leaders(members: DataFrame, drawn: bool) -> DataFrame:
+    """(key, doc_id, b): the members of each key of two or more with its leader, leaders themselves left out."""
+    pick = F.min_by("doc_id", F.xxhash64("key", "doc_id")) if drawn else F.min("doc_id")
+    led = members.groupBy("key").agg(pick.alias("b"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key", "b")
+    return members.join(led, "key").filter("doc_id <> b")
+
+
+def _balls(members: DataFrame, light: DataFrame, limit: int, percent: int) -> list[DataFrame]:
+    """Tables (a, b, flips) of members a and leaders b that may be linked, one table a round."""
+    out = []
+    for r in range(ROUNDS):
+        led, _ = scratch.cut(_leaders(members, drawn=r > 0), "led")
+        pairs = led.select(F.col("doc_id").alias("a"), "b").distinct()
+        pairs = pairs.join(light.select(F.col("doc_id").alias("a"), F.struct("n_shingles", "odd").alias("x")), "a").join(light.select(F.col("doc_id").alias("b"), F.struct("n_shingles", "odd").alias("y")), "b")
+        near = (F.col("flips") <= limit) & F.col("sized")
+        sized = F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent
+        judged, _ = scratch.cut(pairs.select("a", "b", _flips("x.odd", "y.odd").alias("flips"), sized.alias("sized")).select("a", "b", near.alias("near")), "judged")
+        out.append(judged.filter("near").select("a", "b"))
+        if r + 1 < ROUNDS:
+            far = judged.filter("not near").select(F.col("a").alias("doc_id"), "b")
+            members = led.join(far, ["doc_id", "b"], "left_semi").select("key", "doc_id")
+    return out
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the similarity, as (a, b, shared, united)."""
-    pairs, path = scratch.cut(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, members array<long>")
-    # of rows that repeat a doc_id the one with the largest set counts
-    sets = sets.groupBy("doc_id").agg(F.max_by("members", F.struct(F.size("members"), F.col("members"))).alias("members"))
-    x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
-    x = x.select("a", "b", F.size(F.array_intersect("ma", "mb")).cast("long").alias("shared"), (F.size("ma") + F.size("mb")).cast("long").alias("both"))
-    return x.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("united")).filter(F.col("shared") * 100 >= F.col("united") * percent)
-
-
-def _across(limit: int, percent: int):
-    """Pairs of one block pair that lie in different components and whose sizes and sketches allow a link."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        left, right = (pdf[pdf.block == i], pdf[pdf.block == j])
-        ow = [pdf[o].to_numpy().view(np.uint64) for o in ODD]
-        li, ri = left.index.to_numpy(), right.index.to_numpy()
-        doc, comp, n = pdf.doc_id.to_numpy(), pdf.component.to_numpy(), pdf.n_shingles.to_numpy()
-        ok = comp[li][:, None] != comp[ri][None, :]
-        a, b = n[li][:, None], n[ri][None, :]
-        ok &= np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
-        if i == j:
-            ok &= doc[li][:, None] < doc[ri][None, :]
-        flips = np.zeros(ok.shape, np.int64)
-        for w in ow:
-            flips += np.bitwise_count(w[li][:, None] ^ w[ri][None, :])
-        x, y = np.nonzero(ok & (flips <= limit))
-        p, q = doc[li][x], doc[ri][y]
-        return pd.DataFrame({"a": np.maximum(p, q), "b": np.minimum(p, q)})
+def _joined_in_block(limit: int, percent: int):
+    """Links between the members of two blocks of a ball, of which at least one is not linked to the leader."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+        doc, n, linked, away = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "linked", "away"))
+        odd = np.stack(table.column("odd").to_numpy()).view(U64)
+        members = table.column("members").to_numpy()
+        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        root = {-1: -1}  # -1: the leader and what is linked to it
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x in np.flatnonzero(linked).tolist():
+            root[x] = -1
+        links = []
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            ok = ~(linked[rows][:, None] & linked[right][None, :])
+            if i[0] == j[0]:
+                ok &= doc[rows][:, None] < doc[right][None, :]
+            ok &= np.abs(away[rows][:, None] - away[right][None, :]) <= 1 - percent / 100 + 1e-9
+            ok &= np.minimum(n[rows][:, None], n[right][None, :]) * 100 >= np.maximum(n[rows][:, None], n[right][None, :]) * percent
+            x, y = np.nonzero(ok)
+            x, y = rows[x], right[y]
+            flips = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1)
+            near = flips <= limit
+            x, y, flips = x[near], y[near], flips[near]
+            for k in np.argsort(flips, kind="stable").tolist():
+                a, b = int(x[k]), int(y[k])
+                if find(a) != find(b):
+                    shared = len(np.intersect1d(members[a], members[b], assume_unique=True))
+                    if shared * 100 >= (n[a] + n[b] - shared) * percent:
+                        links.append((max(doc[a], doc[b]), min(doc[a], doc[b])))
+                        a, b = find(a), find(b)
+                        root[max(a, b)] = min(a, b)
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return run
 
@@ -183,39 +235,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Two documents are linked if 100 * shared shingles >= percent * united shingles.
     """
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    raw = docs.mapInArrow(_sketches(k, bands, rows), SKETCH)
-    sketches, _ = scratch.cut(raw, "sketches")
+    sketches, _ = scratch.cut(docs.mapInArrow(_sketches(k, bands, rows), SKETCH), "sketches")
     one = ["n_shingles", "set_a", "set_b"]
+    # of rows that repeat a doc_id the one with the largest set counts
     sets = sketches.groupBy("doc_id").agg(F.max(F.struct(*one)).alias("s")).select("doc_id", "s.*")
     filled = F.col("n_shingles") > 0
-    classes = sets.filter(filled).groupBy(*one).agg(F.min("doc_id").alias("rep"))
-    reps = sketches.filter(filled).join(classes, one).filter("doc_id = rep").drop("rep").dropDuplicates(["doc_id"])
-    reps, _ = scratch.cut(reps, "reps")
-    members = reps.select("doc_id", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).filter("b < top").select("key", "b")
-    starry = members.join(shared, "key")
-    starry, _ = scratch.cut(starry, "buckets")
+    classes, _ = scratch.cut(sets.filter(filled).groupBy(*one).agg(F.min("doc_id").alias("rep")), "classes")
+    reps = sketches.join(classes.select(F.col("rep").alias("doc_id"), *one), ["doc_id", *one], "left_semi").dropDuplicates(["doc_id"])
+    reps, _ = scratch.cut(reps.select("doc_id", "n_shingles", "keys", "odd"), "reps")
     limit = most_flips(percent / 100, bands * rows, SKETCH_BITS)
-    light = reps.select("doc_id", F.struct("n_shingles", *ODD).alias("s"))
-    pairs = starry.filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    pairs = pairs.join(light.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(light.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    near = (_flips("x", "y") <= limit) & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent)
-    links, _ = scratch.cut(_confirmed(pairs.filter(near).select("a", "b"), docs, k, percent).select("a", "b"), "links")
-    comps, _ = scratch.cut(connected_components(links), "comps")
-    # members of a key that are still apart
-    placed = starry.select("key", "doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    left = placed.join(apart, "key").join(light, "doc_id").select("key", "doc_id", "component", "blocks", "s.*", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = left.select("*", other.alias("o")).select("key", "doc_id", "component", "n_shingles", *ODD, "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    more = left.groupBy("key", "i", "j").applyInPandas(_across(limit, percent), "a long, b long").distinct()
-    more = _confirmed(more, docs, k, percent).select("a", "b")
-    more, _ = scratch.cut(more, "links")
-    if not more.isEmpty():
-        comps, _ = scratch.cut(connected_components(links.union(more)), "comps")
-    rep_comp = sets.join(classes, one, "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return rep_comp.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    light = reps.select("doc_id", "n_shingles", "odd")
+    rounds = _balls(reps.select("doc_id", F.explode("keys").alias("key")), light, limit, percent)
+    balls = rounds[0]
+    for more in rounds[1:]:
+        balls = balls.union(more)
+    balls, _ = scratch.cut(balls.distinct(), "balls")
+    wanted = balls.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    full = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(_sets(k, _wanted_bits(wanted)), "doc_id long, members array<long>")
+    full = full.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("members", F.struct(F.size("members"), F.col("members"))).alias("members"))
+    full, _ = scratch.cut(full, "sets")
+    # each member with its leader
+    both = balls.join(full.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    measured = both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("sizes")).select("a", "b", (F.col("shared") * 100 >= (F.col("sizes") - F.col("shared")) * percent).alias("linked"), (1 - F.col("shared") / (F.col("sizes") - F.col("shared"))).alias("away"))
+    measured, _ = scratch.cut(measured, "measured")
+    # members of a ball that are not linked to its leader
+    cut = measured.groupBy("b").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("loose")).filter("loose > 0 and n > 1")
+    cut = cut.select("b", F.ceil(F.col("loose") / BLOCK).cast("int").alias("loose_blocks"), F.ceil((F.col("n") - F.col("loose")) / BLOCK).cast("int").alias("linked_blocks"))
+    own = F.pmod(F.xxhash64("a"), F.when(F.col("linked"), F.col("linked_blocks")).otherwise(F.col("loose_blocks"))).cast("int")
+    # loose blocks are 0 to loose_blocks - 1, linked ones lie behind; a pair of blocks has a loose one
+    met = measured.join(cut, "b").withColumn("block", F.when(F.col("linked"), F.col("loose_blocks") + own).otherwise(own))
+    others = F.when(F.col("linked"), F.sequence(F.lit(0), F.col("loose_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("loose_blocks") + F.col("linked_blocks") - 1))
+    met = met.select("b", F.col("a").alias("doc_id"), "linked", "away", "block", F.explode(others).alias("o")).select("b", "doc_id", "linked", "away", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    met = met.join(light, "doc_id").join(full, "doc_id")
+    more = met.groupBy("b", "i", "j").applyInArrow(_joined_in_block(limit, percent), "a long, b long")
+    comps = connected_components(measured.filter("linked").select("a", "b").union(more))
+    placed = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*one, F.coalesce("component", "rep").alias("component"))
+    component = F.coalesce("component", "doc_id")
+    return sets.join(placed, one, "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def op2_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
