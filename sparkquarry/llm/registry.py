@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup
+from . import binary_records, containment, line_quality, minhash_dedup, packing, secret_scan
 
-QUERIES = {"op2_minhash_odd_sketch": minhash_dedup.op2_minhash_odd_sketch}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_line_crf": line_quality.op1_line_crf,
+    "op2_minhash_odd_sketch": minhash_dedup.op2_minhash_odd_sketch,
+    "op3_binary_records": binary_records.op3_binary_records,
+    "op7_secret_cnn": secret_scan.op7_secret_cnn,
+    "op9_containment": containment.op9_containment,
+    "op10_harmonic_packing": packing.op10_harmonic_packing,
+}
+ORACLES: dict[str, str] = {"op9_containment": containment.ORACLE}

@@ -7,8 +7,10 @@ tests on one machine, a folder under the warehouse directory is used.
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,6 +33,11 @@ def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """(file system, path) of a URI as Spark writes it; ``file:/x`` is the same as ``file:///x``."""
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
+
 def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
