@@ -82,7 +82,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-_WORDS = "list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+_WORDS = "[x for x in regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+') if x <> '']"
 ORACLE = f"""
 with d as (select doc_id, {_WORDS} as w from documents where doc_id is not null and text is not null),
 i as (select item_id, {_WORDS} as w from benchmark where item_id is not null and text is not null),
