@@ -1,26 +1,29 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney bigram models, of toxic and of ordinary text, share
-their lowest order: the continuation distribution, which counts for each word
-how many kinds of context it follows in the whole corpus. A word's evidence is
-the difference of its log-likelihoods under the two models:
-
-    P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v) + (1 - mass) * P_c(w)
-    P_c(w)     = max(n_c(w) - D, 0) / n_c + (1 - mass) * P_cont(w)
-
-Rare words fall back to the shared P_cont in both models and give no evidence.
-A document is described by its mean evidence a word and by the largest mean over
-any ``SPAN`` consecutive words (or all, if it has fewer), so that a few abusive
-words in a long text are not averaged away. A logistic unit turns both into a
-score between 0 and 1; it is fitted on labelled documents held out from the
-counts (crc32 of the id modulo 4 equal to ``FIT_FOLD``), at most
-``FIT_DOCUMENTS`` of them (smallest hash of the id).
-
-Tables have a fixed size whatever the corpus: words are counted in ``WORDS``
-hash slots (exact counts a slot, words sharing one are summed), contexts in 64
+Two interpolated Kneser-Ney models, of toxic and of ordinary text, with the
+orders bigram, word, beginning of the word (``STEMS`` bytes: six, then four) and
+last the shared continuation distribution of the shortest beginnings, which
+counts the kinds of context that each follows in the whole corpus:
+
+    P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v) + rest * P_c(w)
+    P_c(x)     = max(n_c(x) - D, 0) / n_c + rest * P_c(stem of x) * n(x) / n(stem of x)
+
+with discounts D for counts of one, two and more. How a stem's probability is
+shared out to its words, n(x) / n(stem), and the rest are counts over all
+documents, the same in both models, so a rare word has the evidence of its stem
+and no more. A word's evidence is the difference of its log-likelihoods; words
+that a document repeats count once. A document is described by its mean evidence
+a word and by the largest mean over any ``SPAN`` consecutive words (or all, if it
+has fewer), so that a few abusive words in a long text are not averaged away. A
+logistic unit turns both into a score between 0 and 1; it is fitted on labelled
+documents held out from the counts (crc32 of the id modulo 4 equal to
+``FIT_FOLD``), at most ``FIT_DOCUMENTS`` of them (smallest hash of the id).
+
+Tables have a fixed size whatever the corpus: words and stems are counted in
+``SLOTS`` hash slots an order (those sharing a slot are summed), contexts in 64
 classes a slot, and bigrams are kept where the toxic text has them ``LEAST``
 times or more, at most the ``BIGRAMS`` most frequent ones. All labelled rows
-outside the held-out fold count, and all rows count for contexts.
+outside the held-out fold count, and all rows count for what is shared.
 
 Labels are read from rows with crc32(doc_id as text) mod 4 <> 2 alone. A
 repeated label of one document counts as toxic if any is.
@@ -34,7 +37,7 @@ classes every score is the share of toxic labels (0 if there are none).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,30 +47,26 @@ from pyspark.sql import functions as F
 from . import scratch
 from .textkernel import U64, mix, signed, slices, span_hash, text_buffer, word_bounds
 
-WORDS, BIGRAMS, LEAST = 1 << 18, 200_000, 3
-SPAN, HELD_OUT, FIT_FOLD, FIT_DOCUMENTS, THRESHOLD = 16, 2, 0, 6000, 0.3
-DISCOUNT = 0.75
+SLOTS, STEMS, BIGRAMS, LEAST = 1 << 18, (6, 4), 200_000, 3
+SPAN, HELD_OUT, FIT_FOLD, FIT_DOCUMENTS, THRESHOLD = 8, 2, 0, 6000, 0.3
+DISCOUNTS = (0.0, 0.95, 1.3, 1.6)
+ORDERS = 1 + len(STEMS)
 
 
 def _fold(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4, F.lit(-1))
 
 
-def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(word hashes, slots of words and of their stems, first words): words in lower case without marks at their ends."""
     starts, ends, first = word_bounds(buf, offs)
-    h = _plain_hash(buf, starts, ends)
-    return h, first
-
-
-def _plain_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the words in lower case without marks at their ends."""
     starts, ends = starts.copy(), ends.copy()
-    for _ in range(3):
-        more = (ends - starts > 1) & _MARK[buf[ends - 1]] if len(ends) else np.zeros(0, bool)
-        ends -= more
-        more = (ends - starts > 1) & _MARK[buf[starts]] if len(ends) else np.zeros(0, bool)
-        starts += more
-    return span_hash(buf, starts, ends, lower=True)
+    for _ in range(3 if len(ends) else 0):
+        ends -= (ends - starts > 1) & _MARK[buf[ends - 1]]
+        starts += (ends - starts > 1) & _MARK[buf[starts]]
+    h = span_hash(buf, starts, ends, lower=True)
+    slots = [_slot(h)] + [_slot(span_hash(buf, starts, np.minimum(ends, starts + n), lower=True)) for n in STEMS]
+    return h, slots, first
 
 
 _MARK = np.zeros(256, bool)
@@ -75,7 +74,7 @@ _MARK[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h & U64(WORDS - 1)).astype(np.int64)
+    return (h & U64(SLOTS - 1)).astype(np.int64)
 
 
 def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,69 +89,88 @@ def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         buf, offs = text_buffer(batch.column(0))
         for i, j in slices(offs):
-            _, keys = _pairs(*_words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+            h, _, first = _words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            _, keys = _pairs(h, first)
             keys, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
-COUNTS = "slot int, toxic long, ordinary long, contexts long"
+COUNTS = "slot int, toxic long, ordinary long, every long, contexts long"
 
 
 def _word_counts(kept: np.ndarray):
-    """Sparse rows of one worker: words' counts and context classes by slot, then the kept bigrams' counts at slots behind them."""
+    """Sparse rows of one worker: counts of each order by slot, behind them the kept bigrams; contexts for the lowest order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = WORDS + len(kept)
-        n = np.zeros((2, size), np.int64)
-        contexts = np.zeros(WORDS, U64)
+        size, low = ORDERS * SLOTS + len(kept), (ORDERS - 1) * SLOTS
+        n = np.zeros((3, size), np.int64)
+        contexts = np.zeros(size, U64)
         for batch in batches:
             label = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
             buf, offs = text_buffer(batch.column(0))
             for i, j in slices(offs):
-                h, first = _words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                slot, of = _slot(h), np.repeat(label[i:j], np.diff(first))
+                h, slots, first = _words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                of = np.repeat(label[i:j], np.diff(first))
                 at, keys = _pairs(h, first)
                 bits = U64(1) << (h[at - 1] >> U64(58))
-                order = np.argsort(slot[at], kind="stable")
-                s = slot[at][order]
+                order = np.argsort(slots[-1][at], kind="stable")
+                s = slots[-1][at][order]
                 if len(s):
                     new = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                    contexts[s[new]] |= np.bitwise_or.reduceat(bits[order], new)
-                for c, want in ((0, 1), (1, 0)):
-                    mine = of == want
-                    if mine.any():
-                        n[c, :WORDS] += np.bincount(slot[mine], minlength=WORDS)
+                    contexts[low + s[new]] |= np.bitwise_or.reduceat(bits[order], new)
+                for c, mine in enumerate((of == 1, of == 0, None)):
+                    for o, slot in enumerate(slots):
+                        n[c, o * SLOTS : (o + 1) * SLOTS] += np.bincount(slot if mine is None else slot[mine], minlength=SLOTS)
+                    if mine is not None and len(kept) and mine.any():
                         k = keys[mine[at]]
-                        place = np.searchsorted(kept, k)
-                        ok = place < len(kept)
-                        ok[ok] = kept[place[ok]] == k[ok]
-                        n[c, WORDS:] += np.bincount(place[ok], minlength=len(kept))
-        some = np.flatnonzero((n[0] > 0) | (n[1] > 0) | np.append(contexts > 0, np.zeros(len(kept), bool)))
-        held = np.append(contexts, np.zeros(len(kept), U64))[some]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[0][some]), pa.array(n[1][some]), pa.array(signed(held))], names=[c.split()[0] for c in COUNTS.split(", ")])
+                        place = np.minimum(np.searchsorted(kept, k), len(kept) - 1)
+                        n[c, ORDERS * SLOTS :] += np.bincount(place[kept[place] == k], minlength=len(kept))
+        some = np.flatnonzero((n > 0).any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x[some]) for x in n), pa.array(signed(contexts[some]))], names=[c.split()[0] for c in COUNTS.split(", ")])
 
     return run
 
 
 @dataclass(frozen=True)
 class ToxicModel:
-    """Evidence of single words by slot, and what the kept bigrams add to it."""
+    """``high``: discounted probabilities (2 classes, orders, slots); ``every``: counts over all documents; ``cont``: the shared lowest order."""
 
-    word: np.ndarray  # WORDS, log P_toxic(w) - log P_ordinary(w)
+    high: np.ndarray
+    every: np.ndarray
+    rest: np.ndarray  # the mass that each order hands down
+    cont: np.ndarray
     pair_keys: np.ndarray  # sorted
-    pair: np.ndarray  # evidence of the second word of a kept bigram
+    pair_high: np.ndarray  # (2 classes, kept bigrams)
+    pair_rest: np.ndarray
     unit: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)  # weights of mean, largest mean, log length; offset
 
-    def features(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        h, first = _words(buf, offs)
-        e = self.word[_slot(h)]
+    def evidence(self, h: np.ndarray, slots: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+        """Log-likelihood of every word under the toxic model less that under the ordinary one."""
         at, keys = _pairs(h, first)
-        if len(self.pair_keys) and len(at):
-            place = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-            ok = self.pair_keys[place] == keys
-            e[at[ok]] = self.pair[place[ok]]
-        total = np.concatenate([[0.0], np.cumsum(e)])
+        place = np.minimum(np.searchsorted(self.pair_keys, keys), max(len(self.pair_keys) - 1, 0))
+        ok = self.pair_keys[place] == keys if len(self.pair_keys) else np.zeros(len(keys), bool)
+        out = []
+        for c in (0, 1):
+            p = self.high[c, -1][slots[-1]] + self.rest[-1] * self.cont[slots[-1]]
+            for o in range(ORDERS - 2, -1, -1):
+                share = np.minimum(self.every[o][slots[o]] / np.maximum(self.every[o + 1][slots[o + 1]], 1), 1)
+                p = self.high[c, o][slots[o]] + self.rest[o] * p * np.maximum(share, 1e-9)
+            p = np.maximum(p, 1e-30)
+            p[at[ok]] = self.pair_high[c][place[ok]] + self.pair_rest[c][place[ok]] * p[at[ok]]
+            out.append(np.log(p))
+        return np.clip(out[0] - out[1], -8, 8)
+
+    def features(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        h, slots, first = _words(buf, offs)
         n = np.diff(first)
+        e = self.evidence(h, slots, first)
+        # a word counts where a document has it first
+        own = mix(h + np.repeat(np.arange(len(n), dtype=U64), n) * U64(0xD1B54A32D192ED03))
+        _, new = np.unique(own, return_index=True)
+        seen = np.ones(len(h), bool)
+        seen[new] = False
+        e[seen] = 0
+        total = np.concatenate([[0.0], np.cumsum(e)])
         out = np.zeros((len(n), 3))
         some = n > 0
         out[some, 0] = (total[first[1:]] - total[first[:-1]])[some] / n[some]
@@ -170,23 +188,25 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.unit[:3]) + self.unit[3], -60, 60)))
 
 
-def evidence(toxic: np.ndarray, ordinary: np.ndarray, contexts: np.ndarray, pair_words: np.ndarray, pair_toxic: np.ndarray, pair_ordinary: np.ndarray, pair_histories: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word evidence, bigram evidence) of the two interpolated models."""
-    bits = np.bitwise_count(contexts).astype(float)
-    kinds = -64 * np.log1p(-np.minimum(bits, 63.5) / 64)  # distinct contexts behind the hashed classes
+def _discounted(n: np.ndarray) -> np.ndarray:
+    return np.maximum(n - np.array(DISCOUNTS)[np.minimum(n, 3).astype(np.int64)], 0)
+
+
+def build_model(counts: np.ndarray, contexts: np.ndarray, kept: np.ndarray, histories: np.ndarray) -> ToxicModel:
+    """``counts`` (toxic, ordinary, every) over the slots of all orders and then the kept bigrams, whose first words' slots are ``histories``."""
+    orders = counts[:, : ORDERS * SLOTS].reshape(3, ORDERS, SLOTS).astype(float)
+    kinds = -64 * np.log1p(-np.minimum(np.bitwise_count(contexts[(ORDERS - 1) * SLOTS : ORDERS * SLOTS]).astype(float), 63.5) / 64)  # distinct contexts behind the hashed classes
     cont = (kinds + 0.5) / (kinds + 0.5).sum()
-    single, double = [], []
-    for n, pair in ((toxic, pair_toxic), (ordinary, pair_ordinary)):
-        all_ = max(n.sum(), 1)
-        high = np.maximum(n - DISCOUNT, 0) / all_
-        low = high + (1 - high.sum()) * cont
-        single.append(np.log(low))
-        h = np.maximum(n[pair_histories], 1)
-        top = np.maximum(pair - DISCOUNT, 0) / h
-        # what the kept bigrams of a history hold stays with them; the rest goes to the lower order
-        mass = np.bincount(pair_histories, top, minlength=len(n))[pair_histories] if len(pair) else top
-        double.append(np.log(top + np.maximum(1 - mass, 0.01) * low[pair_words]))
-    return np.clip(single[0] - single[1], -8, 8), np.clip(double[0] - double[1], -8, 8)
+    total = np.maximum(orders.sum(axis=2), 1)
+    high = _discounted(orders[:2]) / total[:2, :, None]
+    both = orders[0] + orders[1]
+    rest = np.maximum(1 - _discounted(both).sum(axis=1) / np.maximum(both.sum(axis=1), 1), 1e-3)
+    pair = counts[:2, ORDERS * SLOTS :].astype(float)
+    before = np.maximum(orders[:2, 0][:, histories], 1)
+    top = np.minimum(_discounted(pair) / before, 0.99)
+    # what the kept bigrams of a history hold stays with them
+    gone = np.stack([np.bincount(histories, t, minlength=SLOTS)[histories] for t in top]) if len(kept) else top
+    return ToxicModel(high.astype(np.float32), orders[2].astype(np.float32), rest, cont, kept, top, np.maximum(1 - gone, 0.01))
 
 
 def _fit_unit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
@@ -229,15 +249,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     kept = np.sort(top.key.to_numpy().astype(np.int64).view(U64))
     sc = spark.sparkContext
     known = texts.join(counted, "doc_id", "left").select("text", "toxic")
-    sums = known.mapInArrow(_word_counts(kept), COUNTS).groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.bit_or("contexts").alias("contexts"))
-    got = sums.toPandas()  # at most WORDS + BIGRAMS rows of numbers
-    n = np.zeros((2, WORDS + len(kept)))
-    contexts = np.zeros(WORDS + len(kept), np.int64)
-    at = got.slot.to_numpy()
-    n[0, at], n[1, at], contexts[at] = got.toxic.to_numpy(), got.ordinary.to_numpy(), got.contexts.to_numpy()
-    words = _pair_words(toxic_docs, kept)
-    single, double = evidence(n[0, :WORDS], n[1, :WORDS], contexts[:WORDS].view(U64), words[:, 1], n[0, WORDS:], n[1, WORDS:], words[:, 0])
-    model = ToxicModel(single.astype(np.float32), kept, double.astype(np.float32))
+    sums = known.mapInArrow(_word_counts(kept), COUNTS).groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.sum("every").alias("every"), F.bit_or("contexts").alias("contexts"))
+    got = sums.toPandas()  # at most ORDERS * SLOTS + BIGRAMS rows of numbers
+    counts, contexts = np.zeros((3, ORDERS * SLOTS + len(kept)), np.int64), np.zeros(ORDERS * SLOTS + len(kept), np.int64)
+    at = got.slot.to_numpy().astype(np.int64)
+    for c, name in enumerate(("toxic", "ordinary", "every")):
+        counts[c, at] = got[name].to_numpy()
+    contexts[at] = got.contexts.to_numpy()
+    model = build_model(counts, contexts.view(U64), kept, _histories(toxic_docs, kept))
     chosen = marked.filter(_fold() == FIT_FOLD).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)  # two integers a row
     held = sc.broadcast(model)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_late(held), "doc_id long, mean double, most double, size double").join(chosen, "doc_id").toPandas().sort_values(["doc_id", "mean", "most"])
@@ -247,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         unit = (0.0, 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     else:
         unit = _fit_unit(rows[["mean", "most", "size"]].to_numpy(), y)
-    return ToxicModel(model.word, model.pair_keys, model.pair, unit)
+    return replace(model, unit=unit)
 
 
 def _late(held):
@@ -257,27 +276,26 @@ def _late(held):
     return run
 
 
-def _pair_words(toxic_docs: DataFrame, kept: np.ndarray) -> np.ndarray:
-    """Slots of both words of the kept bigrams (rows of ``kept``)."""
+def _histories(toxic_docs: DataFrame, kept: np.ndarray) -> np.ndarray:
+    """Slots of the first words of the kept bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.full((len(kept), 2), -1, np.int64)
+        out = np.full(len(kept), -1, np.int64)
         for batch in batches:
             buf, offs = text_buffer(batch.column(0))
             for i, j in slices(offs):
-                h, first = _words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                h, _, first = _words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 at, keys = _pairs(h, first)
-                place = np.searchsorted(kept, keys)
-                ok = place < len(kept)
-                ok[ok] = kept[place[ok]] == keys[ok]
-                out[place[ok], 0], out[place[ok], 1] = _slot(h)[at[ok] - 1], _slot(h)[at[ok]]
-        some = np.flatnonzero(out[:, 0] >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some, 0]), pa.array(out[some, 1])], names=["pair", "first", "second"])
-
-    words = np.zeros((len(kept), 2), np.int64)
+                place = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
+                ok = kept[place] == keys
+                out[place[ok]] = _slot(h)[at[ok] - 1]
+        some = np.flatnonzero(out >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], names=["pair", "first"])
+
+    words = np.zeros(len(kept), np.int64)
     if len(kept):
-        got = toxic_docs.select("text").mapInArrow(run, "pair long, first long, second long").groupBy("pair").agg(F.max("first").alias("first"), F.max("second").alias("second")).toPandas()
-        words[got.pair.to_numpy()] = got[["first", "second"]].to_numpy()
+        got = toxic_docs.select("text").mapInArrow(run, "pair long, first long").groupBy("pair").agg(F.max("first").alias("first")).toPandas()
+        words[got.pair.to_numpy()] = got["first"].to_numpy()
     return words
 
 
