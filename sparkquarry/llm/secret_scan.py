@@ -15,8 +15,9 @@ from training stays at ``RECALL`` or more. Accepted candidates are spans of kind
 
 Labelled findings: in a bounded sample of ``FIT_DOCUMENTS`` documents (those
 with the smallest hash of doc_id) and of at most ``FIT_FINDINGS`` findings in
-them (smallest hash again) the values of base spans are positive, in half of the cases with the keyword blanked, so that the network
-learns values and not only keywords. Negative are word runs, numbers, addresses
+them (smallest hash again) the values of base spans are positive, and so are they with a random value of another alphabet in their
+place; in half of the cases the keyword is blanked, so that the network learns
+values and not only keywords. Negative are word runs, numbers, addresses
 and other long runs of the same texts, and runs in ordinary words joined by
 ``-``, ``_`` or ``/``. The sample bounds training alone; the scan covers all
 texts wholly.
@@ -58,6 +59,7 @@ _CLASSES = ("AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "ae", "bcdf", "iou", "ghjklmnpqrst
 _CLASS = np.full(256, len(_CLASSES) + 1, np.int64)
 for _i, _s in enumerate(_CLASSES):
     _CLASS[[ord(c) for c in _s]] = _i + 1
+_ALPHABETS = ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789")
 N_CLASS = len(_CLASSES) + 2
 
 
@@ -167,6 +169,11 @@ def _findings(text: str, rng: np.random.Generator) -> list[tuple[np.ndarray, int
         vs = m.start(2) if m else s
         if e - vs >= LEAST_RUN:
             out.append((_window(text, vs, e, blank=vs if rng.random() < 0.5 else -1), 1))
+            # the same finding with a value of another alphabet
+            letters = list(_ALPHABETS[int(rng.integers(len(_ALPHABETS)))])
+            other = text[max(s - 40, 0) : vs] + "".join(rng.choice(letters, e - vs)) + text[e : e + 40]
+            at = vs - max(s - 40, 0)
+            out.append((_window(other, at, at + e - vs, blank=at if rng.random() < 0.5 else -1), 1))
     plain = [(m.start(), m.end()) for m in re.finditer(r"\S{10,}", text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
     for i in rng.permutation(len(plain))[:6]:
         out.append((_window(text, *plain[i]), 0))

@@ -1,0 +1,331 @@
+"""The corpus operators against plain Python forms, exact round trips or held-out accuracy."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkquarry.llm import binary_records, containment, language_id, line_quality, merkle_fixity, minhash_dedup, packing, registry, scratch, secret_scan, sparse_suffix, tokenkernel, toxicity
+
+from . import brute
+from .conftest import ROWS
+
+BY_ID = dict(ROWS)
+
+
+def ids_of(text, end):
+    t = tokenkernel.encoder(tokenkernel.default_vocabulary()).tokenizer
+    return [*t.encode(text or "", add_special_tokens=False).ids, end]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+# --- 1
+
+
+def test_line_counts(spark, small, texts, odd_docs, no_docs, null_id_docs):
+    out = registry.QUERIES["op1_line_crf"](spark, small)
+    rows = out.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert tuple(r)[1:7] == brute.base_counts(texts[r.doc_id])
+        assert not (r.kept and r.base_failed)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    open_ = [r for r in rows if not r.base_failed and r.doc_id in labels]
+    assert np.mean([r.kept == (labels[r.doc_id] == 1) for r in open_]) > 0.95
+    odd = line_quality.judge_lines(odd_docs, None).collect()
+    assert len(odd) == len(ROWS)
+    for r in odd:
+        assert tuple(r)[1:7] == brute.base_counts(BY_ID[r.doc_id])
+    assert line_quality.judge_lines(no_docs, None).count() == 0
+    assert line_quality.judge_lines(null_id_docs, None).count() == 2
+    assert line_quality.fit(no_docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")) is None
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    field = line_quality.LineField(rng.normal(size=(2, 3)), rng.normal(size=(2, 2)))
+    doc = np.repeat([0, 1, 2], [1, 6, 4])
+    x = rng.normal(size=(len(doc), 3))
+    got = field.decode(x, doc)
+    score = x @ field.emit.T
+    for d in (0, 1, 2):
+        at = np.flatnonzero(doc == d)
+        paths = [[(p >> i) & 1 for i in range(len(at))] for p in range(1 << len(at))]
+        value = lambda p: sum(score[a, s] for a, s in zip(at, p)) + sum(field.move[p[i], p[i + 1]] for i in range(len(p) - 1))
+        assert value(list(got[at])) == pytest.approx(max(map(value, paths)))
+
+
+# --- 2
+
+
+def test_near_duplicates(spark, small, texts, odd_docs, no_docs, null_id_docs):
+    want = brute.components(texts, 4, 80)
+    for r in registry.QUERIES["op2_minhash_odd_sketch"](spark, small).collect():
+        assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+    want = brute.components(BY_ID, 4, 80)
+    got = minhash_dedup.near_duplicates(odd_docs, 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(BY_ID)
+    assert minhash_dedup.near_duplicates(no_docs, 4, 80).count() == 0
+    assert [r.doc_id for r in minhash_dedup.near_duplicates(null_id_docs, 4, 80).collect()] == [1]
+    assert minhash_dedup.keep_one(spark, null_id_docs, small).count() == 2
+
+
+def test_chains_and_balls(spark):
+    """Documents around one text, most too far from each other: links among them must not be lost."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = {}
+    for d in range(60):
+        w = list(base)
+        for i in rng.choice(200, int(rng.integers(0, 12)), replace=False):
+            w[i] = f"x{rng.integers(0, 6)}"
+        texts[d] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df, 4, 80).collect()}
+    assert got == brute.components(texts, 4, 80)
+
+
+def test_odd_sketch_estimate():
+    rng = np.random.default_rng(1)
+    for j in (0.6, 0.8, 0.95):
+        n = 2000
+        shared, own = int(n * j), int(n * (1 - j) / 2)
+        pool = rng.integers(0, 1 << 63, shared + 2 * own, dtype=np.int64).astype(np.uint64)
+        a, b = np.sort(pool[: shared + own]), np.sort(np.concatenate([pool[:shared], pool[shared + own :]]))
+        s = minhash_dedup.sketch_samples(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 128)
+        o = minhash_dedup.odd_sketch(s)
+        flips = int(np.bitwise_count(o[0] ^ o[1]).sum())
+        assert abs(minhash_dedup.estimated_similarity(flips, 128, 1024) - shared / (shared + 2 * own)) < 0.15
+        assert j < 0.8 or flips <= minhash_dedup.most_flips(0.8, 128, 1024)
+
+
+# --- 3
+
+
+def test_binary_records(spark, small, texts, odd_docs, no_docs):
+    got = {r.doc_id: r for r in registry.QUERIES["op3_binary_records"](spark, small).collect()}
+    at = 0
+    for d in sorted(texts):
+        ids = ids_of(texts[d], 0)
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(ids), crc(ids))
+        at += len(ids)
+    folder = scratch.new_path(spark, "records")
+    files, _ = scratch.cut(binary_records.write_records(odd_docs, folder), "files")
+    rows = binary_records.read_digests(files).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == sorted(d for d, _ in ROWS)
+    assert all((r.n_tokens, r.ids_crc32) == (len(x := ids_of(BY_ID[r.doc_id], 0)), crc(x)) for r in rows)
+    first = files.orderBy("file_no").first()
+    doc, ids = binary_records.read_one(first.path, 0)
+    assert doc == -5 and ids.tolist() == ids_of("negative id", 0)
+    fs, name = scratch.open_store(first.path)
+    with fs.open_input_file(name) as f:
+        data = bytearray(f.read())
+    data[14] ^= 1
+    with pytest.raises(ValueError):
+        binary_records.unframe(bytes(data[: 16 + int.from_bytes(data[:8], "little")]))
+    assert binary_records.write_records(no_docs, scratch.new_path(spark, "records")).count() == 0
+
+
+# --- 4
+
+
+def test_languages(spark, small, odd_docs, no_docs):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    out = registry.QUERIES["op4_cross_parsing"](spark, small).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in out if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
+    assert np.mean([r.lang_pred == r.lang for r in held]) > 0.97 and all(0 <= r.score <= 1 for r in out)
+    parser = language_id.fit(docs)
+    odd = {r.doc_id: r for r in language_id.predict(odd_docs, parser).collect()}
+    assert all(odd[d].lang_pred == "und" and odd[d].score == 0 for d in (1, 2, 3, 14)) and odd[7].lang_pred != "und"
+    empty = language_id.fit(no_docs)
+    assert {r.lang_pred for r in language_id.predict(odd_docs, empty).collect()} == {"und"}
+
+
+def test_cross_parsing_is_greedy():
+    text = "abracadabra"
+    classes = language_id.letter_classes([text])
+    codes = language_id.code_points(text, classes)
+    table = language_id.parse_table(language_id.suffix_automaton(codes), 64)
+    parser = language_id.Parser(("x",), classes, (table,), np.ones(1))
+    for probe in ("abra", "cadabrab", "bbb", "zabraz", "racadcad"):
+        rest, phrases = probe, 0
+        while rest:
+            n = max((k for k in range(1, len(rest) + 1) if rest[:k] in text), default=1)
+            rest, phrases = rest[n:], phrases + 1
+        c = language_id.code_points(probe, classes)
+        assert parser.phrases(c, np.array([0, len(c)]))[0, 0] == phrases, probe
+
+
+# --- 5
+
+
+def test_passages(spark, small, texts, odd_docs, no_docs, null_id_docs):
+    got = {tuple(r) for r in registry.QUERIES["op5_sparse_suffix"](spark, small).collect()}
+    assert got == brute.passages(texts)
+    odd = {tuple(r) for r in sparse_suffix.repeated_passages(odd_docs).collect()}
+    assert odd == brute.passages(BY_ID)
+    assert sparse_suffix.repeated_passages(no_docs).count() == 0 and sparse_suffix.repeated_passages(null_id_docs).count() == 0
+
+
+def test_one_passage_in_many_documents(spark):
+    rng = np.random.default_rng(3)
+    shared = " ".join(f"s{i}" for i in range(70))
+    texts = {d: " ".join(f"d{d}u{rng.integers(0, 10**6)}" for _ in range(40)) + " " + shared + " " + " ".join(f"e{d}u{rng.integers(0, 10**6)}" for _ in range(30)) for d in range(200)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    assert {tuple(r) for r in sparse_suffix.repeated_passages(df).collect()} == {(d, 40, 70) for d in texts}
+
+
+# --- 6
+
+
+def test_fixity(spark, small):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    rows = registry.QUERIES["op6_merkle_fixity"](spark, small).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        data = merkle_fixity.stored(merkle_fixity.warc_record(r.page_id, pages[r.page_id].url, pages[r.page_id].html))
+        assert r.digest == hashlib.sha256(data).hexdigest() and r.length == len(data)
+        assert r.damaged == (zlib.crc32(str(r.page_id).encode()) % merkle_fixity.DAMAGED_OF == 0)
+
+
+def test_audit_finds_what_differs(spark):
+    leaves = [(f, n, n, n * 10, 10, f"{f}-{n}") for f in (0, 1, 4) for n in range(40 + f)]
+    a = spark.createDataFrame(leaves, merkle_fixity.LEAF)
+    assert merkle_fixity.audit(a, a).count() == 0
+    b = a.withColumn("digest", F.when((F.col("file_no") == 1) & F.col("number").isin(0, 17, 40), "bad").otherwise(F.col("digest"))).filter("not (file_no = 4 and number = 43)")
+    got = {(r.file_no, r.number) for r in merkle_fixity.audit(a, b).collect()}
+    assert got == {(1, 0), (1, 17), (1, 40), (4, 43)}
+    none = a.limit(0)
+    assert merkle_fixity.audit(none, none).count() == 0 and merkle_fixity.audit(a, none).count() == len(leaves)
+
+
+def test_replicas_of_odd_pages(spark):
+    rows = [(1, None, None), (1, "u", "é<p>"), (None, "u\r\nX: 1", ""), (2, "u", "x" * 300_000)]
+    folder = scratch.new_path(spark, "replica")
+    files, _ = scratch.cut(merkle_fixity.write_replica(spark.createDataFrame(rows, "page_id long, url string, html string"), folder), "files")
+    assert merkle_fixity.read_leaves(files, folder).count() == 4
+
+
+# --- 7
+
+
+def test_secret_spans(spark, small, texts, odd_docs, no_docs):
+    for r in registry.QUERIES["op7_secret_cnn"](spark, small).collect():
+        assert tuple(r)[1:5] == brute.secret_row(texts[r.doc_id])
+        base = [f"{x[2]}:{x[0]}:{x[3]}" for x in brute.secret_spans(texts[r.doc_id])]
+        assert [s for s in r.spans.split(",") if s and not s.startswith("model")] == base
+    for r in secret_scan.scan(odd_docs, None).collect():
+        assert tuple(r)[1:5] == brute.secret_row(BY_ID[r.doc_id])
+    assert secret_scan.fit(no_docs) is None and secret_scan.scan(no_docs, None).count() == 0
+
+
+def test_network_finds_unlabelled_keys(spark):
+    rng = np.random.default_rng(9)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = secret_scan.fit(docs)
+    hexes = ["".join(rng.choice(list("0123456789ABCDEF"), 40)) for _ in range(40)]
+    plain = ["state-of-the-art-2024", "chapter_17_introduction", "internationalization2", "the-quick-brown-fox-jumps-3"]
+    sees = lambda v: bool(net.probability(secret_scan._window(f"use {v} now", 4, 4 + len(v))[None])[0] >= net.threshold)
+    assert np.mean([sees(v) for v in hexes]) > 0.8 and not any(sees(v) for v in plain)
+
+
+def test_redaction(spark, odd_docs):
+    out = {(r.doc_id): r for r in odd_docs.mapInArrow(secret_scan._mask(None), odd_docs.schema).collect()}
+    assert out[12].text == 'a <assign removed>" and <access removed> é password:abc <assign removed>' and out[12].n_chars == len(out[12].text)
+    assert out[9].text == BY_ID[9] and out[1].text is None
+
+
+# --- 8
+
+
+def test_toxicity(spark, small, odd_docs, no_docs):
+    path = "/root/testdata/sf0.01"
+    rows = registry.QUERIES["op8_kneser_ney"](spark, path).collect()
+    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
+    auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
+    assert auc > 0.7
+    model = toxicity.fit(no_docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    odd = toxicity.score_toxicity(odd_docs, model).collect()
+    assert len(odd) == len(ROWS) and all(0 <= r.score <= 1 for r in odd)
+
+
+def test_evidence_is_shared_for_rare_words():
+    n = toxicity.ORDERS * toxicity.SLOTS
+    counts = np.zeros((3, n), np.int64)
+    words = np.arange(40)
+    for o in range(toxicity.ORDERS):
+        counts[:, o * toxicity.SLOTS + words] = np.array([[2], [20], [40]])
+    counts[:, 3] = 500, 1, 520  # a word that toxic text has
+    counts[:, 5] = 0, 0, 1  # one that neither model knows
+    model = toxicity.build_model(counts, np.full(n, 7, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    e = model.evidence(words.astype(np.uint64), [words] * toxicity.ORDERS, np.array([0, 40]))
+    assert e[3] > 2 and abs(e[5]) < 0.5 and np.delete(e, 3).max() < 1
+
+
+# --- 9
+
+
+def test_containment(spark, small, texts, odd_docs, no_docs):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    assert {tuple(r) for r in registry.QUERIES["op9_containment"](spark, small).collect()} == brute.contained(texts, items)
+    own = {1: "near10 near11 near12 near13 near14 near15 near16", 2: "too short", 3: None, 4: "w5x5 w6x6 w7x7 w8x8 w9x9 no no", 5: " ".join(f"near{i}" for i in range(58, 100))}
+    df = spark.createDataFrame([*own.items(), (None, "near1 near2 near3 near4 near5")], "item_id long, text string").withColumn("h", F.lit(1))
+    texts = {d: t for d, t in ROWS if d != 16} | {16: BY_ID[16]}
+    assert {tuple(r) for r in containment.contained_items(odd_docs, df).collect()} == brute.contained(texts, own)
+    assert containment.contained_items(no_docs, df).count() == 0 and containment.contained_items(odd_docs, df.limit(0)).count() == 0
+
+
+def test_containment_is_native(spark, small):
+    plan = registry.QUERIES["op9_containment"](spark, small)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- 10
+
+
+def check_packing(rows, texts):
+    by, seq = {}, {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+        seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for d, t in texts.items():
+        ids, at = ids_of(t, 1), 0
+        for r in sorted(by[d], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == crc(ids[at : at + r.length])
+            at += r.length
+        assert at == len(ids)
+    pad = total = 0
+    for pieces in seq.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= 2048
+        total += at
+        pad += 0 if at & (at - 1) == 0 else 2048 - at
+    return pad / max(total, 1)
+
+
+def test_packing(spark, small, texts, odd_docs, no_docs):
+    assert check_packing(registry.QUERIES["op10_harmonic_packing"](spark, small).collect(), texts) < 0.01
+    odd = packing.pack(odd_docs.filter("doc_id <> 16")).collect()
+    check_packing(odd, {d: t for d, t in BY_ID.items() if d != 16})
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in odd)
+    assert packing.pack(odd_docs).select(F.sum("length")).first()[0] == sum(len(ids_of(t, 1)) for _, t in ROWS)
+    assert packing.pack(no_docs).count() == 0
+
+
+def test_harmonic_cuts():
+    for n in range(0, 2048):
+        cut = packing.pieces_of(n, 2048)
+        assert sum(cut) == n and len(cut) <= 5 and set(cut) <= set(packing.class_lengths(2048))
