@@ -13,9 +13,9 @@ shared out to its words, n(x) / n(stem), and the rest are counts over all
 documents, the same in both models, so a rare word has the evidence of its stem
 and no more. A word's evidence is the difference of its log-likelihoods; words
 that a document repeats count once. A document is described by its mean evidence
-a word and by the largest mean over any ``SPAN`` consecutive words (or all, if it
-has fewer), so that a few abusive words in a long text are not averaged away. A
-logistic unit turns both into a score between 0 and 1; it is fitted on labelled
+a word, by the largest mean over any ``SPAN`` consecutive words (or all, if it
+has fewer) and by that of its strongest word, so that a few abusive words in a
+long text are not averaged away. A logistic unit turns these into a score between 0 and 1; it is fitted on labelled
 documents held out from the counts (crc32 of the id modulo 4 equal to
 ``FIT_FOLD``), at most ``FIT_DOCUMENTS`` of them (smallest hash of the id).
 
@@ -50,6 +50,8 @@ from .textkernel import U64, mix, signed, slices, span_hash, text_buffer, word_b
 SLOTS, STEMS, BIGRAMS, LEAST = 1 << 18, (6, 4), 200_000, 3
 SPAN, HELD_OUT, FIT_FOLD, FIT_DOCUMENTS, THRESHOLD = 8, 2, 0, 6000, 0.3
 DISCOUNTS = (0.0, 0.95, 1.3, 1.6)
+#: Evidence of one word: what speaks for ordinary text is cut short, as toxic texts are ordinary but for a few words.
+BOUNDS = (-0.25, 8.0)
 ORDERS = 1 + len(STEMS)
 
 
@@ -142,7 +144,7 @@ class ToxicModel:
     pair_keys: np.ndarray  # sorted
     pair_high: np.ndarray  # (2 classes, kept bigrams)
     pair_rest: np.ndarray
-    unit: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)  # weights of mean, largest mean, log length; offset
+    unit: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0)  # weights of mean, largest mean, log length, strongest word; offset
 
     def evidence(self, h: np.ndarray, slots: list[np.ndarray], first: np.ndarray) -> np.ndarray:
         """Log-likelihood of every word under the toxic model less that under the ordinary one."""
@@ -158,7 +160,7 @@ class ToxicModel:
             p = np.maximum(p, 1e-30)
             p[at[ok]] = self.pair_high[c][place[ok]] + self.pair_rest[c][place[ok]] * p[at[ok]]
             out.append(np.log(p))
-        return np.clip(out[0] - out[1], -8, 8)
+        return np.clip(out[0] - out[1], *BOUNDS)
 
     def features(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         h, slots, first = _words(buf, offs)
@@ -171,11 +173,13 @@ class ToxicModel:
         seen[new] = False
         e[seen] = 0
         total = np.concatenate([[0.0], np.cumsum(e)])
-        out = np.zeros((len(n), 3))
+        out = np.zeros((len(n), 4))
         some = n > 0
         out[some, 0] = (total[first[1:]] - total[first[:-1]])[some] / n[some]
         out[:, 2] = np.log1p(n) / 8
         out[some, 1] = out[some, 0]
+        if len(e):
+            out[some, 3] = np.maximum.reduceat(e, first[:-1][some])
         long = np.flatnonzero(n >= SPAN)
         if len(long):
             mean = (total[SPAN:] - total[:-SPAN]) / SPAN
@@ -185,7 +189,7 @@ class ToxicModel:
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.unit[:3]) + self.unit[3], -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.unit[:4]) + self.unit[4], -60, 60)))
 
 
 def _discounted(n: np.ndarray) -> np.ndarray:
@@ -209,17 +213,25 @@ def build_model(counts: np.ndarray, contexts: np.ndarray, kept: np.ndarray, hist
     return ToxicModel(high.astype(np.float32), orders[2].astype(np.float32), rest, cont, kept, top, np.maximum(1 - gone, 0.01))
 
 
-def _fit_unit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
-    """Logistic regression by Newton steps."""
+def _fit_unit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
+    """Logistic regression by Newton steps, each halved until the penalised loss falls."""
     x = np.column_stack([x, np.ones(len(x))])
-    theta = np.zeros(4)
-    theta[3] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    for _ in range(40):
+    theta = np.zeros(x.shape[1])
+    theta[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+
+    def loss(t: np.ndarray) -> float:
+        z = x @ t
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + ridge / 2 * (t[:-1] ** 2).sum())
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        g = x.T @ (p - y) + 1e-2 * theta
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4)
-        step = np.linalg.solve(hess, g)
-        theta = theta - np.clip(step, -2, 2)
+        penalty = ridge * np.append(np.ones(len(theta) - 1), 0)
+        g = x.T @ (p - y) + penalty * theta
+        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6)
+        step, now = np.linalg.solve(hess, g), loss(theta)
+        while loss(theta - step) > now and np.abs(step).max() > 1e-7:
+            step = step / 2
+        theta = theta - step
         if np.abs(step).max() < 1e-6:
             break
     return tuple(theta.tolist())
@@ -231,7 +243,7 @@ def _features(model: ToxicModel):
             buf, offs = text_buffer(batch.column(1))
             for i, j in slices(offs):
                 x = model.features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x[:, c]) for c in range(3))], names=["doc_id", "mean", "most", "size"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x[:, c]) for c in range(4))], names=["doc_id", "mean", "most", "size", "peak"])
 
     return run
 
@@ -259,13 +271,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     model = build_model(counts, contexts.view(U64), kept, _histories(toxic_docs, kept))
     chosen = marked.filter(_fold() == FIT_FOLD).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)  # two integers a row
     held = sc.broadcast(model)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_late(held), "doc_id long, mean double, most double, size double").join(chosen, "doc_id").toPandas().sort_values(["doc_id", "mean", "most"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_late(held), "doc_id long, mean double, most double, size double, peak double").join(chosen, "doc_id").toPandas().sort_values(["doc_id", "mean", "most"])
     y = rows.toxic.to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        unit = (0.0, 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+        unit = (0.0, 0.0, 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     else:
-        unit = _fit_unit(rows[["mean", "most", "size"]].to_numpy(), y)
+        unit = _fit_unit(rows[["mean", "most", "size", "peak"]].to_numpy(), y)
     return replace(model, unit=unit)
 
 
@@ -303,7 +315,7 @@ def _scored(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in _features(model)(batches):
-            x = np.column_stack([b.column(c).to_numpy() for c in (1, 2, 3)])
+            x = np.column_stack([b.column(c).to_numpy() for c in (1, 2, 3, 4)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x)), b.column(1), b.column(2)], names=["doc_id", "score", "mean_evidence", "most_evidence"])
 
     return run
