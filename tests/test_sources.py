@@ -92,3 +92,15 @@ def test_log_tools(spark):
     assert feedback.admitted_labels(["a"], ["b", "a"], True) == ["a", "b"] and feedback.admitted_labels(["a"], ["b"], False) == ["a"]
     gaps = spark.createDataFrame([("k", 0), ("k", 25)], "key string, s long").select("key", F.timestamp_seconds("s").alias("at"))
     assert [r.slot for r in feedback.skipped_slots(gaps, "key", "at", 10).orderBy("at").collect()] == [1, 4]
+
+
+def test_command_line(spark, tmp_path):
+    from sparkquarry.__main__ import main
+
+    spark.createDataFrame([(i, float(i % 7), float(i)) for i in range(50)], "id long, a double, b double").write.parquet(f"{tmp_path}/t")
+    assert main(["quantize", f"{tmp_path}/t", f"{tmp_path}/q", f"{tmp_path}/q.json", "--bits", "2", "--others", f"{tmp_path}/t={tmp_path}/o"]) == 0
+    assert main(["forest", f"{tmp_path}/q", f"{tmp_path}/m", "--key", "id", "--trees", "5"]) == 0
+    assert main(["score", f"{tmp_path}/o", f"{tmp_path}/m", f"{tmp_path}/s", "--key", "id"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/s").count() == 50
+    assert main(["query", "label_ids", "/root/testdata/sf0.001", f"{tmp_path}/l"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/l").count() == 25
