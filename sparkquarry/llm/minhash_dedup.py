@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import connected_components
+from .idfilter import has_bit, id_bits
 from .textkernel import U64, long_lists, mix, shingles, signed, slices, span_hash, text_buffer, word_bounds
 
 BANDS, ROWS, SKETCH_BITS, FILTER_BITS, ROUNDS = 32, 4, 1024, 22, 3
@@ -134,8 +135,7 @@ def _sets(k: int, wanted: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column(2).to_numpy().view(U64) & U64((1 << FILTER_BITS) - 1)
-            batch = batch.filter(pa.array((wanted[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1))
+            batch = batch.filter(pa.array(has_bit(batch.column(2).to_numpy(), wanted)))
             buf, offs = text_buffer(batch.column(1))
             for i, j in slices(offs):
                 b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
@@ -146,15 +146,6 @@ def _sets(k: int, wanted: np.ndarray):
     return run
 
 
-def _wanted_bits(ids: DataFrame) -> np.ndarray:
-    """A bitmap of ``FILTER_BITS`` bits that has the hashes of the ids; its size does not grow with them."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    words = ids.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[words.w.to_numpy().astype(np.int64)] = words.m.to_numpy()
-    return out.view(U64)
-
-
 def _flips(x: str, y: str):
     n = SKETCH_BITS // 64
     return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, n)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
@@ -251,7 +242,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         balls = balls.union(more)
     balls, _ = scratch.cut(balls.distinct(), "balls")
     wanted = balls.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(_sets(k, _wanted_bits(wanted)), "doc_id long, members array<long>")
+    full = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(_sets(k, id_bits(wanted, FILTER_BITS)), "doc_id long, members array<long>")
     full = full.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("members", F.struct(F.size("members"), F.col("members"))).alias("members"))
     full, _ = scratch.cut(full, "sets")
     # each member with its leader

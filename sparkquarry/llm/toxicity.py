@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
+from .idfilter import likely_rows
 from .textkernel import U64, mix, signed, slices, span_hash, text_buffer, word_bounds
 
 SLOTS, STEMS, BIGRAMS, LEAST = 1 << 18, (6, 4), 200_000, 3
@@ -100,8 +101,11 @@ def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 COUNTS = "slot int, toxic long, ordinary long, every long, contexts long"
 
 
-def _word_counts(kept: np.ndarray):
-    """Sparse rows of one worker: counts of each order by slot, behind them the kept bigrams; contexts for the lowest order."""
+def _word_counts(kept: np.ndarray, shared: bool):
+    """Sparse rows of one worker: counts of each order by slot, behind them the kept bigrams; contexts for the lowest order.
+
+    ``shared``: what both models share, of all texts; otherwise what each has, of labelled texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, low = ORDERS * SLOTS + len(kept), (ORDERS - 1) * SLOTS
@@ -115,15 +119,21 @@ def _word_counts(kept: np.ndarray):
                 of = np.repeat(label[i:j], np.diff(first))
                 at, keys = _pairs(h, first)
                 bits = U64(1) << (h[at - 1] >> U64(58))
-                order = np.argsort(slots[-1][at], kind="stable")
-                s = slots[-1][at][order]
-                if len(s):
-                    new = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                    contexts[low + s[new]] |= np.bitwise_or.reduceat(bits[order], new)
-                for c, mine in enumerate((of == 1, of == 0, None)):
+                if shared:
+                    order = np.argsort(slots[-1][at], kind="stable")
+                    s = slots[-1][at][order]
+                    if len(s):
+                        new = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+                        contexts[low + s[new]] |= np.bitwise_or.reduceat(bits[order], new)
+                    for o, slot in enumerate(slots):
+                        n[2, o * SLOTS : (o + 1) * SLOTS] += np.bincount(slot, minlength=SLOTS)
+                    continue
+                for c, mine in enumerate((of == 1, of == 0)):
+                    if not mine.any():
+                        continue
                     for o, slot in enumerate(slots):
-                        n[c, o * SLOTS : (o + 1) * SLOTS] += np.bincount(slot if mine is None else slot[mine], minlength=SLOTS)
-                    if mine is not None and len(kept) and mine.any():
+                        n[c, o * SLOTS : (o + 1) * SLOTS] += np.bincount(slot[mine], minlength=SLOTS)
+                    if len(kept):
                         k = keys[mine[at]]
                         place = np.minimum(np.searchsorted(kept, k), len(kept) - 1)
                         n[c, ORDERS * SLOTS :] += np.bincount(place[kept[place] == k], minlength=len(kept))
@@ -253,15 +263,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     spark = docs.sparkSession
     marked = labels.filter("doc_id is not null and toxic in (0, 1)").filter((_fold() != HELD_OUT) & (_fold() >= 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked, _ = scratch.cut(marked, "labels")
-    counted = marked.filter(_fold() != FIT_FOLD)
-    texts = docs.select("doc_id", "text").filter("text is not null")
-    toxic_docs = texts.join(counted.filter("toxic = 1"), "doc_id", "left_semi")
+    # only texts of labelled documents are shuffled to their labels
+    labelled, _ = scratch.cut(likely_rows(docs.filter("text is not null"), marked).join(marked, "doc_id"), "labelled")
+    counted = labelled.filter(_fold() != FIT_FOLD)
+    toxic_docs = counted.filter("toxic = 1")
     pairs = toxic_docs.select("text").mapInArrow(_bigram_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
     top = pairs.orderBy(F.desc("n"), "key").limit(BIGRAMS).toPandas()  # the documented size of the table
     kept = np.sort(top.key.to_numpy().astype(np.int64).view(U64))
     sc = spark.sparkContext
-    known = texts.join(counted, "doc_id", "left").select("text", "toxic")
-    sums = known.mapInArrow(_word_counts(kept), COUNTS).groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.sum("every").alias("every"), F.bit_or("contexts").alias("contexts"))
+    every = docs.filter("text is not null").select("text", F.lit(None).cast("int").alias("toxic")).mapInArrow(_word_counts(kept, shared=True), COUNTS)
+    known = counted.select("text", "toxic").mapInArrow(_word_counts(kept, shared=False), COUNTS)
+    sums = every.union(known).groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.sum("every").alias("every"), F.bit_or("contexts").alias("contexts"))
     got = sums.toPandas()  # at most ORDERS * SLOTS + BIGRAMS rows of numbers
     counts, contexts = np.zeros((3, ORDERS * SLOTS + len(kept)), np.int64), np.zeros(ORDERS * SLOTS + len(kept), np.int64)
     at = got.slot.to_numpy().astype(np.int64)
@@ -269,9 +281,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         counts[c, at] = got[name].to_numpy()
     contexts[at] = got.contexts.to_numpy()
     model = build_model(counts, contexts.view(U64), kept, _histories(toxic_docs, kept))
-    chosen = marked.filter(_fold() == FIT_FOLD).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)  # two integers a row
+    chosen = labelled.filter(_fold() == FIT_FOLD).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)
     held = sc.broadcast(model)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").mapInArrow(_late(held), "doc_id long, mean double, most double, size double, peak double").join(chosen, "doc_id").toPandas().sort_values(["doc_id", "mean", "most"])
+    fold = labelled.join(F.broadcast(chosen), "doc_id", "left_semi")  # a bounded number of ids
+    rows = fold.select("doc_id", "text").mapInArrow(_late(held), "doc_id long, mean double, most double, size double, peak double").join(F.broadcast(fold.select("doc_id", "toxic").distinct()), "doc_id").toPandas().sort_values(["doc_id", "mean", "most"])
     y = rows.toxic.to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
