@@ -263,8 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     spark = docs.sparkSession
     marked = labels.filter("doc_id is not null and toxic in (0, 1)").filter((_fold() != HELD_OUT) & (_fold() >= 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked, _ = scratch.cut(marked, "labels")
-    # only texts of labelled documents are shuffled to their labels
-    labelled, _ = scratch.cut(likely_rows(docs.filter("text is not null"), marked).join(marked, "doc_id"), "labelled")
+    # only texts of labelled documents are shuffled to their labels; labels are never broadcast, as they grow with the documents
+    labelled, _ = scratch.cut(likely_rows(docs.filter("text is not null"), marked).join(marked.hint("merge"), "doc_id"), "labelled")
     counted = labelled.filter(_fold() != FIT_FOLD)
     toxic_docs = counted.filter("toxic = 1")
     pairs = toxic_docs.select("text").mapInArrow(_bigram_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
