@@ -40,7 +40,7 @@ from . import scratch
 FANOUT = 16
 DAMAGED_OF = 97
 ENTRY = np.dtype([("page_id", "<i8"), ("known", "<i8"), ("offset", "<i8"), ("length", "<i8")])
-WRITTEN = "file_no int, name string, records long, bytes long"
+WRITTEN = "replica int, file_no int, name string, records long, bytes long"
 LEAF = "file_no int, number long, page_id long, offset long, length long, digest string"
 
 
@@ -61,44 +61,51 @@ def stored(record: bytes) -> bytes:
     return gzip.compress(record, compresslevel=1, mtime=0)
 
 
-def _write(folder: str, damaged_of: int):
-    """Write the rows of each task as one file; with ``damaged_of`` a byte of every record is changed whose page id's crc32 it divides."""
+def _damaged(data: bytes) -> bytes:
+    return data[:-6] + bytes([data[-6] ^ 1]) + data[-5:]
+
+
+def _write(replicas: list[tuple[str, int]]):
+    """Write the rows of each task as one file in every replica, (folder, damaged_of); with ``damaged_of`` a byte of every record is changed whose page id's crc32 it divides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        fs, root = scratch.open_store(folder)
-        name, mine = f"{root}/part-{part:06d}.warc.gz", f"{root}/.{uuid.uuid4().hex}"
-        entries, at, out = [], 0, None
+        stores = [scratch.open_store(folder) for folder, _ in replicas]
+        name, mine = f"part-{part:06d}.warc.gz", f".{uuid.uuid4().hex}"
+        entries, at, outs = [], 0, None
         for batch in batches:
             for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if out is None:
-                    fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(mine)
+                if outs is None:
+                    for fs, root in stores:
+                        fs.create_dir(root, recursive=True)
+                    outs = [fs.open_output_stream(f"{root}/{mine}") for fs, root in stores]
                 data = stored(warc_record(page, url, html))
-                if damaged_of and zlib.crc32(str(page).encode()) % damaged_of == 0:
-                    data = data[:-6] + bytes([data[-6] ^ 1]) + data[-5:]
+                mark = zlib.crc32(str(page).encode())
+                for out, (_, damaged_of) in zip(outs, replicas, strict=True):
+                    out.write(_damaged(data) if damaged_of and mark % damaged_of == 0 else data)
                 entries.append((page if page is not None else 0, int(page is not None), at, len(data)))
-                out.write(data)
                 at += len(data)
-        if out is None:
+        if outs is None:
             return
-        out.close()
-        fs.move(mine, name)
         index = np.array(entries, ENTRY)
-        with fs.open_output_stream(mine) as f:
-            f.write(struct.pack("<Q", len(index)) + index.tobytes())
-        fs.move(mine, name + ".idx")
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"part-{part:06d}.warc.gz"]), pa.array([len(index)]), pa.array([at])], names=[c.split()[0] for c in WRITTEN.split(", ")])
+        for out, (fs, root) in zip(outs, stores, strict=True):
+            out.close()
+            fs.move(f"{root}/{mine}", f"{root}/{name}")
+            with fs.open_output_stream(f"{root}/{mine}") as f:
+                f.write(struct.pack("<Q", len(index)) + index.tobytes())
+            fs.move(f"{root}/{mine}", f"{root}/{name}.idx")
+        n = len(replicas)
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([name] * n), pa.array([len(index)] * n), pa.array([at] * n)], names=[c.split()[0] for c in WRITTEN.split(", ")])
 
     return run
 
 
-def write_replica(pages: DataFrame, folder: str, damaged_of: int = 0) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) in order of page_id under ``folder``; one row for each file."""
+def write_replicas(pages: DataFrame, replicas: list[tuple[str, int]]) -> DataFrame:
+    """Write ``pages`` (page_id, url, html) in order of page_id under each folder, sorted once; one row for each file and replica."""
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     order = [F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("html").asc_nulls_first()]
     ordered = pages.select("page_id", "url", "html").repartitionByRange(parts, F.col("page_id").asc_nulls_first()).sortWithinPartitions(*order)
-    return ordered.mapInArrow(_write(folder, damaged_of), WRITTEN)
+    return ordered.mapInArrow(_write(replicas), WRITTEN)
 
 
 def _leaves(folder: str):
@@ -197,10 +204,8 @@ def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     One row a record: where it lies, its digest and whether the audit found it damaged.
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    leaves = []
-    for damaged_of in (0, DAMAGED_OF):
-        folder = scratch.new_path(spark, "replica")
-        files, _ = scratch.cut(write_replica(pages, folder, damaged_of), "replica-files")
-        leaves.append(scratch.cut(read_leaves(files, folder), "leaves")[0])
+    folders = [scratch.new_path(spark, "replica") for _ in range(2)]
+    files, _ = scratch.cut(write_replicas(pages, list(zip(folders, (0, DAMAGED_OF), strict=True))), "replica-files")
+    leaves = [scratch.cut(read_leaves(files.filter(F.col("replica") == i), folder), "leaves")[0] for i, folder in enumerate(folders)]
     bad = audit(*leaves).select(F.col("file_no").cast("int").alias("file_no"), "number", F.lit(True).alias("found"))
     return leaves[0].join(bad, ["file_no", "number"], "left").select("page_id", "file_no", "number", "offset", "length", "digest", F.coalesce("found", F.lit(False)).alias("damaged"))

@@ -208,7 +208,7 @@ def test_audit_finds_what_differs(spark):
 def test_replicas_of_odd_pages(spark):
     rows = [(1, None, None), (1, "u", "é<p>"), (None, "u\r\nX: 1", ""), (2, "u", "x" * 300_000)]
     folder = scratch.new_path(spark, "replica")
-    files, _ = scratch.cut(merkle_fixity.write_replica(spark.createDataFrame(rows, "page_id long, url string, html string"), folder), "files")
+    files, _ = scratch.cut(merkle_fixity.write_replicas(spark.createDataFrame(rows, "page_id long, url string, html string"), [(folder, 0)]), "files")
     assert merkle_fixity.read_leaves(files, folder).count() == 4
 
 
