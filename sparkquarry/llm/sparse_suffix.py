@@ -8,6 +8,7 @@ that begins inside the passage at the same place of it.
 
 1. Grams at kept places are counted; only those that two documents hold go on.
    A bitmap of fixed size (``FILTER_BITS``) carries them to the second reading.
+   Grams are half as long as a passage, so few go on that are part of none.
 2. The kept suffixes, as far as they can matter (``least`` words to the right),
    and what lies left of them are sorted over all machines by gram and words.
    Range partitioning cuts between any two suffixes, so a passage that a third
@@ -38,7 +39,7 @@ from pyspark.taskcontext import TaskContext
 from . import scratch
 from .textkernel import U64, shingles, signed, slices, span_hash, text_buffer, word_bounds
 
-LEAST, SEED, FILTER_BITS = 50, 10, 24
+LEAST, SEED, FILTER_BITS = 50, 25, 24
 SUFFIX = "key long, doc_id long, pos int, ahead int, behind int, words_ahead binary, words_behind binary"
 EDGE = f"kind int, part int, lo int, hi int, {SUFFIX}"
 
@@ -235,7 +236,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _suffixes(least, held.value)(batches)
 
-    kept, _ = scratch.cut(docs.mapInArrow(second, SUFFIX), "suffixes")
+    kept = docs.mapInArrow(second, SUFFIX)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ["key", "words_ahead", "words_behind", "doc_id", "pos"]
     ordered = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
