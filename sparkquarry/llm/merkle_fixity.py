@@ -58,7 +58,7 @@ def warc_record(page_id: int | None, url: str | None, html: str | None) -> bytes
 
 
 def stored(record: bytes) -> bytes:
-    return gzip.compress(record, compresslevel=1, mtime=0)
+    return gzip.compress(record, compresslevel=6, mtime=0)
 
 
 def _damaged(data: bytes) -> bytes:
