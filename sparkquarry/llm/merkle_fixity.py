@@ -74,12 +74,11 @@ def _write(replicas: list[tuple[str, int]]):
         name, mine = f"part-{part:06d}.warc.gz", f".{uuid.uuid4().hex}"
         entries, at, outs = [], 0, None
         for batch in batches:
-            for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if outs is None:
                     for fs, root in stores:
                         fs.create_dir(root, recursive=True)
                     outs = [fs.open_output_stream(f"{root}/{mine}") for fs, root in stores]
-                data = stored(warc_record(page, url, html))
                 mark = zlib.crc32(str(page).encode())
                 for out, (_, damaged_of) in zip(outs, replicas, strict=True):
                     out.write(_damaged(data) if damaged_of and mark % damaged_of == 0 else data)
@@ -100,11 +99,19 @@ def _write(replicas: list[tuple[str, int]]):
     return run
 
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            data = [stored(warc_record(*row)) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["page_id", "data"])
+
+
 def write_replicas(pages: DataFrame, replicas: list[tuple[str, int]]) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) in order of page_id under each folder, sorted once; one row for each file and replica."""
+    """Write ``pages`` (page_id, url, html) in order of page_id under each folder; records are compressed where the pages lie and sorted once. One row for each file and replica."""
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = [F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("html").asc_nulls_first()]
-    ordered = pages.select("page_id", "url", "html").repartitionByRange(parts, F.col("page_id").asc_nulls_first()).sortWithinPartitions(*order)
+    records = pages.select("page_id", "url", "html").mapInArrow(_records, "page_id long, data binary")
+    ordered = records.repartitionByRange(parts, F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "data")
     return ordered.mapInArrow(_write(replicas), WRITTEN)
 
 
