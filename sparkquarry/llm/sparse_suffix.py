@@ -9,8 +9,10 @@ that begins inside the passage at the same place of it.
 1. Grams at kept places are counted; only those that two documents hold go on.
    A bitmap of fixed size (``FILTER_BITS``) carries them to the second reading.
    Grams are half as long as a passage, so few go on that are part of none.
-2. The kept suffixes, as far as they can matter (``least`` words to the right),
-   and what lies left of them are sorted over all machines by gram and words.
+2. The kept suffixes, as far as they can matter (``least`` words to the right,
+   and what is left of ``least`` beside the gram to the left: a passage's first
+   gram at a kept place begins no further in, and marks overlap from one kept
+   place to the next), are sorted over all machines by gram and words.
    Range partitioning cuts between any two suffixes, so a passage that a third
    of the documents hold is spread like any other.
 3. Each suffix is compared with its neighbours of other documents in the sorted
@@ -105,10 +107,10 @@ def _suffixes(least: int, wanted: np.ndarray):
                 if not len(doc):
                     continue
                 n = first[doc + 1] - first[doc]
-                ahead, behind = np.minimum(n - pos - SEED, least - SEED), np.minimum(pos, least)
+                ahead, behind = np.minimum(n - pos - SEED, least - SEED), np.minimum(pos, least - SEED)
                 at = first[doc] + pos
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key)), batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(ahead.astype(np.int32)), pa.array(behind.astype(np.int32)), _gathered(words, at + SEED, 1, ahead, least - SEED), _gathered(words, at - 1, -1, behind, least)],
+                    [pa.array(signed(key)), batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(ahead.astype(np.int32)), pa.array(behind.astype(np.int32)), _gathered(words, at + SEED, 1, ahead, least - SEED), _gathered(words, at - 1, -1, behind, least - SEED)],
                     names=[c.split()[0] for c in SUFFIX.split(", ")],
                 )
 
@@ -124,7 +126,7 @@ class _Rows:
 
     def __init__(self, table: pa.Table, least: int):
         self.key, self.doc, self.pos, self.ahead, self.behind = (table.column(c).to_numpy() for c in ("key", "doc_id", "pos", "ahead", "behind"))
-        self.right, self.left = _matrix(table.column("words_ahead"), least - SEED), _matrix(table.column("words_behind"), least)
+        self.right, self.left = _matrix(table.column("words_ahead"), least - SEED), _matrix(table.column("words_behind"), least - SEED)
 
     def agree(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, end) word of the match that row x has with row y, in x's document; an empty range where there is none."""
