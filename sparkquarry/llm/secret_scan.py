@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkernel import text_buffer
+from .textkernel import run_bounds, text_buffer
 
 KINDS = ("assign", "access", "hex", "model")
 WINDOW, FIT_DOCUMENTS, FIT_FINDINGS, RECALL = 64, 20_000, 8_000, 0.99
@@ -194,17 +194,12 @@ def _suspects(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     if not len(buf):
         return hot
     # runs of LEAST_RUN characters; a hex or access match is such a run, too
-    run = _RUNCHAR[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], run.view(np.int8), [0]])))
-    starts, ends = edge[::2], edge[1::2]
+    starts, ends = run_bounds(_RUNCHAR[buf], offs)
     long = ends - starts >= LEAST_RUN
     starts, ends = starts[long], ends[long]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[buf], dtype=np.int64)])
     some = (digits[ends] - digits[starts] > 0) | (ends - starts >= 20)
-    at = starts[some]
-    last = ends[some] - 1
-    for a in (at, last):
-        hot[np.searchsorted(offs, a, "right") - 1] = True
+    hot[np.searchsorted(offs, starts[some], "right") - 1] = True
     raw = buf.tobytes().lower()
     for word in _KEYWORDS:
         p = raw.find(word)

@@ -77,21 +77,25 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def run_bounds(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of set bytes; a run never goes beyond its document."""
+    cuts = offs[:-1][offs[:-1] < offs[-1]]
+    s = inside.copy()
+    s[1:] &= ~inside[:-1]
+    s[cuts] = inside[cuts]
+    e = inside.copy()
+    e[:-1] &= ~inside[1:]
+    last = cuts[cuts > 0] - 1
+    e[last] = inside[last]
+    return np.flatnonzero(s), np.flatnonzero(e) + 1
+
+
 def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte bounds of all words, and for each document the index of its first word (one entry more than documents)."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    word = ~SPACE[buf]
-    cuts = offs[:-1][offs[:-1] < offs[-1]]
-    s = word.copy()
-    s[1:] &= ~word[:-1]
-    s[cuts] = word[cuts]
-    e = word.copy()
-    e[:-1] &= ~word[1:]
-    last = cuts[cuts > 0] - 1
-    e[last] = word[last]
-    starts = np.flatnonzero(s)
-    return starts, np.flatnonzero(e) + 1, np.searchsorted(starts, offs, "left")
+    starts, ends = run_bounds(~SPACE[buf], offs)
+    return starts, ends, np.searchsorted(starts, offs, "left")
 
 
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
