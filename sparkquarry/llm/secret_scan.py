@@ -158,7 +158,7 @@ def train_network(x: np.ndarray, y: np.ndarray, held: np.ndarray, filters: int =
     net = CharNetwork(net.kernel, net.bias, net.out, net.shift, (a, b))
     good = np.sort(net.probability(x[held][t == 1]))
     least = float(good[int(np.floor(len(good) * (1 - recall)))]) if len(good) else 0.5
-    return CharNetwork(net.kernel, net.bias, net.out, net.shift, (a, b), min(max(least, 0.5), 0.999))
+    return CharNetwork(net.kernel, net.bias, net.out, net.shift, (a, b), least)
 
 
 def _findings(text: str, rng: np.random.Generator) -> list[tuple[np.ndarray, int]]:

@@ -246,6 +246,17 @@ def test_network_finds_unlabelled_keys(spark):
     assert np.mean([sees(v) for v in hexes]) > 0.8 and not any(sees(v) for v in plain)
 
 
+def test_threshold_keeps_the_recall():
+    """Findings that overlap with negatives, and are few: the recall on those held out stays, whatever the threshold."""
+    rng = np.random.default_rng(4)
+    y = (np.arange(1600) % 8 == 0).astype(int)
+    x = rng.integers(1, secret_scan.N_CLASS, (1600, secret_scan.WINDOW))
+    x[(y == 1) & (rng.random(1600) < 0.5), 30:36] = 7  # half of the findings look like the rest
+    held = np.arange(1600) % 5 == 0
+    net = secret_scan.train_network(x, y, held, epochs=2)
+    assert np.mean(net.probability(x[held & (y == 1)]) >= net.threshold) >= secret_scan.RECALL
+
+
 def test_redaction(spark, odd_docs):
     out = {(r.doc_id): r for r in odd_docs.mapInArrow(secret_scan._mask(None), odd_docs.schema).collect()}
     assert out[12].text == 'a <assign removed>" and <access removed> é password:abc <assign removed>' and out[12].n_chars == len(out[12].text)
