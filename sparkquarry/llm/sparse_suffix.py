@@ -1,25 +1,24 @@
-"""Repeated passages across documents by a sparse suffix array.
+"""Repeated passages across documents by sparse suffixes.
 
-Words (ASCII letters in lower case) are the alphabet. Of all suffixes only those
-are kept that begin at a *minimiser*: in every window of ``least - SEED + 1``
-consecutive ``SEED``-word grams the one with the smallest hash. Documents that
-share ``least`` words in a row share a whole window of grams, and so a suffix
-that begins inside the passage at the same place of it.
+Words (ASCII letters in lower case) are the alphabet. A passage is made of
+windows of ``least`` words. Of all suffixes only those are kept that begin at a
+*minimiser*: in every window the one of its ``SEED``-word grams with the smallest
+hash. Documents that share a window share the gram and its place in the window.
 
 1. Grams at kept places are counted; only those that two documents hold go on.
    A bitmap of fixed size (``FILTER_BITS``) carries them to the second reading.
    Grams are half as long as a passage, so few go on that are part of none.
-2. The kept suffixes, as far as they can matter (``least`` words to the right,
-   and what is left of ``least`` beside the gram to the left: a passage's first
-   gram at a kept place begins no further in, and marks overlap from one kept
-   place to the next), are sorted over all machines by gram and words.
-   Range partitioning cuts between any two suffixes, so a passage that a third
-   of the documents hold is spread like any other.
-3. Each suffix is compared with its neighbours of other documents in the sorted
-   order. The match is the common beginning, extended to the left as far as the
-   words agree. Neighbours across the edge of two tasks are compared afterwards.
-4. Matches of ``least`` words or more mark words of both documents; overlapping
-   marks of a document make one passage.
+2. A kept suffix goes on with the hashes of all windows that have it as their
+   minimiser, which lie side by side. Suffixes meet by gram, and every window of
+   each is looked up among those of the same gram: each split of ``least`` words
+   to the left and right of the gram is compared, whatever lies next to it in any
+   order.
+3. The windows of a gram that more than ``HOT`` suffixes have (a line that a third
+   of the documents hold) meet by their own hash instead, so no task gets them
+   all: the windows that two documents hold are found with a first count on the
+   map side, and joined with all.
+4. Windows that another document has mark words; overlapping or touching marks of
+   a document make one passage.
 
 Edge cases: texts that are null or have under ``least`` words have no window
 and no passage. Rows with a null doc_id are left out. Rows that repeat a doc_id
@@ -36,21 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from pyspark.taskcontext import TaskContext
 
-from . import scratch
-from .textkernel import U64, shingles, signed, slices, span_hash, text_buffer, word_bounds
+from .textkernel import U64, mix, shingles, signed, slices, span_hash, text_buffer, word_bounds
 
 LEAST, SEED, FILTER_BITS = 50, 25, 24
-SUFFIX = "key long, doc_id long, pos int, ahead int, behind int, words_ahead binary, words_behind binary"
-EDGE = f"kind int, part int, lo int, hi int, {SUFFIX}"
+#: Suffixes with one gram that are compared in one task at most.
+HOT = 20_000
+SUFFIX = "key long, doc_id long, pos int, windows binary"
+MARK = "doc_id long, lo int, hi int"
 
 
-def minimisers(h: np.ndarray, begin: np.ndarray, window: int) -> np.ndarray:
-    """Places of the grams that are the smallest (then leftmost) of any window within a document's grams ``begin[i]`` to ``begin[i + 1]``."""
+def minimisers(h: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first grams, places) of all windows within a document's grams ``begin[i]`` to ``begin[i + 1]``: the place is that of the smallest (then leftmost) gram."""
     n = np.diff(begin)
     if len(h) < window or not (n >= window).any():
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     bits = max(int(len(h)).bit_length(), 1)
     low = (U64(1) << U64(bits)) - U64(1)
     best = (h & ~low) | np.arange(len(h), dtype=U64)
@@ -62,17 +61,20 @@ def minimisers(h: np.ndarray, begin: np.ndarray, window: int) -> np.ndarray:
         best = np.minimum(best[: len(best) - (window - size)], best[window - size :])
     count = np.maximum(n - window + 1, 0)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[:-1], count)
-    return np.unique((best[at] & low).astype(np.int64))
+    return at, (best[at] & low).astype(np.int64)
 
 
 def _kept(buf: np.ndarray, offs: np.ndarray, least: int):
-    """(word hashes, first words, documents, places in words, gram hashes) of the kept suffixes."""
+    """(grams, all windows' first grams, the kept suffixes' first windows (one entry more than suffixes), their documents, first words and gram hashes).
+
+    The windows that have a suffix's gram as their minimiser lie side by side.
+    """
     starts, ends, first = word_bounds(buf, offs)
-    words = span_hash(buf, starts, ends, lower=True)
-    grams, begin = shingles(words, first, SEED, short=False)
-    at = minimisers(grams, begin, least - SEED + 1)
-    doc = np.searchsorted(begin, at, "right") - 1
-    return words, first, doc, at - begin[doc], grams[at]
+    grams, begin = shingles(span_hash(buf, starts, ends, lower=True), first, SEED, short=False)
+    at, place = minimisers(grams, begin, least - SEED + 1)
+    cut = np.append(np.flatnonzero(np.append(len(at) > 0, place[1:] != place[:-1])), len(at)) if len(at) else np.zeros(1, np.int64)
+    doc = np.searchsorted(begin, at[cut[:-1]], "right") - 1
+    return grams, at, cut, doc, at[cut[:-1]] - begin[doc], grams[place[cut[:-1]]]
 
 
 def _grams(least: int):
@@ -80,174 +82,119 @@ def _grams(least: int):
         for batch in batches:
             buf, offs = text_buffer(batch.column(1))
             for i, j in slices(offs):
-                _, _, doc, _, key = _kept(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], least)
+                *_, doc, _, key = _kept(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], least)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key)), batch.column(0).slice(i, j - i).take(pa.array(doc))], names=["key", "doc_id"])
 
     return run
 
 
-def _gathered(words: np.ndarray, at: np.ndarray, step: int, count: np.ndarray, width: int) -> pa.Array:
-    """``width`` 32-bit word hashes a row from ``at`` on in direction ``step``, zero beyond ``count``, as binary."""
-    reach = np.arange(width)
-    ok = reach[None, :] < count[:, None]
-    place = np.where(ok, at[:, None] + step * reach[None, :], 0)
-    low = np.where(ok, (words[place] >> U64(32)).astype(np.uint32), 0).astype(">u4")
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * width), len(at), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
+def _flat(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of all numbers from ``begin`` to ``end`` of each row."""
+    count = end - begin
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[row]
+
 
+def _suffixes(least: int, wanted: np.ndarray, hot: np.ndarray, alone: bool):
+    """The suffixes whose gram is wanted and not hot, each with its windows; ``alone``: those whose gram is hot, a row a window with the window's hash as key."""
+    steps = [*range(0, least - SEED, SEED), least - SEED]
 
-def _suffixes(least: int, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = text_buffer(batch.column(1))
             for i, j in slices(offs):
-                words, first, doc, pos, key = _kept(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], least)
+                grams, at, cut, doc, pos, key = _kept(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], least)
                 place = key >> U64(64 - FILTER_BITS)
                 hit = (wanted[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
-                doc, pos, key = doc[hit], pos[hit], key[hit]
-                if not len(doc):
+                hit &= np.isin(key, hot) == alone
+                if not hit.any():
+                    continue
+                row, window = _flat(cut[:-1][hit], cut[1:][hit])
+                h = np.zeros(len(window), U64)
+                for step in steps:  # grams that cover the window
+                    h = mix(h * U64(0x9E3779B97F4A7C15) + grams[at[window] + step])
+                doc, pos, key, first = doc[hit], pos[hit], key[hit], cut[:-1][hit]
+                ids = batch.column(0).slice(i, j - i)
+                if alone:
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), ids.take(pa.array(doc[row])), pa.array((pos[row] + window - first[row]).astype(np.int32))], names=["key", "doc_id", "pos"])
                     continue
-                n = first[doc + 1] - first[doc]
-                ahead, behind = np.minimum(n - pos - SEED, least - SEED), np.minimum(pos, least - SEED)
-                at = first[doc] + pos
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key)), batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(ahead.astype(np.int32)), pa.array(behind.astype(np.int32)), _gathered(words, at + SEED, 1, ahead, least - SEED), _gathered(words, at - 1, -1, behind, least - SEED)],
-                    names=[c.split()[0] for c in SUFFIX.split(", ")],
-                )
+                ends = np.searchsorted(row, np.arange(len(doc) + 1)).astype(np.int32) * np.int32(8)
+                windows = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(h.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), ids.take(pa.array(doc)), pa.array(pos.astype(np.int32)), windows], names=["key", "doc_id", "pos", "windows"])
 
     return run
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, width)
-
-
-class _Rows:
-    """Sorted suffixes as arrays."""
-
-    def __init__(self, table: pa.Table, least: int):
-        self.key, self.doc, self.pos, self.ahead, self.behind = (table.column(c).to_numpy() for c in ("key", "doc_id", "pos", "ahead", "behind"))
-        self.right, self.left = _matrix(table.column("words_ahead"), least - SEED), _matrix(table.column("words_behind"), least - SEED)
-
-    def agree(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first, end) word of the match that row x has with row y, in x's document; an empty range where there is none."""
-        same = (self.key[x] == self.key[y]) & (self.doc[x] != self.doc[y])
-        ahead = np.minimum(_common(self.right[x], self.right[y]), np.minimum(self.ahead[x], self.ahead[y]))
-        behind = np.minimum(_common(self.left[x], self.left[y]), np.minimum(self.behind[x], self.behind[y]))
-        return np.where(same, self.pos[x] - behind, 0), np.where(same, self.pos[x] + SEED + ahead, 0)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    differ = a != b
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-
-
-def _marks(rows: _Rows, x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    out = [], [], []
-    for i in range(0, len(x), 4096):
-        a, b = x[i : i + 4096], y[i : i + 4096]
-        lo, hi = rows.agree(a, b)
-        ok = hi - lo >= least
-        for part, values in zip(out, (rows.doc[a], lo, hi), strict=True):
-            part.append(values[ok])
-    return tuple(np.concatenate(p) if p else np.zeros(0, np.int64) for p in out)
-
-
-def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the row before and the row behind its run of equal documents."""
-    begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    length = np.diff(np.append(begin, len(doc)))
-    return np.repeat(begin - 1, length), np.repeat(begin + length, length)
-
-
-def _neighbours(least: int):
-    """Marks of the sorted suffixes of a task (kind 0), and its first (1) and last (2) run of one document for the tasks beside it."""
-    names = [c.split()[0] for c in EDGE.split(", ")]
-
-    def edge(kind: int, part: int, table: pa.Table) -> pa.RecordBatch:
-        n = table.num_rows
-        full = [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), *(c.combine_chunks() for c in table.columns)]
-        return pa.RecordBatch.from_arrays(full, names=names)
+def _marks(table: pa.Table, least: int) -> pa.RecordBatch:
+    """The words of the windows that another document has with the same gram."""
+    key, doc, pos = (table.column(c).to_numpy() for c in ("key", "doc_id", "pos"))
+    windows = table.column("windows").to_pylist()
+    h = np.frombuffer(b"".join(windows), U64)
+    end = np.cumsum(np.array([len(w) for w in windows], np.int64) // 8)
+    begin = np.append(0, end[:-1])
+    row, number = _flat(np.zeros(len(end), np.int64), end - begin)
+    h = mix(key.view(U64)[row] * U64(0x9E3779B97F4A7C15) + h)
+    order = np.argsort(h, kind="stable")
+    new = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    held = doc[row][order]
+    several = np.minimum.reduceat(held, new) < np.maximum.reduceat(held, new)
+    shared = np.zeros(len(h), bool)
+    shared[order] = np.repeat(several, np.diff(np.append(new, len(h))))
+    at = np.flatnonzero(shared)
+    if len(at):  # windows of a suffix that lie side by side make one mark
+        ends = np.append((np.diff(at) > 1) | (np.diff(row[at]) > 0), True)
+        lo, hi = at[np.append(True, ends[:-1])], at[ends]
+    else:
+        lo = hi = at
+    return pa.RecordBatch.from_arrays([pa.array(doc[row[lo]]), pa.array((pos[row[lo]] + number[lo]).astype(np.int32)), pa.array((pos[row[hi]] + number[hi] + least).astype(np.int32))], names=["doc_id", "lo", "hi"])
+
+
+def _compared(least: int):
+    """Marks of suffixes that come sorted by gram, a gram's all in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, carry, fresh, done, first_given = TaskContext.get().partitionId(), None, 0, 0, False
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            if carry is not None:
-                table = pa.concat_tables([carry, table])
-            rows = _Rows(table, least)
-            n = table.num_rows
-            before, behind = _runs(rows.doc)
-            last = int(before[-1]) + 1  # where the last run begins
-            if not first_given and last > 0:
-                yield edge(1, part, table.slice(0, int(behind[0])))
-                first_given = True
-            x = np.arange(n)
-            back = x[(x >= fresh) & (before >= 0)]
-            ahead = x[(behind < n) & (x >= done)]
-            doc, lo, hi = _marks(rows, np.concatenate([back, ahead]), np.concatenate([before[back], behind[ahead]]), least)
-            if len(doc):
-                m = len(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int32()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.nulls(m, pa.int64()), pa.array(doc), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
-            # the last run goes on, with the one row before it, which has been compared on both sides
-            keep, done = max(last - 1, 0), int(last > 0)
-            carry, fresh = table.slice(keep), n - keep
-        if carry is not None:
-            rows = _Rows(carry, least)
-            before, _ = _runs(rows.doc)
-            tail = carry.slice(int(before[-1]) + 1)
-            if not first_given:
-                yield edge(1, part, tail)
-            yield edge(2, part, tail)
+            key = batch.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1], "left"))  # the last gram may go on in the next batch
+            if last or (waiting and waiting[-1].column(0)[-1].as_py() != key[0]):
+                waiting.append(batch.slice(0, last))
+                yield _marks(pa.Table.from_batches(waiting), least)
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield _marks(pa.Table.from_batches(waiting), least)
 
     return run
 
 
-def _across_tasks(least: int):
-    """Marks of the last run of one task and the first run of the next."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = _Rows(table, least)
-        kind = table.column("kind").to_numpy()
-        last, first = np.flatnonzero(kind == 2), np.flatnonzero(kind == 1)
-        if len(last) and len(first):
-            # the last row of the one run and the first row of the other are what the rows of the runs lie next to
-            l_row, f_row = last[np.lexsort((rows.pos[last],))], first
-            x = np.concatenate([last, first])
-            y = np.concatenate([np.full(len(last), f_row[0]), np.full(len(first), l_row[-1])])
-            doc, lo, hi = _marks(rows, x, y, least)
-        else:
-            doc = lo = hi = np.zeros(0, np.int64)
-        return pa.table({"doc_id": pa.array(doc, pa.int64()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())})
-
-    return run
-
-
-def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, start_word, n_words): all maximal runs of words of a document that matches of ``least`` words or more with other documents cover."""
+def repeated_passages(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """(doc_id, start_word, n_words): all maximal runs of words of a document that windows of ``least`` words cover which other documents have, too."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    keys = docs.mapInArrow(_grams(least), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    keys = docs.mapInArrow(_grams(least), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     place = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-    words = keys.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # a bitmap of FILTER_BITS bits
+    keys = keys.select(place.alias("p"), F.when(F.col("n") > hot, F.col("key")).alias("hot"))
+    words = keys.select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("m"), "hot").groupBy("w").agg(F.bit_or("m").alias("m"), F.collect_list("hot").alias("hot")).toPandas()  # a bitmap of FILTER_BITS bits, and a gram of each HOT suffixes at most
     wanted = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     wanted[words.w.to_numpy().astype(np.int64)] = words.m.to_numpy()
-    held = spark.sparkContext.broadcast(wanted.view(U64))
+    common = np.array(sorted(k for some in words.hot for k in some), np.int64)
+    held = spark.sparkContext.broadcast((wanted.view(U64), common.view(U64)))
+
+    def kept(alone: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _suffixes(least, *held.value, alone)(batches)
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _suffixes(least, held.value)(batches)
+        return run
 
-    kept = docs.mapInArrow(second, SUFFIX)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = ["key", "words_ahead", "words_behind", "doc_id", "pos"]
-    ordered = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found, _ = scratch.cut(ordered.mapInArrow(_neighbours(least), EDGE), "neighbours")
-    edges = found.filter("kind > 0")
-    tasks = edges.select("part").distinct().select("part", F.row_number().over(Window.orderBy("part")).alias("no"))  # a row a task
-    edges = edges.join(F.broadcast(tasks), "part").withColumn("no", F.when(F.col("kind") == 2, F.col("no")).otherwise(F.col("no") - 1))
-    extra = edges.groupBy("no").applyInArrow(_across_tasks(least), "doc_id long, lo int, hi int")
-    marks = found.filter("kind = 0").select("doc_id", "lo", "hi").union(extra).distinct()
+    marks = docs.mapInArrow(kept(False), SUFFIX).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compared(least), MARK)
+    if len(common):
+        windows = docs.mapInArrow(kept(True), "key long, doc_id long, pos int")
+        several = windows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
+        marks = marks.union(windows.join(several, "key", "left_semi").select("doc_id", F.col("pos").alias("lo"), (F.col("pos") + least).alias("hi")))
     by_doc = Window.partitionBy("doc_id").orderBy("lo", "hi")
     reach = F.max("hi").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     marks = marks.withColumn("new", F.coalesce((F.col("lo") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))

@@ -182,6 +182,22 @@ def test_one_passage_in_many_documents(spark):
     assert {tuple(r) for r in sparse_suffix.repeated_passages(df).collect()} == {(d, 40, 70) for d in texts}
 
 
+@pytest.mark.parametrize("limits", [{}, {"hot": 10}])
+def test_passages_beside_a_frequent_line(spark, limits):
+    """Pairs share 12 words and then a line that all documents hold, or the line and 12 words behind it."""
+    rng = np.random.default_rng(6)
+    own = lambda n: " ".join(f"o{rng.integers(0, 10**9)}" for _ in range(n))
+    texts = {}
+    for p in range(60):
+        line = " ".join(f"line{p % 3}x{i}" for i in range(40))
+        shared = own(12)
+        for d in (2 * p, 2 * p + 1):
+            texts[d] = " ".join([own(30), shared, line, own(30)] if p % 2 else [own(30), line, shared, own(30)])
+    texts[200] = texts[3] + " " + texts[3]
+    df = spark.createDataFrame([*texts.items(), (200, texts[200])], "doc_id long, text string").repartition(8)
+    assert {tuple(r) for r in sparse_suffix.repeated_passages(df, **limits).collect()} == brute.passages(texts)
+
+
 # --- 6
 
 
