@@ -9,11 +9,15 @@ one shingle, one without words is the empty set, which is linked with nothing).
    in which each (sample number, sample) flips one bit.
 2. Equal sets are one class, represented by the smallest doc_id.
 3. Representatives that share a band key are compared with one leader of the
-   key, never with each other: first with its smallest doc_id; those whose
-   sketch is too far from that, in two more rounds, with one drawn by a hash of
-   key and doc_id. The exclusive or of two odd sketches has a population count
-   from which the number of differing samples, and so the similarity, is
-   estimated; pairs clearly below the threshold go.
+   key: first with its smallest doc_id, in two more rounds with one drawn by a
+   hash of key and doc_id. The exclusive or of two odd sketches has a population
+   count from which the number of differing samples, and so the similarity, is
+   estimated; at most ``limit`` of it is *near*. The count keeps the triangle
+   inequality: what is near a member near the leader is within twice the limit,
+   the ball. Members near the leader leave the key, as all they may be linked to
+   is in the ball; those between are in the ball and go on, those outside go on.
+   Members of a key that are left after the rounds are compared with each other
+   in blocks, like the members of a ball.
 4. What remains is a ball of candidates around each leader. Links to the leader
    are confirmed on the full sets. Those of a ball that are not linked to it may
    still be linked to each other or to linked ones: they are compared in blocks,
@@ -23,7 +27,7 @@ one shingle, one without words is the empty set, which is linked with nothing).
 5. Links make components.
 
 With 32 bands of 4 rows a pair at the threshold of 0.8 shares no key with a
-probability of 5e-8, and 13 keys on average, each with a leader of its own.
+probability of 5e-8, and 13 keys on average; under each they are compared.
 The sets of candidates are built from a second reading of the documents, of
 which a bitmap of fixed size (``FILTER_BITS``) lets only candidates and a few
 others through, so that texts are not shuffled.
@@ -158,21 +162,24 @@ def _leaders(members: DataFrame, drawn: bool) -> DataFrame:
     return members.join(led, "key").filter("doc_id <> b")
 
 
-def _balls(members: DataFrame, light: DataFrame, limit: int, percent: int) -> list[DataFrame]:
-    """Tables (a, b, flips) of members a and leaders b that may be linked, one table a round."""
+def _balls(members: DataFrame, light: DataFrame, limit: int, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (a, b) of members a and leaders b of their ball, one table a round; and the members (key, doc_id) left after the rounds."""
     out = []
     for r in range(ROUNDS):
         led, _ = scratch.cut(_leaders(members, drawn=r > 0), "led")
         pairs = led.select(F.col("doc_id").alias("a"), "b").distinct()
         pairs = pairs.join(light.select(F.col("doc_id").alias("a"), F.struct("n_shingles", "odd").alias("x")), "a").join(light.select(F.col("doc_id").alias("b"), F.struct("n_shingles", "odd").alias("y")), "b")
+        small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
         near = (F.col("flips") <= limit) & F.col("sized")
-        sized = F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent
-        judged, _ = scratch.cut(pairs.select("a", "b", _flips("x.odd", "y.odd").alias("flips"), sized.alias("sized")).select("a", "b", near.alias("near")), "judged")
-        out.append(judged.filter("near").select("a", "b"))
-        if r + 1 < ROUNDS:
-            far = judged.filter("not near").select(F.col("a").alias("doc_id"), "b")
-            members = led.join(far, ["doc_id", "b"], "left_semi").select("key", "doc_id")
-    return out
+        # what may be linked to a member near the leader: both steps have the limit and the share of sizes
+        ball = (F.col("flips") <= 2 * limit) & F.col("both_sized")
+        judged = pairs.select("a", "b", _flips("x.odd", "y.odd").alias("flips"), (small * 100 >= large * percent).alias("sized"), (small * 10_000 >= large * percent**2).alias("both_sized"))
+        judged, _ = scratch.cut(judged.select("a", "b", near.alias("near"), ball.alias("ball")), "judged")
+        out.append(judged.filter("ball").select("a", "b"))
+        members = led.join(judged.filter("not near").select(F.col("a").alias("doc_id"), "b"), ["doc_id", "b"], "left_semi").select("key", "doc_id")
+    several = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    left, _ = scratch.cut(members.join(several, "key"), "left")
+    return out, left
 
 
 def _joined_in_block(limit: int, percent: int):
@@ -236,12 +243,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     reps, _ = scratch.cut(reps.select("doc_id", "n_shingles", "keys", "odd"), "reps")
     limit = most_flips(percent / 100, bands * rows, SKETCH_BITS)
     light = reps.select("doc_id", "n_shingles", "odd")
-    rounds = _balls(reps.select("doc_id", F.explode("keys").alias("key")), light, limit, percent)
+    rounds, left = _balls(reps.select("doc_id", F.explode("keys").alias("key")), light, limit, percent)
     balls = rounds[0]
     for more in rounds[1:]:
         balls = balls.union(more)
     balls, _ = scratch.cut(balls.distinct(), "balls")
-    wanted = balls.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = balls.select(F.explode(F.array("a", "b")).alias("doc_id")).union(left.select("doc_id")).distinct()
     full = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(_sets(k, id_bits(wanted, FILTER_BITS)), "doc_id long, members array<long>")
     full = full.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("members", F.struct(F.size("members"), F.col("members"))).alias("members"))
     full, _ = scratch.cut(full, "sets")
@@ -260,7 +267,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     met = met.select("b", F.col("a").alias("doc_id"), "linked", "away", "block", F.explode(others).alias("o")).select("b", "doc_id", "linked", "away", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     met = met.join(light, "doc_id").join(full, "doc_id")
     more = met.groupBy("b", "i", "j").applyInArrow(_joined_in_block(limit, percent), "a long, b long")
-    comps = connected_components(measured.filter("linked").select("a", "b").union(more))
+    # members left of a key: blocks of a ball that has no leader
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    apart = left.select("key", "doc_id", F.lit(False).alias("linked"), F.lit(0.0).alias("away"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+    apart = apart.select("key", "doc_id", "linked", "away", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")).join(light, "doc_id").join(full, "doc_id")
+    rest = apart.groupBy("key", "i", "j").applyInArrow(_joined_in_block(limit, percent), "a long, b long").distinct()
+    comps = connected_components(measured.filter("linked").select("a", "b").union(more).union(rest))
     placed = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*one, F.coalesce("component", "rep").alias("component"))
     component = F.coalesce("component", "doc_id")
     return sets.join(placed, one, "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -91,6 +91,25 @@ def test_chains_and_balls(spark):
     assert got == brute.components(texts, 4, 80)
 
 
+def test_pairs_of_a_crowded_key_are_compared(spark):
+    """A key that many strangers share, two near each other, and one on each side of a leader's limit: each pair shares a ball or is left."""
+    rng = np.random.default_rng(2)
+    limit = minhash_dedup.most_flips(0.8, 128, 1024)
+    flipped = lambda bits, at: np.bitwise_xor(bits, np.isin(np.arange(1024), at))
+    bits = {d: rng.random(1024) < 0.1 for d in range(60)}
+    bits[60] = flipped(bits[59], range(10))
+    bits[70] = flipped(bits[0], range(limit - 5))  # the first leader is 0
+    bits[71] = flipped(bits[0], range(limit + 5))
+    odd = {d: np.packbits(b).view(np.int64).tolist() for d, b in bits.items()}
+    light = spark.createDataFrame([(d, 100, o) for d, o in odd.items()], "doc_id long, n_shingles long, odd array<long>")
+    rounds, left = minhash_dedup._balls(light.selectExpr("doc_id", "7L as key"), light, limit, 80)
+    groups = [{r.doc_id for r in left.collect()}]
+    for table in rounds:
+        pairs = table.collect()
+        groups += [{b, *(r.a for r in pairs if r.b == b)} for b in {r.b for r in pairs}]
+    assert all(any(pair <= g for g in groups) for pair in ({59, 60}, {70, 71}))
+
+
 def test_odd_sketch_estimate():
     rng = np.random.default_rng(1)
     for j in (0.6, 0.8, 0.95):
