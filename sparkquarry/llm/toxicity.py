@@ -1,37 +1,46 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models, of toxic and of ordinary text, with the
-orders bigram, word, beginning of the word (``STEMS`` bytes: six, then four) and
-last the shared continuation distribution of the shortest beginnings, which
-counts the kinds of context that each follows in the whole corpus:
-
-    P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v) + rest * P_c(w)
-    P_c(x)     = max(n_c(x) - D, 0) / n_c + rest * P_c(stem of x) * n(x) / n(stem of x)
-
-with discounts D for counts of one, two and more. How a stem's probability is
-shared out to its words, n(x) / n(stem), and the rest are counts over all
-documents, the same in both models, so a rare word has the evidence of its stem
-and no more. A word's evidence is the difference of its log-likelihoods; words
-that a document repeats count once. A document is described by its mean evidence
-a word, by the largest mean over any ``SPAN`` consecutive words (or all, if it
-has fewer) and by that of its strongest word, so that a few abusive words in a
-long text are not averaged away. A logistic unit turns these into a score between 0 and 1; it is fitted on labelled
-documents held out from the counts (crc32 of the id modulo 4 equal to
-``FIT_FOLD``), at most ``FIT_DOCUMENTS`` of them (smallest hash of the id).
-
-Tables have a fixed size whatever the corpus: words and stems are counted in
-``SLOTS`` hash slots an order (those sharing a slot are summed), contexts in 64
-classes a slot, and bigrams are kept where the toxic text has them ``LEAST``
-times or more, at most the ``BIGRAMS`` most frequent ones. All labelled rows
-outside the held-out fold count, and all rows count for what is shared.
+Two interpolated Kneser-Ney models, of toxic and of ordinary text, over words and
+the beginnings of words (``STEM`` bytes), with one distribution shared by both
+below them. N_c(. w) is the number of different words that w follows in texts of
+class c (its continuation count), N(. w) that in all documents, and the count of
+a beginning is the sum over its words:
+
+    P_c(w) = max(N_c(. w) - D, 0) / N_c(. .) + rest * P_c(stem of w) * N(. w) / N(. stem)
+    P_c(s) = max(N_c(. s) - D, 0) / N_c(. .) + rest * P(s),    P(x) = N(. x) / N(. .)
+
+The discounts D (of counts 1, 2, 3 and more) come from the counts of counts of
+each class and order. So a rare expression is smoothed by the counts that it and
+its beginning have in the whole corpus. Log-likelihoods are given relative to the
+shared P: log P_c(w) - log P(w). This leaves every comparison as it is, and a word
+that neither class has needs no count of its own.
+
+The comparison is that of the length-normalised log-likelihoods, toxic less
+ordinary, of a document's span of ``SPAN`` words where it is greatest (of the whole
+text, if it is shorter), so that a few abusive words in a long text are not
+averaged away. A logistic unit of this one number gives the score; it is fitted on
+labelled documents held out from the counts (every ``UNIT_OF``-th by crc32 of the
+id), at most ``UNIT_DOCUMENTS`` of them (smallest hash of the id).
+
+Class counts are taken from at most ``FIT_DOCUMENTS`` labelled documents of each
+class (smallest hash of the id), whole texts: the bound of what is broadcast. The
+shared counts cover all documents and every different pair of neighbouring words:
+they are counted in the cluster, and only those of words that a class has reach
+the model. Words are told apart by 64 bits of hash (the first 32 are those of the
+beginning), contexts of one word by 32.
+
+A bigram order on top of these (raw counts of both classes) was measured and left
+out: it made held-out results worse (see README).
 
 Labels are read from rows with crc32(doc_id as text) mod 4 <> 2 alone. A
 repeated label of one document counts as toxic if any is.
 
-Edge cases: null or empty text has no evidence (features 0) and gets the score
-of a document without a word. A null doc_id is not held out and has no label.
-Repeated rows count as often as they occur. Without labelled rows of both
-classes every score is the share of toxic labels (0 if there are none).
+Edge cases: a text that is null, empty or blank has a difference of 0. Very long
+texts are read wholly. A null doc_id is not held out and has no label. Rows that
+repeat a doc_id are scored each; all texts of a labelled id are learned from.
+Other columns than doc_id and text are not read. Without labelled rows of both
+classes, as with empty tables, every score is the share of toxic labels among
+those that may be learned (0 if there are none). No documents give no rows.
 """
 
 from __future__ import annotations
@@ -41,307 +50,294 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .idfilter import likely_rows
 from .textkernel import U64, mix, signed, slices, span_hash, text_buffer, word_bounds
 
-SLOTS, STEMS, BIGRAMS, LEAST = 1 << 18, (6, 4), 200_000, 3
-SPAN, HELD_OUT, FIT_FOLD, FIT_DOCUMENTS, THRESHOLD = 8, 2, 0, 6000, 0.3
-DISCOUNTS = (0.0, 0.95, 1.3, 1.6)
-#: Evidence of one word: what speaks for ordinary text is cut short, as toxic texts are ordinary but for a few words.
-BOUNDS = (-0.25, 8.0)
-ORDERS = 1 + len(STEMS)
+STEM, SPAN, HELD_OUT, UNIT_OF, THRESHOLD = 5, 3, 2, 6, 0.3
+FIT_DOCUMENTS, UNIT_DOCUMENTS = 50_000, 6_000
+STEM_BITS = 32
+LOW = U64((1 << (64 - STEM_BITS)) - 1)
+#: Pairs that a task holds before it hands them on, and groups of words in which they meet at least.
+HOLD, LEAST_BUCKETS = 1 << 21, 256
+
+_MARK = np.zeros(256, bool)
+_MARK[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
 
-def _fold(column: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4, F.lit(-1))
+def _crc() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
 
-def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(word hashes, slots of words and of their stems, first words): words in lower case without marks at their ends."""
+def _held_out() -> Column:
+    return F.coalesce(_crc() % 4 == HELD_OUT, F.lit(False))
+
+
+def word_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, first words): words in lower case without up to three marks at each end; a key begins with the hash of the word's beginning."""
     starts, ends, first = word_bounds(buf, offs)
     starts, ends = starts.copy(), ends.copy()
     for _ in range(3 if len(ends) else 0):
         ends -= (ends - starts > 1) & _MARK[buf[ends - 1]]
         starts += (ends - starts > 1) & _MARK[buf[starts]]
-    h = span_hash(buf, starts, ends, lower=True)
-    slots = [_slot(h)] + [_slot(span_hash(buf, starts, np.minimum(ends, starts + n), lower=True)) for n in STEMS]
-    return h, slots, first
-
+    word = span_hash(buf, starts, ends, lower=True)
+    stem = span_hash(buf, starts, np.minimum(ends, starts + STEM), lower=True)
+    return (stem & ~LOW) | (word & LOW), first
 
-_MARK = np.zeros(256, bool)
-_MARK[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 
+def _contexts(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """32 bits of hash of the word before each word; 0 before a text's first."""
+    out = np.zeros(len(keys), np.uint32)
+    if len(keys):
+        out[1:] = np.maximum((mix(keys[:-1]) >> U64(32)).astype(np.uint32), 1)
+        out[first[:-1][first[:-1] < len(keys)]] = 0
+    return out
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h & U64(SLOTS - 1)).astype(np.int64)
 
+def _distinct(keys: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(keys * U64(0x9E3779B97F4A7C15) + contexts)
+    order = np.argsort(h)
+    h = h[order]
+    order = order[np.append(True, h[1:] != h[:-1])[: len(h)]]
+    return keys[order], contexts[order]
 
-def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of second words, hashes of the bigrams) within documents."""
-    inside = np.ones(len(h), bool)
-    inside[first[:-1][first[:-1] < len(h)]] = False
-    at = np.flatnonzero(inside)
-    return at, mix(h[at - 1] * U64(0x9E3779B97F4A7C15) + h[at])
 
+PAIRS = "section int, bucket int, words binary, counts binary, contexts binary"
 
-def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, offs = text_buffer(batch.column(0))
-        for i, j in slices(offs):
-            h, _, first = _words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            _, keys = _pairs(h, first)
-            keys, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
+def _packed(section: int, keys: np.ndarray, contexts: np.ndarray, kinds: int, split: int) -> pa.RecordBatch:
+    """One row a bucket: its words, how many contexts each has here, and these. A word's contexts are split over ``split`` buckets."""
+    bucket = (mix(keys) % U64(kinds)).astype(np.int64) * split + (contexts % np.uint32(split)).astype(np.int64)
+    order = np.lexsort((keys, bucket))
+    keys, contexts, bucket = keys[order], contexts[order], bucket[order]
+    new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])))
+    counts = np.diff(np.append(new, len(keys))).astype(np.uint32)
+    words, at = keys[new], np.flatnonzero(np.append(True, bucket[new][1:] != bucket[new][:-1]))
+    to = np.append(at[1:], len(new))
+    ends = np.append(new, len(keys))
+    rows = [(words[a:b].tobytes(), counts[a:b].tobytes(), contexts[ends[a] : ends[b]].tobytes()) for a, b in zip(at.tolist(), to.tolist(), strict=True)]
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), section, np.int32)), pa.array(bucket[new][at].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=[c.split()[0] for c in PAIRS.split(", ")])
 
-COUNTS = "slot int, toxic long, ordinary long, every long, contexts long"
 
+def _pairs(kinds: int, split: int):
+    """The different (word, word before) of all texts (section 0), and of toxic (1) and ordinary ones (2). Columns: text, toxic."""
 
-def _word_counts(kept: np.ndarray, shared: bool):
-    """Sparse rows of one worker: counts of each order by slot, behind them the kept bigrams; contexts for the lowest order.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
+        size = [0, 0, 0]
 
-    ``shared``: what both models share, of all texts; otherwise what each has, of labelled texts.
-    """
+        def joined(s: int) -> tuple[np.ndarray, np.ndarray]:
+            return _distinct(*(np.concatenate([x[c] for x in held[s]]) for c in (0, 1)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, low = ORDERS * SLOTS + len(kept), (ORDERS - 1) * SLOTS
-        n = np.zeros((3, size), np.int64)
-        contexts = np.zeros(size, U64)
         for batch in batches:
             label = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
             buf, offs = text_buffer(batch.column(0))
             for i, j in slices(offs):
-                h, slots, first = _words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                keys, first = word_keys(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                contexts = _contexts(keys, first)
                 of = np.repeat(label[i:j], np.diff(first))
-                at, keys = _pairs(h, first)
-                bits = U64(1) << (h[at - 1] >> U64(58))
-                if shared:
-                    order = np.argsort(slots[-1][at], kind="stable")
-                    s = slots[-1][at][order]
-                    if len(s):
-                        new = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                        contexts[low + s[new]] |= np.bitwise_or.reduceat(bits[order], new)
-                    for o, slot in enumerate(slots):
-                        n[2, o * SLOTS : (o + 1) * SLOTS] += np.bincount(slot, minlength=SLOTS)
-                    continue
-                for c, mine in enumerate((of == 1, of == 0)):
-                    if not mine.any():
+                for s, mine in enumerate((slice(None), of == 1, of == 0)):
+                    some = _distinct(keys[mine], contexts[mine])
+                    if not len(some[0]):
                         continue
-                    for o, slot in enumerate(slots):
-                        n[c, o * SLOTS : (o + 1) * SLOTS] += np.bincount(slot[mine], minlength=SLOTS)
-                    if len(kept):
-                        k = keys[mine[at]]
-                        place = np.minimum(np.searchsorted(kept, k), len(kept) - 1)
-                        n[c, ORDERS * SLOTS :] += np.bincount(place[kept[place] == k], minlength=len(kept))
-        some = np.flatnonzero((n > 0).any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(x[some]) for x in n), pa.array(signed(contexts[some]))], names=[c.split()[0] for c in COUNTS.split(", ")])
+                    held[s].append(some)
+                    size[s] += len(some[0])
+                    if size[s] > HOLD:
+                        held[s] = [joined(s)]
+                        size[s] = len(held[s][0][0])
+                        if size[s] > HOLD // 2:
+                            yield _packed(s, *held[s][0], kinds, split)
+                            held[s], size[s] = [], 0
+        for s in range(3):
+            if held[s]:
+                yield _packed(s, *joined(s), kinds, split)
 
     return run
 
 
+def _counted(table: pa.Table) -> pa.Table:
+    """The number of different contexts of each word of one section and bucket."""
+    words, counts, contexts = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("words", U64), ("counts", np.uint32), ("contexts", np.uint32)))
+    keys, _ = _distinct(np.repeat(words, counts), contexts)
+    keys, n = np.unique(keys, return_counts=True)
+    return pa.table({"section": pa.array(np.full(len(keys), table.column("section")[0].as_py(), np.int32)), "word": pa.array(signed(keys)), "n": pa.array(n)})
+
+
+def continuation_counts(docs: DataFrame) -> DataFrame:
+    """(word, every, toxic, ordinary): for each word the number of different words before it, in all texts and in those of each class. ``docs``: text, toxic (null: unknown)."""
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS)
+    split = -(-parts // 64)  # the contexts of one word meet in so many groups
+    pairs = docs.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_pairs(max(parts // split, 1), split), PAIRS)
+    counts = pairs.groupBy("section", "bucket").applyInArrow(_counted, "section int, word long, n long")
+    each = [F.sum(F.when(F.col("section") == s, F.col("n")).otherwise(0)).alias(name) for s, name in enumerate(("every", "toxic", "ordinary"))]
+    return counts.groupBy("word").agg(*each)
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """Discounts of counts of one, two, and three or more from the counts of counts; kept above 0 where a count of counts is 0."""
+    a, b, c, d = (max(n, 1) for n in (n1, n2, n3, n4))
+    y = a / (a + 2 * b)
+    return tuple(float(np.clip(k - (k + 1) * y * more / less, 0.1, k - 0.05)) for k, more, less in ((1, b, a), (2, c, b), (3, d, c)))
+
+
+def _spectrum(table: DataFrame) -> dict[str, tuple[float, tuple[float, float, float], float]]:
+    """class -> (total, discounts, mass handed down) of a table with a row a word or beginning; one row of sums is collected."""
+    names = [f"{c}_{k}" for c in ("toxic", "ordinary") for k in ("total", 1, 2, 3, 4, "more")]
+    sums = [e for c in ("toxic", "ordinary") for e in (F.sum(c), *(F.count_if(F.col(c) == k) for k in (1, 2, 3, 4)), F.count_if(F.col(c) >= 3))]
+    got = table.agg(*(e.alias(n) for e, n in zip(sums, names, strict=True))).first()
+    out = {}
+    for c in ("toxic", "ordinary"):
+        total, *n, more = (got[f"{c}_{k}"] or 0 for k in ("total", 1, 2, 3, 4, "more"))
+        d = discounts(*n)
+        out[c] = (float(max(total, 1)), d, (n[0] * d[0] + n[1] * d[1] + more * d[2]) / max(total, 1) if total else 1.0)
+    return out
+
+
+def _taken(column: str, d: tuple[float, float, float]) -> Column:
+    n = F.col(column)
+    return F.when(n == 0, 0.0).when(n == 1, 1 - d[0]).when(n == 2, 2 - d[1]).otherwise(n - d[2])
+
+
 @dataclass(frozen=True)
 class ToxicModel:
-    """``high``: discounted probabilities (2 classes, orders, slots); ``every``: counts over all documents; ``cont``: the shared lowest order."""
-
-    high: np.ndarray
-    every: np.ndarray
-    rest: np.ndarray  # the mass that each order hands down
-    cont: np.ndarray
-    pair_keys: np.ndarray  # sorted
-    pair_high: np.ndarray  # (2 classes, kept bigrams)
-    pair_rest: np.ndarray
-    unit: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, 0.0)  # weights of mean, largest mean, log length, strongest word; offset
-
-    def evidence(self, h: np.ndarray, slots: list[np.ndarray], first: np.ndarray) -> np.ndarray:
-        """Log-likelihood of every word under the toxic model less that under the ordinary one."""
-        at, keys = _pairs(h, first)
-        place = np.minimum(np.searchsorted(self.pair_keys, keys), max(len(self.pair_keys) - 1, 0))
-        ok = self.pair_keys[place] == keys if len(self.pair_keys) else np.zeros(len(keys), bool)
-        out = []
-        for c in (0, 1):
-            p = self.high[c, -1][slots[-1]] + self.rest[-1] * self.cont[slots[-1]]
-            for o in range(ORDERS - 2, -1, -1):
-                share = np.minimum(self.every[o][slots[o]] / np.maximum(self.every[o + 1][slots[o + 1]], 1), 1)
-                p = self.high[c, o][slots[o]] + self.rest[o] * p * np.maximum(share, 1e-9)
-            p = np.maximum(p, 1e-30)
-            p[at[ok]] = self.pair_high[c][place[ok]] + self.pair_rest[c][place[ok]] * p[at[ok]]
-            out.append(np.log(p))
-        return np.clip(out[0] - out[1], *BOUNDS)
-
-    def features(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        h, slots, first = _words(buf, offs)
+    """Relative log-likelihoods (toxic, ordinary) of words and of the beginnings of other words, and of words with neither."""
+
+    words: np.ndarray  # sorted keys
+    word_values: np.ndarray
+    stems: np.ndarray  # sorted, the first bits of keys
+    stem_values: np.ndarray
+    unknown: np.ndarray
+    unit: tuple[float, float] = (0.0, 0.0)  # weight of the difference, offset
+
+    def relative(self, keys: np.ndarray) -> np.ndarray:
+        """log P_c(w) - log P(w) of each word for both classes."""
+        keys, back = np.unique(keys, return_inverse=True)
+        out = np.tile(self.unknown.astype(float), (len(keys), 1))
+        for table, values, wanted in ((self.stems, self.stem_values, keys >> U64(64 - STEM_BITS)), (self.words, self.word_values, keys)):
+            if len(table):
+                at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+                ok = table[at] == wanted
+                out[ok] = values[at[ok]]
+        return out[back]
+
+    def compare(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Each text's length-normalised toxic and ordinary log-likelihood, and the largest difference of a span."""
+        keys, first = word_keys(buf, offs)
         n = np.diff(first)
-        e = self.evidence(h, slots, first)
-        # a word counts where a document has it first
-        own = mix(h + np.repeat(np.arange(len(n), dtype=U64), n) * U64(0xD1B54A32D192ED03))
-        _, new = np.unique(own, return_index=True)
-        seen = np.ones(len(h), bool)
-        seen[new] = False
-        e[seen] = 0
-        total = np.concatenate([[0.0], np.cumsum(e)])
-        out = np.zeros((len(n), 4))
-        some = n > 0
-        out[some, 0] = (total[first[1:]] - total[first[:-1]])[some] / n[some]
-        out[:, 2] = np.log1p(n) / 8
-        out[some, 1] = out[some, 0]
-        if len(e):
-            out[some, 3] = np.maximum.reduceat(e, first[:-1][some])
+        total = np.concatenate([np.zeros((1, 2)), np.cumsum(self.relative(keys), axis=0)]) if len(keys) else np.zeros((1, 2))
+        out = np.zeros((len(n), 3))
+        out[:, :2] = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)[:, None]
+        out[:, 2] = out[:, 0] - out[:, 1]
         long = np.flatnonzero(n >= SPAN)
         if len(long):
-            mean = (total[SPAN:] - total[:-SPAN]) / SPAN
-            # the last place where a span may begin is SPAN - 1 words before a document's end
+            gap = total[:, 0] - total[:, 1]
+            mean = (gap[SPAN:] - gap[:-SPAN]) / SPAN
+            # the last place where a span may begin is SPAN words before a text's end
             edges = np.stack([first[long], first[long + 1] - SPAN + 1], axis=1).ravel()
-            out[long, 1] = np.maximum.reduceat(np.append(mean, -np.inf), edges)[::2]
+            out[long, 2] = np.maximum.reduceat(np.append(mean, -np.inf), edges)[::2]
         return out
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.unit[:4]) + self.unit[4], -60, 60)))
+    def score(self, difference: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.unit[0] * difference + self.unit[1], -60, 60)))
 
 
-def _discounted(n: np.ndarray) -> np.ndarray:
-    return np.maximum(n - np.array(DISCOUNTS)[np.minimum(n, 3).astype(np.int64)], 0)
+def build_model(counts: DataFrame) -> ToxicModel:
+    """The model of continuation counts; what is collected are the words and beginnings that a class has."""
+    stem = F.shiftrightunsigned("word", 64 - STEM_BITS)
+    sums = [F.sum(c).alias(f"{c}_of_stem") for c in ("every", "toxic", "ordinary")]
+    stems, _ = scratch.cut(counts.groupBy(stem.alias("stem")).agg(*sums), "stems")
+    total = float(stems.agg(F.sum("every_of_stem")).first()[0] or 1)
+    classes = ("toxic", "ordinary")
+    low = _spectrum(stems.select(*(F.col(f"{c}_of_stem").alias(c) for c in classes)))
+    high = _spectrum(counts)
+    shared = F.col("every_of_stem") / total
+    below = {c: _taken(f"{c}_of_stem", low[c][1]) / low[c][0] / shared + low[c][2] for c in classes}
+    known = counts.filter("toxic > 0 or ordinary > 0").withColumn("stem", stem).join(stems, "stem")
+    value = {c: F.log(_taken(c, high[c][1]) / high[c][0] / (F.col("every") / total) + high[c][2] * below[c]).cast("float").alias(c[0]) for c in classes}
+    words = known.select("word", *(value[c] for c in classes)).toArrow()
+    begins = stems.filter("toxic_of_stem > 0 or ordinary_of_stem > 0").select("stem", *(F.log(high[c][2] * below[c]).cast("float").alias(c[0]) for c in classes)).toArrow()
 
+    def table(t: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+        keys = t.column(key).to_numpy().view(U64)
+        order = np.argsort(keys)
+        return keys[order], np.column_stack([t.column("t").to_numpy(), t.column("o").to_numpy()]).astype(np.float32).reshape(-1, 2)[order]
 
-def build_model(counts: np.ndarray, contexts: np.ndarray, kept: np.ndarray, histories: np.ndarray) -> ToxicModel:
-    """``counts`` (toxic, ordinary, every) over the slots of all orders and then the kept bigrams, whose first words' slots are ``histories``."""
-    orders = counts[:, : ORDERS * SLOTS].reshape(3, ORDERS, SLOTS).astype(float)
-    kinds = -64 * np.log1p(-np.minimum(np.bitwise_count(contexts[(ORDERS - 1) * SLOTS : ORDERS * SLOTS]).astype(float), 63.5) / 64)  # distinct contexts behind the hashed classes
-    cont = (kinds + 0.5) / (kinds + 0.5).sum()
-    total = np.maximum(orders.sum(axis=2), 1)
-    high = _discounted(orders[:2]) / total[:2, :, None]
-    both = orders[0] + orders[1]
-    rest = np.maximum(1 - _discounted(both).sum(axis=1) / np.maximum(both.sum(axis=1), 1), 1e-3)
-    pair = counts[:2, ORDERS * SLOTS :].astype(float)
-    before = np.maximum(orders[:2, 0][:, histories], 1)
-    top = np.minimum(_discounted(pair) / before, 0.99)
-    # what the kept bigrams of a history hold stays with them
-    gone = np.stack([np.bincount(histories, t, minlength=SLOTS)[histories] for t in top]) if len(kept) else top
-    return ToxicModel(high.astype(np.float32), orders[2].astype(np.float32), rest, cont, kept, top, np.maximum(1 - gone, 0.01))
+    return ToxicModel(*table(words, "word"), *table(begins, "stem"), np.array([np.log(high[c][2] * low[c][2]) for c in classes], np.float32))
 
 
-def _fit_unit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
-    """Logistic regression by Newton steps, each halved until the penalised loss falls."""
+def _fit_unit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
+    """Logistic regression on one number by Newton steps, each halved until the penalised loss falls."""
     x = np.column_stack([x, np.ones(len(x))])
-    theta = np.zeros(x.shape[1])
-    theta[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    theta = np.array([0.0, np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])
+    penalty = np.array([ridge, 0.0])
 
     def loss(t: np.ndarray) -> float:
         z = x @ t
-        return float(np.logaddexp(0, z).sum() - (y * z).sum() + ridge / 2 * (t[:-1] ** 2).sum())
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + (penalty * t * t).sum() / 2)
 
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        penalty = ridge * np.append(np.ones(len(theta) - 1), 0)
-        g = x.T @ (p - y) + penalty * theta
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6)
-        step, now = np.linalg.solve(hess, g), loss(theta)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6), x.T @ (p - y) + penalty * theta)
+        now = loss(theta)
         while loss(theta - step) > now and np.abs(step).max() > 1e-7:
             step = step / 2
         theta = theta - step
         if np.abs(step).max() < 1e-6:
             break
-    return tuple(theta.tolist())
+    return float(theta[0]), float(theta[1])
+
 
+RESULT = "doc_id long, toxic_loglik double, ordinary_loglik double, span_difference double"
 
-def _features(model: ToxicModel):
+
+def _compared(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         for batch in batches:
             buf, offs = text_buffer(batch.column(1))
             for i, j in slices(offs):
-                x = model.features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x[:, c]) for c in range(4))], names=["doc_id", "mean", "most", "size", "peak"])
+                x = model.compare(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x[:, c]) for c in range(3)), pa.array(model.score(x[:, 2]))], names=[c.split()[0] for c in f"{RESULT}, score double".split(", ")])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
+def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """(doc_id, both log-likelihoods a word, largest span difference, score) of every row of ``docs`` (doc_id, text)."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # words of FIT_DOCUMENTS documents a class
+    return docs.select("doc_id", "text").mapInArrow(_compared(held), f"{RESULT}, score double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS, unit_documents: int = UNIT_DOCUMENTS) -> ToxicModel:
     """Count, build both models and fit the unit."""
-    spark = docs.sparkSession
-    marked = labels.filter("doc_id is not null and toxic in (0, 1)").filter((_fold() != HELD_OUT) & (_fold() >= 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked, _ = scratch.cut(marked, "labels")
-    # only texts of labelled documents are shuffled to their labels; labels are never broadcast, as they grow with the documents
-    labelled, _ = scratch.cut(likely_rows(docs.filter("text is not null"), marked).join(marked.hint("merge"), "doc_id"), "labelled")
-    counted = labelled.filter(_fold() != FIT_FOLD)
-    toxic_docs = counted.filter("toxic = 1")
-    pairs = toxic_docs.select("text").mapInArrow(_bigram_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
-    top = pairs.orderBy(F.desc("n"), "key").limit(BIGRAMS).toPandas()  # the documented size of the table
-    kept = np.sort(top.key.to_numpy().astype(np.int64).view(U64))
-    sc = spark.sparkContext
-    every = docs.filter("text is not null").select("text", F.lit(None).cast("int").alias("toxic")).mapInArrow(_word_counts(kept, shared=True), COUNTS)
-    known = counted.select("text", "toxic").mapInArrow(_word_counts(kept, shared=False), COUNTS)
-    sums = every.union(known).groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.sum("every").alias("every"), F.bit_or("contexts").alias("contexts"))
-    got = sums.toPandas()  # at most ORDERS * SLOTS + BIGRAMS rows of numbers
-    counts, contexts = np.zeros((3, ORDERS * SLOTS + len(kept)), np.int64), np.zeros(ORDERS * SLOTS + len(kept), np.int64)
-    at = got.slot.to_numpy().astype(np.int64)
-    for c, name in enumerate(("toxic", "ordinary", "every")):
-        counts[c, at] = got[name].to_numpy()
-    contexts[at] = got.contexts.to_numpy()
-    model = build_model(counts, contexts.view(U64), kept, _histories(toxic_docs, kept))
-    chosen = labelled.filter(_fold() == FIT_FOLD).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)
-    held = sc.broadcast(model)
-    fold = labelled.join(F.broadcast(chosen), "doc_id", "left_semi")  # a bounded number of ids
-    rows = fold.select("doc_id", "text").mapInArrow(_late(held), "doc_id long, mean double, most double, size double, peak double").join(F.broadcast(fold.select("doc_id", "toxic").distinct()), "doc_id").toPandas().sort_values(["doc_id", "mean", "most"])
+    apart = F.floor(_crc() / 4) % UNIT_OF == 0
+
+    def smallest(rows: DataFrame, n: int) -> DataFrame:
+        return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+    learned = smallest(marked.filter(~apart & (F.col("toxic") == 1)), documents).union(smallest(marked.filter(~apart & (F.col("toxic") == 0)), documents))
+    texts = docs.filter("text is not null").select("doc_id", "text")
+    counts, _ = scratch.cut(continuation_counts(texts.join(F.broadcast(learned), "doc_id", "left")), "continuations")  # ids and labels, 2 * documents rows
+    model = build_model(counts)
+    chosen = smallest(marked.filter(apart), unit_documents)
+    rows = score_toxicity(texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"), model).groupBy("doc_id").agg(F.max("span_difference").alias("x")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.orderBy("doc_id").toPandas()  # unit_documents rows of numbers
     y = rows.toxic.to_numpy().astype(float)
-    if len(y) == 0 or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        unit = (0.0, 0.0, 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+    share = marked.agg(F.avg("toxic")).first()[0] or 0.0
+    if model.words.size == 0 or len(y) == 0 or y.min() == y.max():
+        unit = (0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     else:
-        unit = _fit_unit(rows[["mean", "most", "size", "peak"]].to_numpy(), y)
+        unit = _fit_unit(rows.x.to_numpy(), y)
     return replace(model, unit=unit)
 
 
-def _late(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _features(held.value)(batches)
-
-    return run
-
-
-def _histories(toxic_docs: DataFrame, kept: np.ndarray) -> np.ndarray:
-    """Slots of the first words of the kept bigrams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.full(len(kept), -1, np.int64)
-        for batch in batches:
-            buf, offs = text_buffer(batch.column(0))
-            for i, j in slices(offs):
-                h, _, first = _words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                at, keys = _pairs(h, first)
-                place = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
-                ok = kept[place] == keys
-                out[place[ok]] = _slot(h)[at[ok] - 1]
-        some = np.flatnonzero(out >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], names=["pair", "first"])
-
-    words = np.zeros(len(kept), np.int64)
-    if len(kept):
-        got = toxic_docs.select("text").mapInArrow(run, "pair long, first long").groupBy("pair").agg(F.max("first").alias("first")).toPandas()
-        words[got.pair.to_numpy()] = got["first"].to_numpy()
-    return words
-
-
-def _scored(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        for b in _features(model)(batches):
-            x = np.column_stack([b.column(c).to_numpy() for c in (1, 2, 3, 4)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x)), b.column(1), b.column(2)], names=["doc_id", "score", "mean_evidence", "most_evidence"])
-
-    return run
-
-
-def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """(doc_id, score, mean_evidence, most_evidence) of every row of ``docs`` (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_scored(held), "doc_id long, score double, mean_evidence double, most_evidence double")
-
-
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model).select("doc_id", (_fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "mean_evidence", "most_evidence")
+    return score_toxicity(docs, model).select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "toxic_loglik", "ordinary_loglik", "span_difference")

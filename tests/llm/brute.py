@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -102,3 +103,67 @@ def secret_row(t):
     s = secret_spans(t)
     said = ",".join(f"{x[2]}:{x[0]}:{x[3]}" for x in s)
     return (*(sum(x[1] == k for x in s) for k in range(3)), hashlib.sha256(said.encode()).hexdigest())
+
+
+MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
+
+
+def toxic_words(t):
+    """Words in lower case without up to three marks at each end, one after the other, the last mark first."""
+    out = []
+    for w in WORD.findall(lower(t or "")):
+        for _ in range(3):
+            if len(w.encode()) > 1 and w[-1] in MARKS:
+                w = w[:-1]
+            if len(w.encode()) > 1 and w[0] in MARKS:
+                w = w[1:]
+        out.append(w)
+    return out
+
+
+def kneser_ney(texts, toxic, ordinary, stem_bytes=5):
+    """A function word -> (log P_toxic - log P, log P_ordinary - log P) from lists of texts: all, of toxic ones and of ordinary ones."""
+
+    def contexts(some):
+        seen = collections.defaultdict(set)
+        for t in some:
+            w = toxic_words(t)
+            for a, b in zip([None, *w], w):
+                seen[b].add(a)
+        return collections.Counter({w: len(s) for w, s in seen.items()})
+
+    def by_stem(counts):
+        out = collections.Counter()
+        for w, n in counts.items():
+            out[w.encode()[:stem_bytes]] += n
+        return out
+
+    def level(counts):
+        n = [max(sum(v == k for v in counts.values()), 1) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k - 0.05) for k in (1, 2, 3))]
+        total = sum(counts.values())
+        taken = {w: max(v - d[min(v, 3)], 0) / total for w, v in counts.items()}
+        return taken, 1 - sum(taken.values())
+
+    every = contexts(texts)
+    stems, total = by_stem(every), sum(every.values())
+    models = []
+    for some in (toxic, ordinary):
+        counts = contexts(some)
+        models.append((*level(counts), *level(by_stem(counts))))
+
+    def relative(w):
+        s = w.encode()[:stem_bytes]
+        out = []
+        for high, rest, low, low_rest in models:
+            below = low.get(s, 0) / (stems[s] / total) + low_rest if stems[s] else low_rest
+            out.append(math.log((high.get(w, 0) / (every[w] / total) if every[w] else 0) + rest * below))
+        return tuple(out)
+
+    return relative
+
+
+def largest_span(differences, span=3):
+    n = len(differences)
+    return max(sum(differences[i : i + span]) / span for i in range(n - span + 1)) if n >= span else sum(differences) / max(n, 1)

@@ -301,32 +301,58 @@ def test_redaction(spark, odd_docs):
 # --- 8
 
 
-def test_toxicity(spark, small, odd_docs, no_docs):
-    path = "/root/testdata/sf0.01"
+def test_toxicity_matches_plain_kneser_ney(spark, small, texts, odd_docs):
+    """The model, both log-likelihoods and the span difference of every document against counts in dicts."""
+    labels = spark.read.parquet(f"{small}/labels.parquet").collect()
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    part = {d: zlib.crc32(str(d).encode()) for d in texts}
+    learned = {r.doc_id: r.toxic for r in labels if r.toxic is not None and r.doc_id in part and part[r.doc_id] % 4 != 2 and part[r.doc_id] // 4 % toxicity.UNIT_OF}
+    by = [[texts[d] for d, y in learned.items() if y == c] for c in (1, 0)]
+    relative = brute.kneser_ney(texts.values(), *by)
+    model = toxicity.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    for r in toxicity.score_toxicity(docs, model).collect():
+        each = [relative(w) for w in brute.toxic_words(texts[r.doc_id])]
+        n = max(len(each), 1)
+        want = (sum(t for t, _ in each) / n, sum(o for _, o in each) / n, brute.largest_span([t - o for t, o in each]))
+        assert tuple(r)[1:4] == pytest.approx(want, abs=1e-4), r.doc_id
+    odd = {r.doc_id: r for r in toxicity.score_toxicity(odd_docs, model).collect()}
+    for d, t in BY_ID.items():
+        each = [relative(w) for w in brute.toxic_words(t)]
+        assert odd[d].span_difference == pytest.approx(brute.largest_span([t - o for t, o in each]), abs=1e-4)
+        assert 0 <= odd[d].score <= 1
+
+
+def test_contexts_meet_across_tasks_and_buckets(spark):
+    """Counts of different words before a word, which several tasks and flushes have: frequent words are split over buckets."""
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(f"w{i}" for i in rng.integers(0, 60, 80)), int(rng.integers(-1, 2))) for _ in range(200)] + [(None, 1), ("", 0), (" \n", None)]
+    df = spark.createDataFrame(rows, "text string, toxic int").repartition(7)
+    got = sorted((r.every, r.toxic, r.ordinary) for r in toxicity.continuation_counts(df).collect())
+    want = {}
+    for text, label in rows:
+        words = brute.toxic_words(text)
+        for a, b in zip([None, *words], words):
+            for s in (0, *([1] if label == 1 else [2] if label == 0 else [])):
+                want.setdefault(b, (set(), set(), set()))[s].add(a)
+    assert got == sorted(tuple(map(len, v)) for v in want.values())
+
+
+def test_toxicity_of_held_out_documents(spark, odd_docs, no_docs, null_id_docs):
+    path = "/root/testdata/sf0.1"
     rows = registry.QUERIES["op8_kneser_ney"](spark, path).collect()
-    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert len(rows) == 10_000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
     held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
-    auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
-    assert auc > 0.7
-    model = toxicity.fit(no_docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.92
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(no_docs, none)
     odd = toxicity.score_toxicity(odd_docs, model).collect()
-    assert len(odd) == len(ROWS) and all(0 <= r.score <= 1 for r in odd)
-
-
-def test_evidence_is_shared_for_rare_words():
-    n = toxicity.ORDERS * toxicity.SLOTS
-    counts = np.zeros((3, n), np.int64)
-    words = np.arange(40)
-    for o in range(toxicity.ORDERS):
-        counts[:, o * toxicity.SLOTS + words] = np.array([[2], [20], [40]])
-    counts[:, 3] = 500, 1, 520  # a word that toxic text has
-    counts[:, 5] = 0, 0, 1  # one that neither model knows
-    model = toxicity.build_model(counts, np.full(n, 7, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    e = model.evidence(words.astype(np.uint64), [words] * toxicity.ORDERS, np.array([0, 40]))
-    assert e[3] > 2 and abs(e[5]) < 0.5 and np.delete(e, 3).max() < 1
+    assert len(odd) == len(ROWS) and all(0 <= r.score <= 1e-6 for r in odd)
+    assert toxicity.score_toxicity(no_docs, model).count() == 0
+    only = toxicity.fit(odd_docs, spark.createDataFrame([(9, 1, 1), (10, 1, 0), (None, 1, 1), (11, None, None)], none.schema))
+    assert toxicity.score_toxicity(null_id_docs, only).count() == 2
 
 
 # --- 9
