@@ -27,7 +27,7 @@ class (smallest hash of the id), whole texts: the bound of what is broadcast. Th
 shared counts cover all documents and every different pair of neighbouring words:
 they are counted in the cluster, and only those of words that a class has reach
 the model. Words are told apart by 64 bits of hash (the first 32 are those of the
-beginning), contexts of one word by 32.
+beginning), contexts of one word by 30.
 
 A bigram order on top of these (raw counts of both classes) was measured and left
 out: it made held-out results worse (see README).
@@ -88,82 +88,81 @@ def word_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _contexts(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """32 bits of hash of the word before each word; 0 before a text's first."""
+    """30 bits of hash of the word before each word, two free bits below them; 0 before a text's first."""
     out = np.zeros(len(keys), np.uint32)
     if len(keys):
-        out[1:] = np.maximum((mix(keys[:-1]) >> U64(32)).astype(np.uint32), 1)
+        out[1:] = np.maximum((mix(keys[:-1]) >> U64(32)).astype(np.uint32) & ~np.uint32(3), 4)
         out[first[:-1][first[:-1] < len(keys)]] = 0
     return out
 
 
 def _distinct(keys: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(keys * U64(0x9E3779B97F4A7C15) + contexts)
+    """The different (word, context); the classes in the two low bits of contexts are united."""
+    if not len(keys):
+        return keys, contexts
+    h = mix(keys * U64(0x9E3779B97F4A7C15) + (contexts >> np.uint32(2)))
     order = np.argsort(h)
     h = h[order]
-    order = order[np.append(True, h[1:] != h[:-1])[: len(h)]]
-    return keys[order], contexts[order]
+    new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    return keys[order[new]], np.bitwise_or.reduceat(contexts[order], new)
 
 
-PAIRS = "section int, bucket int, words binary, counts binary, contexts binary"
+PAIRS = "bucket int, words binary, counts binary, contexts binary"
 
 
-def _packed(section: int, keys: np.ndarray, contexts: np.ndarray, kinds: int, split: int) -> pa.RecordBatch:
+def _packed(keys: np.ndarray, contexts: np.ndarray, kinds: int, split: int) -> pa.RecordBatch:
     """One row a bucket: its words, how many contexts each has here, and these. A word's contexts are split over ``split`` buckets."""
-    bucket = (mix(keys) % U64(kinds)).astype(np.int64) * split + (contexts % np.uint32(split)).astype(np.int64)
+    bucket = (mix(keys) % U64(kinds)).astype(np.int64) * split + ((contexts >> np.uint32(2)) % np.uint32(split)).astype(np.int64)
     order = np.lexsort((keys, bucket))
     keys, contexts, bucket = keys[order], contexts[order], bucket[order]
     new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])))
-    counts = np.diff(np.append(new, len(keys))).astype(np.uint32)
-    words, at = keys[new], np.flatnonzero(np.append(True, bucket[new][1:] != bucket[new][:-1]))
-    to = np.append(at[1:], len(new))
     ends = np.append(new, len(keys))
-    rows = [(words[a:b].tobytes(), counts[a:b].tobytes(), contexts[ends[a] : ends[b]].tobytes()) for a, b in zip(at.tolist(), to.tolist(), strict=True)]
+    counts, words = np.diff(ends).astype(np.uint32), keys[new]
+    at = np.flatnonzero(np.append(True, bucket[new][1:] != bucket[new][:-1]))
+    rows = [(words[a:b].tobytes(), counts[a:b].tobytes(), contexts[ends[a] : ends[b]].tobytes()) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(new)], strict=True)]
     columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), section, np.int32)), pa.array(bucket[new][at].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=[c.split()[0] for c in PAIRS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[new][at].astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=[c.split()[0] for c in PAIRS.split(", ")])
 
 
 def _pairs(kinds: int, split: int):
-    """The different (word, word before) of all texts (section 0), and of toxic (1) and ordinary ones (2). Columns: text, toxic."""
+    """The different (word, word before) of all texts, with the classes that have each (bit 0 toxic, bit 1 ordinary). Columns: text, toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
-        size = [0, 0, 0]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-        def joined(s: int) -> tuple[np.ndarray, np.ndarray]:
-            return _distinct(*(np.concatenate([x[c] for x in held[s]]) for c in (0, 1)))
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            return _distinct(*(np.concatenate([x[c] for x in held]) for c in (0, 1)))
 
         for batch in batches:
             label = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+            bit = np.where(label == 1, 1, np.where(label == 0, 2, 0)).astype(np.uint32)
             buf, offs = text_buffer(batch.column(0))
             for i, j in slices(offs):
                 keys, first = word_keys(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                contexts = _contexts(keys, first)
-                of = np.repeat(label[i:j], np.diff(first))
-                for s, mine in enumerate((slice(None), of == 1, of == 0)):
-                    some = _distinct(keys[mine], contexts[mine])
-                    if not len(some[0]):
-                        continue
-                    held[s].append(some)
-                    size[s] += len(some[0])
-                    if size[s] > HOLD:
-                        held[s] = [joined(s)]
-                        size[s] = len(held[s][0][0])
-                        if size[s] > HOLD // 2:
-                            yield _packed(s, *held[s][0], kinds, split)
-                            held[s], size[s] = [], 0
-        for s in range(3):
-            if held[s]:
-                yield _packed(s, *joined(s), kinds, split)
+                if not len(keys):
+                    continue
+                held.append(_distinct(keys, _contexts(keys, first) | np.repeat(bit[i:j], np.diff(first))))
+                size += len(held[-1][0])
+                if size > HOLD:
+                    held = [joined()]
+                    size = len(held[0][0])
+                    if size > HOLD // 2:
+                        yield _packed(*held[0], kinds, split)
+                        held, size = [], 0
+        if held:
+            yield _packed(*joined(), kinds, split)
 
     return run
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """The number of different contexts of each word of one section and bucket."""
+    """The number of different contexts of each word of one bucket, of all texts and of each class."""
     words, counts, contexts = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("words", U64), ("counts", np.uint32), ("contexts", np.uint32)))
-    keys, _ = _distinct(np.repeat(words, counts), contexts)
-    keys, n = np.unique(keys, return_counts=True)
-    return pa.table({"section": pa.array(np.full(len(keys), table.column("section")[0].as_py(), np.int32)), "word": pa.array(signed(keys)), "n": pa.array(n)})
+    keys, contexts = _distinct(np.repeat(words, counts), contexts)
+    keys, back, every = np.unique(keys, return_inverse=True, return_counts=True)
+    of = [np.bincount(back, contexts >> np.uint32(c) & np.uint32(1), minlength=len(keys)).astype(np.int64) for c in (0, 1)]
+    return pa.table({"word": pa.array(signed(keys)), "every": pa.array(every), "toxic": pa.array(of[0]), "ordinary": pa.array(of[1])})
 
 
 def continuation_counts(docs: DataFrame) -> DataFrame:
@@ -171,9 +170,9 @@ def continuation_counts(docs: DataFrame) -> DataFrame:
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS)
     split = -(-parts // 64)  # the contexts of one word meet in so many groups
     pairs = docs.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_pairs(max(parts // split, 1), split), PAIRS)
-    counts = pairs.groupBy("section", "bucket").applyInArrow(_counted, "section int, word long, n long")
-    each = [F.sum(F.when(F.col("section") == s, F.col("n")).otherwise(0)).alias(name) for s, name in enumerate(("every", "toxic", "ordinary"))]
-    return counts.groupBy("word").agg(*each)
+    names = ("every", "toxic", "ordinary")
+    counts = pairs.groupBy("bucket").applyInArrow(_counted, "word long, every long, toxic long, ordinary long")
+    return counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
