@@ -5,13 +5,15 @@ Base spans are the leftmost non-overlapping matches of three kinds:
     access  AKIA and capitals or digits, 20 or more characters
     hex     24 or more characters of 0-9a-f
 Candidates for the network are all runs of 16 or more characters of
-``[A-Za-z0-9+/_=-]`` with a letter and a digit that no base span overlaps. A candidate is seen with its
-surroundings as one window of ``WINDOW`` characters around its middle, by
-character class. One layer of convolutions, a maximum over all places and a
-logistic unit give a score; Platt scaling calibrates it, and the threshold is
-the largest calibrated probability at which the recall on findings held out
-from training stays at ``RECALL`` or more. Accepted candidates are spans of kind
-``model``.
+``[A-Za-z0-9+/_=-]`` that no base span overlaps and that have a letter and a digit,
+or that have 20 or more characters and change case four times or more. A candidate
+is seen with its surroundings, by character class, as windows of ``WINDOW``
+characters: one around its middle, or, where ``CONTEXT`` characters on both sides
+don't fit in with it, as many as cover it and these, each overlapping the next by
+half. One layer of convolutions, a maximum over all places and a logistic unit give
+a score; Platt scaling calibrates it, and the threshold is the largest calibrated
+probability at which the recall on findings held out from training stays at
+``RECALL`` or more. A candidate with an accepted window is a span of kind ``model``.
 
 Labelled findings: in a bounded sample of ``FIT_DOCUMENTS`` documents (those
 with the smallest hash of doc_id) and of at most ``FIT_FINDINGS`` findings in
@@ -23,12 +25,16 @@ and other long runs of the same texts, and runs in ordinary words joined by
 texts wholly.
 
 Edge cases: a null or empty text has no span (counts 0, base_sha256 of the empty
-string, spans ''). Rows with null or repeated doc_ids are scanned like others.
-Without a base span in the sample there is no network and base spans alone count.
+string, spans ''). Very long texts are scanned wholly. Rows with null or repeated
+doc_ids are scanned like others; a null one is not trained on. Other columns than
+doc_id and text are not read; masking keeps them, and n_chars follows the text.
+Without a base span in the sample, as with an empty table, there is no network and
+base spans alone count. No rows give no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -42,8 +48,8 @@ from pyspark.sql import functions as F
 from .textkernel import run_bounds, text_buffer
 
 KINDS = ("assign", "access", "hex", "model")
-WINDOW, FIT_DOCUMENTS, FIT_FINDINGS, RECALL = 64, 20_000, 8_000, 0.99
-LEAST_RUN = 16
+WINDOW, CONTEXT, FIT_DOCUMENTS, FIT_FINDINGS, RECALL = 64, 12, 20_000, 8_000, 0.99
+LEAST_RUN, LEAST_LETTERS, LEAST_CHANGES = 16, 20, 4
 _ASSIGN = re.compile(r"""((?a:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -71,24 +77,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _unions(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the disjoint unions of spans that overlap or touch, in order."""
+    starts, ends = [], []
+    for s, _, e in base:  # by start
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def is_candidate(run: str) -> bool:
+    if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+        return True
+    letters = [c.isupper() for c in run if c.isalpha()]
+    return len(run) >= LEAST_LETTERS and sum(a != b for a, b in zip(letters[:-1], letters[1:], strict=True)) >= LEAST_CHANGES
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs with a letter and a digit that no base span overlaps."""
-    out, b = [], 0
-    merged = sorted((s, e) for s, _, e in base)
+    """Runs that may be keys and that no base span overlaps."""
+    out = []
+    starts, ends = _unions(base)
     for m in _RUN.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-            while b < len(merged) and merged[b][1] <= m.start():
-                b += 1
-            if not any(s < m.end() and m.start() < e for s, e in merged[b : b + 4]):
-                out.append((m.start(), m.end()))
+        at = bisect.bisect_right(ends, m.start())  # the first union that ends behind the run's start
+        if (at == len(starts) or starts[at] >= m.end()) and is_candidate(m[0]):
+            out.append((m.start(), m.end()))
     return out
 
 
-def _window(text: str, start: int, end: int, blank: int = -1) -> np.ndarray:
-    """Character classes around the middle of a span; what lies before ``blank`` counts as spaces."""
-    lo = (start + end) // 2 - WINDOW // 2
-    piece = text[max(lo, 0) : lo + WINDOW]
+def _window(text: str, lo: int, blank: int = -1) -> np.ndarray:
+    """Character classes of ``WINDOW`` characters from ``lo``; what lies before ``blank`` counts as spaces."""
+    piece = text[max(lo, 0) : max(lo + WINDOW, 0)]
     if blank > lo:
         piece = " " * min(blank - max(lo, 0), len(piece)) + piece[max(blank - max(lo, 0), 0) :]
     codes = _CLASS[np.frombuffer(piece.encode("latin-1", "replace"), np.uint8)]
@@ -97,6 +118,14 @@ def _window(text: str, start: int, end: int, blank: int = -1) -> np.ndarray:
     return out
 
 
+def windows_of(text: str, start: int, end: int, blank: int = -1) -> list[np.ndarray]:
+    """All windows of a candidate: one around its middle, or as many as cover it with ``CONTEXT`` characters on both sides."""
+    if end - start + 2 * CONTEXT <= WINDOW:
+        return [_window(text, (start + end) // 2 - WINDOW // 2, blank)]
+    first, last = start - CONTEXT, end + CONTEXT - WINDOW
+    return [_window(text, lo, blank) for lo in [*range(first, last, WINDOW // 2), last]]
+
+
 @dataclass(frozen=True)
 class CharNetwork:
     """Width-5 convolutions over character classes, maximum over places, logistic unit, calibration and threshold."""
@@ -164,26 +193,32 @@ def train_network(x: np.ndarray, y: np.ndarray, held: np.ndarray, filters: int =
 def _findings(text: str, rng: np.random.Generator) -> list[tuple[np.ndarray, int]]:
     """Labelled windows of one text."""
     base, out = base_spans(text), []
+    starts, ends = _unions(base)
     for s, k, e in base:
         m = _ASSIGN.match(text, s) if k == 0 else None
         vs = m.start(2) if m else s
         if e - vs >= LEAST_RUN:
-            out.append((_window(text, vs, e, blank=vs if rng.random() < 0.5 else -1), 1))
+            out += [(w, 1) for w in windows_of(text, vs, e, blank=vs if rng.random() < 0.5 else -1)]
             # the same finding with a value of another alphabet
             letters = list(_ALPHABETS[int(rng.integers(len(_ALPHABETS)))])
             other = text[max(s - 40, 0) : vs] + "".join(rng.choice(letters, e - vs)) + text[e : e + 40]
             at = vs - max(s - 40, 0)
-            out.append((_window(other, at, at + e - vs, blank=at if rng.random() < 0.5 else -1), 1))
-    plain = [(m.start(), m.end()) for m in re.finditer(r"\S{10,}", text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+            out += [(w, 1) for w in windows_of(other, at, at + e - vs, blank=at if rng.random() < 0.5 else -1)]
+    plain = []
+    for m in re.finditer(r"\S{10,}", text):
+        at = bisect.bisect_right(ends, m.start())
+        if at == len(starts) or starts[at] >= m.end():
+            plain.append((m.start(), m.end()))
     for i in rng.permutation(len(plain))[:6]:
-        out.append((_window(text, *plain[i]), 0))
-    words = re.findall(r"[A-Za-z]{3,}", text[:4000])
+        out += [(w, 0) for w in windows_of(text, *plain[i])]
+    words = re.findall(r"[A-Za-z]{3,}", text)
     for _ in range(3):
         if len(words) >= 3:  # runs as they occur in paths, names and numbered items
             joined = str(rng.choice(list("-_/"))).join(str(words[int(i)]) for i in rng.integers(0, len(words), 3)) + str(rng.choice(["", "2", "-2024", "/17", "_v3"]))
             at = int(rng.integers(0, max(len(text) - WINDOW, 1)))
             made = text[at : at + 24] + " " + joined + " " + text[at + 24 : at + 48]
-            out.append((_window(made, 25, 25 + len(joined)), 0))
+            begin = len(text[at : at + 24]) + 1
+            out += [(w, 0) for w in windows_of(made, begin, begin + len(joined))]
     return out
 
 
@@ -259,13 +294,21 @@ def _found(net: CharNetwork | None, column: pa.Array) -> Iterator[tuple[int, str
         text = column[r].as_py()
         if text:
             scanned.append((r, text, *scan_text(text)))
-    windows = [_window(text, s, e) for _, text, _, found in scanned for s, e in found]
-    accepted = iter((net.probability(np.stack(windows)) >= net.threshold).tolist() if net and windows else [False] * len(windows))
+    accepted = iter(accepted_runs(net, [(text, s, e) for _, text, _, found in scanned for s, e in found]))
     for r, text, base, found in scanned:
         extra = [(s, 3, e) for s, e in found if next(accepted)]
         yield r, text, base, sorted(base + extra)
 
 
+def accepted_runs(net: CharNetwork | None, runs: list[tuple[str, int, int]]) -> list[bool]:
+    """Which of the runs (text, start, end) have a window that the network accepts."""
+    if net is None or not runs:
+        return [False] * len(runs)
+    windows = [windows_of(*run) for run in runs]
+    seen = net.probability(np.stack([w for some in windows for w in some])) >= net.threshold
+    return np.logical_or.reduceat(seen, np.cumsum([0, *map(len, windows[:-1])])).tolist()
+
+
 def _scan(net: CharNetwork | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
