@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
         train = spark.read.parquet(a.train)
         names = [f.name for f in train.schema if f.dataType.typeName() in ("double", "float")]
         q = quantize.fit_quantizer(train, names, a.bits)
-        q.save(a.quantizer)
+        q.save(spark, a.quantizer)
         for source, out in [(a.train, a.out), *(x.split("=", 1) for x in a.others)]:
             quantize.quantized(spark.read.parquet(source), q).write.mode("overwrite").parquet(out)
     elif a.what == "forest":
@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
 
         forest.scored(spark.read.parquet(a.table), forest.Forest.load(spark, a.model), a.key).write.mode("overwrite").parquet(a.out)
     else:
-        from .plans import catalog
+        from .plans import catalog, catalog_more  # noqa: F401
 
         df = catalog.QUERIES[a.name](spark, a.tables)
         df.select([F.col(c) for c in df.columns]).write.mode("overwrite").parquet(a.out)

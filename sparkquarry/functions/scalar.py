@@ -120,6 +120,11 @@ def stable_json_hash(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
 
 
+def json_hash(*fields: Column) -> Column:
+    """:func:`stable_json_hash` of a row's fields (named columns, in order of their names) as one JSON object."""
+    return F.substring(F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256), 1, 16)
+
+
 def fnv1a(data: bytes, bits: int = 32) -> int:
     """The public FNV-1a hash of 32 or 64 bits, for checksums of binary files."""
     h, prime = (0x811C9DC5, 0x01000193) if bits == 32 else (0xCBF29CE484222325, 0x100000001B3)
@@ -170,6 +175,11 @@ def replace_json_number(text: str, key: str, value: float) -> str:
     return re.sub(rf'("{re.escape(key)}"\s*:\s*)-?[0-9.eE+-]+', lambda m: m[1] + repr(value), text, count=1)
 
 
+def json_number_replaced(doc: Column, key: str, value: Column) -> Column:
+    """The text with numbers under ``key`` replaced in place, all else untouched."""
+    return F.regexp_replace(doc, F.lit(rf'("{re.escape(key)}"\s*:\s*)-?[0-9.eE+-]+'), F.concat(F.lit("$1"), value.cast("string")))
+
+
 def bit_length(x: Column) -> Column:
     """Bits that a non-negative integer needs; 0 for 0."""
     return F.when(x == 0, 0).otherwise(F.length(F.bin(x)))
@@ -234,6 +244,16 @@ def uniform(seed: int, *key: Column | str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
+def bounded_draw(seed: int, bound: int, *key: Column | str) -> Column:
+    """A reproducible draw from 0 to ``bound`` - 1 for each key, all equally likely to within 2**-53."""
+    return F.floor(uniform(seed, *key) * F.lit(float(bound))).cast("long")
+
+
+def as_ratio(x: Column) -> Column:
+    """Values above 1 are per cent."""
+    return F.when(x > 1, x / 100.0).otherwise(x)
+
+
 def ratio_of(value: float) -> float:
     """Configuration values above 1 are per cent."""
     return value / 100.0 if value > 1 else value

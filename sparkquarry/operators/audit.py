@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
+import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rbf, squared_distance, stable_json_hash
+from ..lineage import dropped, renamed, written
 from .metrics import roc_auc
+from .ranks import numbered
 
 #: Rows a side of the pairwise statistics at most; these are samples by definition.
 SAMPLE = 2000
@@ -61,12 +63,14 @@ def mmd_permutation_test(df: DataFrame, row_id: str, vec: str, side: Column, sam
 
 
 def split_predictability(df: DataFrame, names: list[str], side: Column, row_id: str, folds: int = 5) -> DataFrame:
-    """(fold, auc): how well a balanced logistic regression tells the sides apart on held-out folds (dealt by a hash of the id)."""
+    """(fold, auc): how well a balanced logistic regression tells the sides apart on held-out folds. Each side's rows are dealt to the folds in turn, in order of a hash of the id."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in names], side.cast("double").alias("label"), F.pmod(F.xxhash64(row_id), F.lit(folds)).alias("fold"))
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in names], side.cast("double").alias("label"), F.xxhash64(row_id).alias("_draw"))
+    x = numbered(x, "_draw", ["label"]).withColumn("fold", F.pmod("row_no", F.lit(folds))).drop("row_no", "n", "_draw")
+    x, _ = written(x, "folds")
     x = VectorAssembler(inputCols=names, outputCol="raw", handleInvalid="keep").transform(x)
     share = x.agg(F.avg("label")).first()[0] or 0.5
     x = x.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
@@ -101,25 +105,37 @@ def silhouette(df: DataFrame, names: list[str], cluster: str) -> float:
     return ClusteringEvaluator(predictionCol=cluster, featuresCol="features").evaluate(x.withColumn(cluster, F.col(cluster).cast("int")))
 
 
-def manifest(state: dict, least_rows: int, config: dict) -> dict:
-    """The audit's outcome with its gates; the run id is a hash of configuration and state."""
+def manifest(state: dict, least_rows: int, config: dict, similarity_limit: float | None = None) -> dict:
+    """The audit's outcome with its gates; the run id is a hash of configuration and state. ``similarity_limit``: no projected similarity may reach it."""
     gates = {"least_rows": state.get("rows", 0) >= least_rows, "sealed": bool(state.get("sealed_pass"))}
-    return {"run_id": stable_json_hash({"config": config, "state": state}), "state": state, "gates": gates, "all_pass": all(gates.values())}
-
-
-def write_manifest(m: dict, path: str) -> None:
-    with open(path + ".tmp", "w") as f:
-        json.dump(m, f, indent=2, sort_keys=True)
-    os.replace(path + ".tmp", path)
+    if similarity_limit is not None:
+        gates["projected"] = (state.get("largest_cosine") or 0.0) < similarity_limit
+    return {"run_id": stable_json_hash({"config": config, "state": state}), "config": config, "state": state, "least_rows": least_rows, "similarity_limit": similarity_limit, "gates": gates, "all_pass": all(gates.values())}
+
+
+def write_manifest(spark: SparkSession, m: dict, path: str) -> None:
+    """A text table of one JSON document, written beside ``path`` and moved there in one step."""
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(m, sort_keys=True),)], "value string").coalesce(1).write.text(new)
+    dropped(spark, path)
+    renamed(spark, new, path)
+
+
+def require_manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest, whose gates are worked out again from its state and must all hold."""
+    m = json.loads(spark.read.text(path).first().value)
+    again = manifest(m["state"], m["least_rows"], m["config"], m["similarity_limit"])
+    if again["run_id"] != m["run_id"]:
+        raise ValueError("the state does not belong to the run id")
+    if not again["all_pass"]:
+        raise ValueError(f"gates failed: {sorted(k for k, v in again['gates'].items() if not v)}")
+    return m
 
 
-def require_manifest(path: str) -> dict:
-    """The manifest, whose gates are worked out again and must all hold."""
-    with open(path) as f:
-        m = json.load(f)
-    if not m["gates"] or not all(m["gates"].values()):
-        raise ValueError(f"gates failed: {sorted(k for k, v in m['gates'].items() if not v)}")
-    return m
+def timing_report(df: DataFrame, keys: list[str], ms: str, size: str) -> DataFrame:
+    """Files, total ms, ms a file and ms a MB (10**6 bytes) of each group; 0 where there are no bytes."""
+    x = df.groupBy(*keys).agg(F.count("*").alias("files"), F.sum(ms).cast("double").alias("total_ms"), F.sum(size).alias("_bytes"))
+    return x.select(*keys, "files", "total_ms", (F.col("total_ms") / F.col("files")).alias("ms_a_file"), F.when(F.col("_bytes") > 0, F.col("total_ms") / (F.col("_bytes") / 1e6)).otherwise(0.0).alias("ms_a_mb"))
 
 
 def kernel_mean(df: DataFrame, a: str, b: str, gamma: float) -> DataFrame:

@@ -6,11 +6,16 @@ number of columns and the plan does not grow with them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import log1p_abs, sanitize
+from .ranks import quantiles
 
 BINARY_LEAST, HASH_LEAST = 0.005, 0.01
 CV_MOST, OUTLIER_MOST, KURTOSIS_MOST, FILL_LEAST, IQR_TIMES = 50.0, 0.05, 100.0, 0.10, 5.0
@@ -66,7 +71,7 @@ def column_moments(df: DataFrame, names: list[str]) -> DataFrame:
 
 def column_quantiles(df: DataFrame, names: list[str], q: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, one row a feature, columns q0, q1, ..."""
-    x = unpivoted(df, names).groupBy("feature").agg(F.percentile("value", F.array(*[F.lit(p) for p in q])).alias("q"))
+    x = quantiles(unpivoted(df, names), "feature", "value", q)
     return x.select("feature", *[F.col("q")[i].alias(f"q{i}") for i in range(len(q))])
 
 
@@ -86,8 +91,8 @@ def stability_filter(df: DataFrame, names: list[str]) -> DataFrame:
     """(feature, kept, use_log, ...): unstable columns go unless log1p(abs(x)) is stable; binary columns stay."""
     v = F.col("value")
     long = unpivoted(df, names)
-    quart = long.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.min(v.isin(0.0, 1.0).cast("int")).alias("is_binary"))
-    fence = quart.select("feature", "is_binary", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).withColumn("iqr", F.col("q3") - F.col("q1"))
+    kind = long.groupBy("feature").agg(F.min(v.isin(0.0, 1.0).cast("int")).alias("is_binary"))
+    fence = quantiles(long, "feature", "value", [0.25, 0.75]).join(kind, "feature").select("feature", "is_binary", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")).withColumn("iqr", F.col("q3") - F.col("q1"))
     out = (v < F.col("q1") - IQR_TIMES * F.col("iqr")) | (v > F.col("q3") + IQR_TIMES * F.col("iqr"))
     low = log1p_abs(v)
     cv = lambda m, s: F.col(s) / (F.abs(F.col(m)) + 1e-15)
@@ -102,16 +107,40 @@ def stability_filter(df: DataFrame, names: list[str]) -> DataFrame:
     return stats.select("feature", (binary | ~unstable | rescued).alias("kept"), (~binary & unstable & rescued).alias("use_log"), "outliers", "fill", "k")
 
 
+PRODUCTS = "i int, j int, n long, sx double, sy double, sxx double, syy double, sxy double"
+
+
+def _products(width: int, shift: list[float]):
+    """Sums of one task's rows for every pair of columns in which both have a value; values are taken from ``shift``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, width, width))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - np.array(shift)
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            for k, (a, b) in enumerate(((m, m), (x, m), (m, x), (x * x, m), (m, x * x), (x, x))):
+                total[k] += a.T @ b
+        i, j = np.triu_indices(width, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[0][i, j].astype(np.int64)), *(pa.array(total[k][i, j]) for k in range(1, 6))], names=[c.split()[0] for c in PRODUCTS.split(", ")])
+
+    return run
+
+
 def correlation_pairs(df: DataFrame, names: list[str], least: float = 0.0) -> DataFrame:
-    """(a, b, r) of all column pairs with absolute Pearson correlation above ``least``.
+    """(a, b, r) of all column pairs with absolute Pearson correlation above ``least``; a row counts for a pair if both have a value.
 
-    Sums of products are aggregated once for all pairs, so the data are read once
-    and only len(names)**2 numbers are shuffled by a task.
+    Products are taken as matrices where the rows are, about the columns' means, so
+    the plan does not grow with the columns; a task hands on a row a pair.
     """
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    stacked = one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(F.col(f"c{i}")).alias("r")) for i, (a, b) in enumerate(pairs)])).alias("p"))
-    return stacked.select("p.*").filter((F.col("r") > least) & ~F.isnan("r"))
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    mean = x.agg(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in names]).first()  # one row
+    sums = x.mapInArrow(_products(len(names), [float(m) for m in mean]), PRODUCTS).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
+    r = F.when((vx > 0) & (vy > 0), F.abs((n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx) / F.sqrt(vy)))
+    name = lambda c: F.array(*[F.lit(x) for x in names])[F.col(c)]
+    return sums.select(name("i").alias("a"), name("j").alias("b"), F.least(r, F.lit(1.0)).alias("r")).filter(F.col("r") > least)
 
 
 def prune_correlated(pairs: list[tuple[str, str, float]], variance: dict[str, float]) -> list[str]:
@@ -170,8 +199,19 @@ def column_group(name: Column, rules: list[tuple[str, str]], default: str = "unk
     return out.otherwise(default) if out is not None else F.lit(default)
 
 
-def byte_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, entropy) in bits of the characters of a text; 0 for an empty one. Counts are combined before the shuffle."""
-    chars = df.select(key, F.explode_outer(F.split(F.col(text), "")).alias("c")).groupBy(key, "c").agg(F.count("c").alias("n"))
-    total = chars.groupBy(key).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2(F.greatest(F.col("n"), F.lit(1)).cast("double"))).alias("s"))
-    return total.select(key, F.when(F.col("t") == 0, 0.0).otherwise(F.log2(F.greatest(F.col("t"), F.lit(1)).cast("double")) - F.col("s") / F.greatest(F.col("t"), F.lit(1))).alias("entropy"))
+def byte_entropy(df: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, entropy) in bits of the bytes of a text (as UTF-8) or binary column; 0 for an empty or null one. Bytes are counted where the row is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows)
+            for i, x in enumerate(batch.column(1)):
+                raw = x.as_buffer() if x.is_valid else None
+                if raw is not None and raw.size:
+                    n = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+                    p = n[n > 0] / raw.size
+                    out[i] = -(p * np.log2(p)).sum() + 0.0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["key", "entropy"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), F.col(data).cast("binary").alias("data")).mapInArrow(run, f"key {kind}, entropy double").withColumnRenamed("key", key)

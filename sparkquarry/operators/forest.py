@@ -7,7 +7,10 @@ nodes; its size is bounded by trees and rows a tree, and scoring broadcasts it.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import path_normaliser_py
+from ..lineage import dropped, renamed
 from .columns import unpivoted
 
 NODE = "tree int, node int, is_leaf boolean, feature int, threshold double, child int, size int, depth int"
@@ -128,14 +132,26 @@ class Forest:
     meta: dict = field(default_factory=dict)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Node table and parameters as Parquet; the committer publishes all of it or nothing."""
-        spark.createDataFrame(self.nodes).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-        spark.createDataFrame([(self.features, self.rows_per_tree, self.threshold)], "features array<string>, rows_per_tree int, threshold double").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        """One Parquet table of nodes, each with the parameters and a checksum of all nodes, written beside ``path`` and moved there in one step."""
+        text = json.dumps({"features": self.features, "rows_per_tree": self.rows_per_tree, "threshold": self.threshold, "checksum": self.checksum()}, sort_keys=True)
+        new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        spark.createDataFrame(self.nodes).withColumn("_meta", F.lit(text)).coalesce(1).write.parquet(new)
+        dropped(spark, path)
+        renamed(spark, new, path)
+
+    def checksum(self) -> str:
+        n = self.nodes.sort_values(["tree", "node"])
+        return hashlib.sha256("\n".join(map(repr, n[[c.split()[0] for c in NODE.split(", ")]].astype({"threshold": float, "is_leaf": bool}).to_numpy().tolist())).encode()).hexdigest()
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Forest:
-        m = spark.read.parquet(f"{path}/meta").first()
-        return Forest(list(m.features), m.rows_per_tree, spark.read.parquet(f"{path}/nodes").orderBy("tree", "node").toPandas(), m.threshold)
+        """The forest; ValueError if its nodes are not those that were saved."""
+        nodes = spark.read.parquet(path).orderBy("tree", "node").toPandas()
+        m = json.loads(nodes._meta.iloc[0])
+        out = Forest(m["features"], m["rows_per_tree"], nodes.drop(columns="_meta"), m["threshold"])
+        if out.checksum() != m["checksum"]:
+            raise ValueError(f"{path} is damaged")
+        return out
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         """All trees in one set of arrays, child places counted over all trees."""
@@ -188,6 +204,16 @@ def scored(df: DataFrame, forest: Forest, row_id: str, offset: float = 0.0) -> D
     return out.withColumn("is_anomaly", flag)
 
 
+def calibrated_forest(train: DataFrame, valid: DataFrame, row_id: str, names: list[str], positive: str, cfg: ForestConfig = ForestConfig(), fpr: float = 0.05, strategy: str = "tpr") -> Forest:  # noqa: B008
+    """Fit on ``train`` and set the threshold by a rule on ``valid``, which has the boolean column ``positive``."""
+    from .threshold import choose_threshold
+
+    forest = fit_forest(train, row_id, names, cfg)
+    s = scored(valid, forest, row_id).join(valid.select(row_id, positive), row_id)
+    forest.threshold = float(choose_threshold(s, "score", F.col(positive), strategy, fpr).first().threshold)
+    return forest
+
+
 def forest_shape(nodes: DataFrame) -> DataFrame:
     """One row: trees, nodes, leaves, their means a tree, the largest depth and leaf, and the bits a packed node needs."""
     per = nodes.groupBy("tree").agg(F.count("*").alias("n"), F.count_if("is_leaf").alias("leaves"), F.max("depth").alias("depth"), F.max(F.when(F.col("is_leaf"), F.col("size"))).alias("leaf_rows"), F.max("feature").alias("feature"))

@@ -2,19 +2,18 @@
 
 Ranking metrics first reduce the rows to one a distinct score, with the counts of
 both classes: that step combines on the map side, and only distinct scores reach
-the ordered window. :func:`running_counts` numbers score ranges in parallel and
-adds the ranges' totals, so no task holds all scores.
+the ordered sums of ``ranks``, so no task holds all scores, or all rows of a score.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalar import LOG_LOSS_EPS
-
-RANGES = 64
+from .ranks import running_sums
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -27,6 +26,27 @@ def binary_counts(df: DataFrame, predicted: Column, actual: Column) -> DataFrame
     return df.agg(one(True, True).alias("tp"), one(True, False).alias("fp"), one(False, False).alias("tn"), one(False, True).alias("fn"))
 
 
+@dataclass(frozen=True)
+class RunningCounts:
+    """Counts of a binary decision that grow by tables and merge; rates at any time."""
+
+    tp: int = 0
+    fp: int = 0
+    tn: int = 0
+    fn: int = 0
+
+    def update(self, df: DataFrame, predicted: Column, actual: Column) -> RunningCounts:
+        return self.merge(RunningCounts(**binary_counts(df, predicted, actual).first().asDict()))
+
+    def merge(self, other: RunningCounts) -> RunningCounts:
+        return RunningCounts(self.tp + other.tp, self.fp + other.fp, self.tn + other.tn, self.fn + other.fn)
+
+    def calculate(self) -> dict[str, float]:
+        share = lambda a, b: a / b if b else 0.0
+        p, r = share(self.tp, self.tp + self.fp), share(self.tp, self.tp + self.fn)
+        return {"accuracy": share(self.tp + self.tn, self.tp + self.fp + self.tn + self.fn), "precision": p, "recall": r, "f1": share(2 * p * r, p + r), "fpr": share(self.fp, self.fp + self.tn), "tpr": r, "specificity": share(self.tn, self.tn + self.fp)}
+
+
 def binary_rates(counts: DataFrame) -> DataFrame:
     """Accuracy, precision, recall, f1, fpr, tpr, specificity of rows with tp, fp, tn, fn; 0 where a denominator is 0."""
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
@@ -96,25 +116,8 @@ def score_table(df: DataFrame, score: str, positive: Column) -> DataFrame:
 
 
 def running_counts(table: DataFrame, descending: bool = True) -> DataFrame:
-    """A score table with the counts before each score: pos_before, neg_before, and the totals.
-
-    Scores are cut into ranges, each range is summed in parallel, and a window
-    within a range adds what earlier ranges hold.
-    """
-    order = F.desc("score") if descending else F.asc("score")
-    ends = table.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    placed = table.join(F.broadcast(ends))  # one row
-    width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
-    placed = placed.withColumn("range", F.coalesce(F.least(F.floor((F.col("score") - F.col("lo")) / width * RANGES), F.lit(RANGES - 1)), F.lit(0)))
-    sums = placed.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    over = Window.orderBy(F.desc("range") if descending else F.asc("range"))  # at most RANGES rows
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    sums = sums.select("range", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.sum("p").over(whole).alias("all_pos"), F.sum("n").over(whole).alias("all_neg"))
-    inside = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(F.broadcast(sums), "range")
-    zero = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0))
-    return out.select("score", "pos", "neg", (F.col("p0") + zero("pos")).alias("pos_before"), (F.col("n0") + zero("neg")).alias("neg_before"), "all_pos", "all_neg")
+    """A score table with the counts before each score: pos_before, neg_before, and the totals."""
+    return running_sums(table, "score", ["pos", "neg"], descending=descending).withColumnsRenamed({"pos_total": "all_pos", "neg_total": "all_neg"})
 
 
 def roc_auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
@@ -131,12 +134,12 @@ def average_precision(df: DataFrame, score: str, positive: Column, key: str) ->
     Positives are placed by the counts before their score; only rows of scores
     that both classes share are ordered one by one.
     """
-    table = running_counts(score_table(df, score, positive))
-    rows = df.select(F.col(score).alias("score"), positive.alias("hit"), F.col(key).alias("key"))
-    within = Window.partitionBy("score").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.join(table, "score").withColumn("h", F.sum(F.col("hit").cast("long")).over(within)).withColumn("r", F.count("*").over(within))
-    precision = (F.col("pos_before") + F.col("h")) / (F.col("pos_before") + F.col("neg_before") + F.col("r"))
-    return placed.agg(F.coalesce(F.sum(F.when(F.col("hit"), precision)) / F.max(F.when(F.col("all_pos") > 0, F.col("all_pos"))), F.lit(0.0)).alias("average_precision"))
+    table = running_counts(score_table(df, score, positive)).withColumnRenamed("score", "_score")
+    rows = df.select(F.col(score).alias("score"), positive.cast("long").alias("hit"), F.col(key).alias("key"), F.lit(1).cast("long").alias("one"))
+    within = running_sums(rows, "key", ["hit", "one"], by=["score"])
+    placed = within.join(table, F.col("score") == F.col("_score"))
+    precision = (F.col("pos_before") + F.col("hit_before") + 1) / (F.col("pos_before") + F.col("neg_before") + F.col("one_before") + 1)
+    return placed.agg(F.coalesce(F.sum(F.when(F.col("hit") == 1, precision)) / F.max(F.when(F.col("all_pos") > 0, F.col("all_pos"))), F.lit(0.0)).alias("average_precision"))
 
 
 def precision_recall_curve(df: DataFrame, score: str, positive: Column) -> DataFrame:

@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import zscore_clip
+from ..lineage import dropped, renamed
 from .columns import unpivoted
+from .ranks import quantiles
 
 #: Largest value on the scaled axis of a continuous feature; a fixed value of the stored format.
 AXIS = 65535
@@ -48,17 +51,16 @@ class Quantizer:
     def bins(self) -> int:
         return 1 << self.bits
 
-    def save(self, path: str) -> None:
-        import os
-
-        with open(path + ".tmp", "w") as f:
-            json.dump(asdict(self), f)
-        os.replace(path + ".tmp", path)
+    def save(self, spark: SparkSession, path: str) -> None:
+        """A text table of one JSON document, written beside ``path`` and moved there in one step."""
+        new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "value string").coalesce(1).write.text(new)
+        dropped(spark, path)
+        renamed(spark, new, path)
 
     @staticmethod
-    def load(path: str) -> Quantizer:
-        with open(path) as f:
-            x = json.load(f)
+    def load(spark: SparkSession, path: str) -> Quantizer:
+        x = json.loads(spark.read.text(path).first().value)
         return Quantizer(x["bits"], [Rule(**r) for r in x["rules"]], x["clip"], x["z"], x["labels"])
 
 
@@ -92,7 +94,8 @@ def fit_quantizer(df: DataFrame, names: list[str], bits: int = 4, clip: bool = T
     clipped = long.join(F.broadcast(base.select("feature", "mean", "std", "d")), "feature")  # a row a feature
     value = zscore_clip(F.col("value"), F.col("mean"), F.col("std"), z) if clip else F.col("value")
     clipped = clipped.select("feature", F.when(F.col("d") <= g, F.col("value")).otherwise(value).alias("value"))
-    cuts = clipped.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.percentile("value", F.array(*[F.lit(b / g) for b in range(1, g)])).alias("cuts"))
+    ends = clipped.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    cuts = ends.join(quantiles(clipped, "feature", "value", [b / g for b in range(1, g)]).withColumnRenamed("q", "cuts"), "feature")
     rows = {r.feature: r for r in base.join(cuts, "feature").collect()}
     rules = []
     for name in names:
@@ -146,6 +149,24 @@ def quantized(df: DataFrame, q: Quantizer, mode: str = "nearest") -> DataFrame:
     return df.withColumns({r.feature: F.least(F.greatest(signal(F.col(r.feature), r, q.bins, q.clip, q.z, mode), F.lit(0)), F.lit(q.bins - 1)) for r in q.rules})
 
 
+def quantized_splits(frames: dict[str, DataFrame], names: list[str], bits: int = 4, **options) -> tuple[Quantizer, DataFrame]:
+    """(quantizer, all splits with a ``split`` column): fitted on the first split once and applied to every one."""
+    q, out = fit_quantizer(next(iter(frames.values())), names, bits, **options), None
+    for name, f in frames.items():
+        part = quantized(f, q).withColumn("split", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return q, out
+
+
+def distinct_up_to(df: DataFrame, names: list[str], most: int) -> DataFrame:
+    """(feature, n): distinct values of each column, ``most + 1`` where there are more; no more than that are kept of a column."""
+    from pyspark.sql.window import Window
+
+    values = unpivoted(df, names).filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.lit(1).alias("_one"))
+    few = values.withColumn("r", F.row_number().over(Window.partitionBy("feature").orderBy("value"))).filter(F.col("r") <= most + 1)
+    return few.groupBy("feature").agg(F.count("*").alias("n"))
+
+
 def drift_signals(df: DataFrame, q: Quantizer, clip: bool = False) -> DataFrame:
     """The frame with ``drift``: the first feature, in rule order, out of the fitted range, as (feature, value); null if none is."""
     hits = F.array(*[F.struct(F.lit(r.feature).alias("feature"), F.col(r.feature).cast("double").alias("value"), signal(F.col(r.feature), r, q.bins, clip, q.z, "drift").alias("s")) for r in q.rules])

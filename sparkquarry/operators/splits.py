@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import written
+from .ranks import numbered, quantiles
 from .setops import key_overlap
 
-#: Queries that one block of the nested-loop joins holds.
-QUERY_BLOCK = 4096
+#: Vectors that a block of the nested-loop joins holds, and queries that are multiplied at once.
+QUERY_BLOCK, REF_BLOCK, STRIP = 2048, 8192, 256
 
 
 def distinct_rows(df: DataFrame, columns: list[str], order: str) -> DataFrame:
@@ -41,55 +41,58 @@ def without_family_of(target: DataFrame, source: DataFrame, key: str) -> DataFra
     return target.join(source.filter(F.col(key) != 0).select(key).distinct(), key, "left_anti")
 
 
+def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    x = np.array(column.to_pylist(), float)
+    n = np.linalg.norm(x, axis=1)
+    return x / np.where(n == 0, 1, n)[:, None]
+
+
+def _tile(k: int, skip_self: bool):
+    """The k best references of each query of a tile; of equal cosines the lower ids."""
+
+    def run(queries: pa.Table, refs: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
+        if queries.num_rows and refs.num_rows:
+            ids, rid = queries.column("id").to_numpy(), refs.column("id").to_numpy()
+            q, r = _unit_rows(queries.column("v")), _unit_rows(refs.column("v"))
+            for at in range(0, len(ids), STRIP):
+                sim = np.round(q[at : at + STRIP] @ r.T, 9)
+                if skip_self:
+                    sim[ids[at : at + STRIP, None] == rid[None, :]] = -np.inf
+                least = np.partition(sim, -k, axis=1)[:, -k, None] if k < len(rid) else np.full((len(sim), 1), -np.inf)
+                x, y = np.nonzero((sim >= least) & np.isfinite(sim))  # more than k of a query where cosines are equal
+                order = np.lexsort((rid[y], -sim[x, y], x))
+                x, y = x[order], y[order]
+                place = np.arange(len(x)) - np.searchsorted(x, x)
+                x, y = x[place < k], y[place < k]
+                out.append((ids[at + x], rid[y], sim[x, y]))
+        joined = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
+        return pa.table({"id": pa.array(joined[0].astype(np.int64)), "neighbour": pa.array(joined[1].astype(np.int64)), "cosine": pa.array(joined[2].astype(float))})
+
+    return run
+
+
 def nearest_cosine(queries: DataFrame, refs: DataFrame, id_col: str, vec_col: str, k: int = 1, skip_self: bool = True) -> DataFrame:
     """(id, neighbour, cosine, place): the k most similar reference vectors of every query vector.
 
-    The query set is split into blocks of ``QUERY_BLOCK`` vectors. Each block is
-    broadcast (its size is bounded) and met by all reference rows where they lie,
-    as a matrix product a batch; every task hands on its k best a query only.
+    The query set meets all references in tiles: queries are dealt to blocks of about
+    ``QUERY_BLOCK`` and references to blocks of about ``REF_BLOCK`` by a hash of the
+    id, and each pair of blocks is one matrix product in strips, which hands on its k
+    best a query. Nothing goes through the driver; a task holds two blocks.
     """
-    spark = queries.sparkSession
-    rows = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("v is not null")
-    ordered = rows.orderBy("id").toLocalIterator()
-    out = None
-    block: list = []
-
-    def answered(block: list) -> DataFrame:
-        ids = np.array([r.id for r in block], np.int64)
-        q = np.array([r.v for r in block], float)
-        q /= np.where((n := np.linalg.norm(q, axis=1)) == 0, 1, n)[:, None]
-        held = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
-            best = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
-            for b in batches:
-                rid = b.column(0).to_numpy()
-                r = np.array(b.column(1).to_pylist(), float)
-                if not len(rid):
-                    continue
-                r /= np.where((n := np.linalg.norm(r, axis=1)) == 0, 1, n)[:, None]
-                sim = np.round(q @ r.T, 9)
-                if skip_self:
-                    sim[ids[:, None] == rid[None, :]] = -np.inf
-                sim, rids = np.concatenate([best[0], sim], axis=1), np.concatenate([best[1], np.broadcast_to(rid, sim.shape)], axis=1)
-                order = np.lexsort((rids, -sim), axis=1)[:, :k]
-                best = np.take_along_axis(sim, order, 1), np.take_along_axis(rids, order, 1)
-            ok = np.isfinite(best[0])
-            x = np.broadcast_to(ids[:, None], ok.shape)[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(best[1][ok], pa.int64()), pa.array(best[0][ok], pa.float64())], names=["id", "neighbour", "cosine"])
-
-        return refs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("v is not null").mapInArrow(run, "id long, neighbour long, cosine double")
-
-    for row in ordered:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out = answered(block) if out is None else out.union(answered(block))
-            block = []
-    if block or out is None:
-        out = (answered(block) if out is None else out.union(answered(block))) if block else spark.createDataFrame([], "id long, neighbour long, cosine double")
+
+    def dealt(df: DataFrame, size: int) -> tuple[DataFrame, int]:
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("id is not null and v is not null")
+        blocks = max(-(-rows.count() // size), 1)
+        return rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks
+
+    (q, nq), (r, nr) = dealt(queries, QUERY_BLOCK), dealt(refs, REF_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("id", "v", F.col("own").alias("qb"), every(nr).alias("rb"))
+    r = r.select("id", "v", every(nq).alias("qb"), F.col("own").alias("rb"))
+    near = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(_tile(k, skip_self), "id long, neighbour long, cosine double")
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    return out.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= k)
+    return near.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= k)
 
 
 def max_cosine(queries: DataFrame, refs: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -102,8 +105,9 @@ def similarity_profile(a: DataFrame, b: DataFrame, id_col: str, vec_col: str, li
     """One row a direction: quantiles 0.5, 0.9, 0.99 and the largest of the maximal similarities, and counts at limits."""
     rows = None
     for name, x, y in (("a_to_b", a, b), ("b_to_a", b, a)):
-        m = max_cosine(x, y, id_col, vec_col)
-        one = m.agg(F.percentile("cosine", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("q"), F.max("cosine").alias("most"), *[F.count_if(F.col("cosine") >= t).alias(f"at_least_{int(t * 100)}") for t in limits])
+        m, _ = written(max_cosine(x, y, id_col, vec_col), "similar")
+        counts = m.agg(F.max("cosine").alias("most"), *[F.count_if(F.col("cosine") >= t).alias(f"at_least_{int(t * 100)}") for t in limits])
+        one = quantiles(m.withColumn("all", F.lit(1)), "all", "cosine", [0.5, 0.9, 0.99]).join(F.broadcast(counts))  # a row each
         one = one.select(F.lit(name).alias("direction"), F.col("q")[0].alias("q50"), F.col("q")[1].alias("q90"), F.col("q")[2].alias("q99"), "most", *[f"at_least_{int(t * 100)}" for t in limits])
         rows = one if rows is None else rows.union(one)
     return rows
@@ -140,25 +144,23 @@ def family_downsample(df: DataFrame, key: str, row_id: str, n: int, seed: int =
 
 
 def stratified_parts(df: DataFrame, label: str, order: Column | str, ratios: dict[str, float]) -> DataFrame:
-    """A ``part`` for each row, label by label: consecutive ratios in the given order, at least one row each where there are enough, the rest to the last."""
-    w = Window.partitionBy(label)
-    x = df.withColumn("_r", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    """A ``part`` for each row, label by label: consecutive ratios in the given numeric order, at least one row each where there are enough, the rest to the last."""
+    x = numbered(df.withColumn("_order", order if isinstance(order, Column) else F.col(order)), "_order", [label]).drop("_order")
     names, total = list(ratios), sum(ratios.values())
     ends, at = [], 0.0
     for i, name in enumerate(names[:-1]):
         at += ratios[name] / total
-        ends.append((name, F.greatest(F.floor(F.col("_n") * F.lit(at) + 1e-9), F.least(F.lit(i + 1), F.col("_n")))))
+        ends.append((name, F.greatest(F.floor(F.col("n") * F.lit(at) + 1e-9), F.least(F.lit(i + 1), F.col("n")))))
     part = None
     for name, end in ends:
-        part = F.when(F.col("_r") < end, name) if part is None else part.when(F.col("_r") < end, name)
-    return x.withColumn("part", part.otherwise(names[-1]) if part is not None else F.lit(names[-1])).drop("_r", "_n")
+        part = F.when(F.col("row_no") < end, name) if part is None else part.when(F.col("row_no") < end, name)
+    return x.withColumn("part", part.otherwise(names[-1]) if part is not None else F.lit(names[-1])).drop("row_no", "n")
 
 
 def kfold(df: DataFrame, key: str, k: int) -> DataFrame:
     """A ``fold`` from 1 to k in consecutive parts of nearly equal size by ``key``.
 
-    Rows are numbered by range partitions (see :func:`numbered`), not by one
-    global window.
+    Rows are numbered range by range (see ``ranks``), not by one global window.
     """
     x = numbered(df, key)
     big = F.col("n") % k
@@ -167,18 +169,6 @@ def kfold(df: DataFrame, key: str, k: int) -> DataFrame:
     return x.withColumn("fold", (fold + 1).cast("long")).drop("row_no", "n")
 
 
-def numbered(df: DataFrame, key: str, ranges: int = 64) -> DataFrame:
-    """``row_no`` from 0 in order of a unique numeric key, and ``n``, the number of rows."""
-    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    x = df.join(F.broadcast(ends))  # one row
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / F.lit(float(ranges)), F.lit(1e-300))
-    x = x.withColumn("_range", F.least(F.floor((F.col(key) - F.col("_lo")) / width), F.lit(ranges - 1)))
-    sums = x.groupBy("_range").agg(F.count("*").alias("_c"))
-    sums = sums.select("_range", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("n"))
-    w = Window.partitionBy("_range").orderBy(key)
-    return x.join(F.broadcast(sums), "_range").withColumn("row_no", F.col("_before") + F.row_number().over(w) - 1).drop("_lo", "_hi", "_range", "_before")
-
-
 def require_rows(df: DataFrame, name: str, least: int = 1) -> DataFrame:
     """The frame, or an error if it has fewer rows than ``least``."""
     if df.limit(least).count() < least:
@@ -211,10 +201,6 @@ def prune_similar(query: DataFrame, refs: DataFrame, ranked: list[str], ks: list
 
     Each round's rows are written to the shared folder.
     """
-    import uuid
-
-    spark = query.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     for _ in range(rounds):
         bad = None
         for k in ks:
@@ -224,9 +210,7 @@ def prune_similar(query: DataFrame, refs: DataFrame, ranked: list[str], ks: list
             near = max_cosine(query.withColumn("_v", vec), refs.withColumn("_v", vec), id_col, "_v").filter(F.col("cosine") >= limit).select(F.col("id").alias(id_col))
             bad = near if bad is None else bad.union(near)
         kept = query.join(bad.distinct(), id_col, "left_anti")
-        path = f"{base.rstrip('/')}/pruned-{uuid.uuid4().hex}"
-        kept.write.parquet(path)
-        kept = spark.read.parquet(path)
+        kept, _ = written(kept, "pruned")
         if kept.count() == query.count():
             return kept
         query = kept

@@ -175,10 +175,9 @@ def group_counts_rollup(spark, d):
     return columns.group_counts(files.table(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-@query("column_groups", "select feature, case when lower(feature) like 'l\\_q%' escape '\\' then 'quantity' when lower(feature) like 'l\\_%price' escape '\\' then 'money' when lower(feature) like 'l\\_%' escape '\\' then 'line' else 'unknown' end as grp from (select unnest(['l_quantity', 'L_EXTENDEDPRICE', 'l_tax', 'other']) as feature)")
+@query("column_groups", "select p_partkey, case when lower(p_name) like 'small%' then 'size' when lower(p_name) like 'r%' then 'colour' when lower(p_name) like 'b%' then 'blue or big' else 'unknown' end as grp from part")
 def column_groups(spark, d):
-    names = spark.createDataFrame([(c,) for c in ("l_quantity", "L_EXTENDEDPRICE", "l_tax", "other")], "feature string")
-    return names.select("feature", columns.column_group(F.col("feature"), [("l_q", "quantity"), ("l_extendedprice", "money"), ("l_", "line")]).alias("grp"))
+    return files.table(spark, d, "part").select("p_partkey", columns.column_group(F.col("p_name"), [("small", "size"), ("r", "colour"), ("b", "blue or big")]).alias("grp"))
 
 
 @query("schema_align", "select p_partkey * 1.0e0 as key, p_retailprice as amount, 0.0e0 as acctbal, 'part' as split from part union all select s_suppkey * 1.0e0, 0.0e0, s_acctbal, 'supplier' from supplier")
@@ -219,15 +218,15 @@ def feature_hash(spark, d):
     return h.groupBy("bucket").agg(F.sum("sign").cast("long").alias("total"), F.count("*").alias("n"))
 
 
-@query("char_entropy", "with c as (select doc_id, unnest(string_split(text, '')) as c from documents where text <> ''), n as (select doc_id, c, count(*) as n from c group by all), s as (select doc_id, sum(n) as t, sum(n * log2(n)) as s from n group by doc_id) select doc_id, round(log2(t) - s / t, 6) as entropy from s union all select doc_id, 0.0e0 from documents where text = '' or text is null")
-def char_entropy(spark, d):
-    return rounded(columns.byte_entropy(files.table(spark, d, "documents").withColumn("text", F.when(F.col("text") != "", F.col("text"))), "doc_id", "text"), "entropy")
+@query("byte_entropy", "with b as (select doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) as b from documents where text <> ''), n as (select doc_id, b, count(*) as n from b group by all), s as (select doc_id, sum(n) as t, sum(n * log2(n)) as s from n group by doc_id) select doc_id, round(abs(log2(t) - s / t), 6) as entropy from s union all select doc_id, 0.0e0 from documents where text = '' or text is null")
+def byte_entropy(spark, d):
+    return columns.byte_entropy(files.table(spark, d, "documents"), "doc_id", "text").withColumn("entropy", r6(F.abs("entropy")))
 
 
-@query("softmax_scores", "with e as (select vec_id, embedding[1:4] as v from embeddings), m as (select vec_id, v, list_max(v)::double as hi from e), x as (select vec_id, exp(v[1]::double - hi) as a, exp(v[2]::double - hi) as b, exp(v[3]::double - hi) as c, exp(v[4]::double - hi) as d from m) select vec_id, round(a / (a + b + c + d), 6) as p1, round(b / (a + b + c + d), 6) as p2, round(c / (a + b + c + d), 6) as p3, round(d / (a + b + c + d), 6) as p4 from x")
+@query("softmax_scores", "with e as (select vec_id, embedding as v, list_max(embedding)::double as hi from embeddings), x as (select vec_id, [exp(y::double - hi) for y in v] as x from e), s as (select vec_id, x, list_sum(x) as s from x) select vec_id, unnest(range(1, 65))::bigint as place, round(unnest(x) / s, 6) as p from s")
 def softmax_scores(spark, d):
-    x = files.table(spark, d, "embeddings").select("vec_id", S.softmax(F.slice("embedding", 1, 4)).alias("p"))
-    return x.select("vec_id", *[r6(F.col("p")[i]).alias(f"p{i + 1}") for i in range(4)])
+    x = files.table(spark, d, "embeddings").select("vec_id", F.posexplode(S.softmax(F.col("embedding"))).alias("i", "p"))
+    return x.select("vec_id", (F.col("i") + 1).cast("long").alias("place"), r6("p").alias("p"))
 
 
 @query("array_helpers", "with e as (select vec_id, embedding[1:10] as v from embeddings) select vec_id, round(list_sum([x::double for x in v]) / 10, 6) as mean, round(list_max(v)::double, 6) as hi, round(list_min(v)::double, 6) as lo, round(sqrt(list_sum([x::double * x::double for x in v]) / 10 - (list_sum([x::double for x in v]) / 10) * (list_sum([x::double for x in v]) / 10)), 5) as std, 12::bigint as padded from e")
@@ -236,10 +235,10 @@ def array_helpers(spark, d):
     return x.select("vec_id", r6(S.array_mean(F.col("v"))).alias("mean"), r6(F.array_max("v").cast("double")).alias("hi"), r6(F.array_min("v").cast("double")).alias("lo"), F.round(S.array_std(F.col("v")), 5).alias("std"), F.size(S.pad_array(F.transform("v", lambda a: a.cast("double")), 12)).cast("long").alias("padded"))
 
 
-@query("path_normaliser", "select n, round(case when n <= 1 then 0 when n = 2 then 1 else 2 * (ln(n - 1) + 0.5772156649015329e0) - 2 * (n - 1) / n::double end, 6) as c, round(case when n <= 1 then 0 when n = 2 then -pow(2.0e0, -5.0e0) else -pow(2.0e0, -5.0e0 / (2 * (ln(n - 1) + 0.5772156649015329e0) - 2 * (n - 1) / n::double)) end, 6) as score from (select unnest(generate_series(1, 300)) as n)")
+@query("path_normaliser", "with u as (select user_id, count(*) as n from events group by user_id) select user_id, n, round(case when n <= 1 then 0 when n = 2 then 1 else 2 * (ln(n - 1) + 0.5772156649015329e0) - 2 * (n - 1) / n::double end, 6) as c, round(case when n <= 1 then 0 when n = 2 then -pow(2.0e0, -5.0e0) else -pow(2.0e0, -5.0e0 / (2 * (ln(n - 1) + 0.5772156649015329e0) - 2 * (n - 1) / n::double)) end, 6) as score from u")
 def path_normaliser(spark, d):
-    n = spark.range(1, 301).withColumnRenamed("id", "n")
-    return n.select("n", r6(S.path_normaliser(F.col("n"))).alias("c"), r6(S.anomaly_score(F.lit(5.0), F.col("n"))).alias("score"))
+    n = files.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.select("user_id", "n", r6(S.path_normaliser(F.col("n"))).alias("c"), r6(S.anomaly_score(F.lit(5.0), F.col("n"))).alias("score"))
 
 
 @query("bit_fields", "select l_partkey, case when l_partkey = 0 then 0 else length(bin(l_partkey)) end::bigint as bits, ((l_partkey >> 3) & 31)::bigint as field, (l_partkey & 4 <> 0)::int::bigint as flag, ((l_partkey & ~(7 << 2)) | (5 << 2))::bigint as patched, floor(l_partkey * 0.3e0 * 16 + 0.5e0)::bigint as fixed from (select distinct l_partkey from lineitem)")
@@ -277,10 +276,10 @@ def safe_ratio(spark, d):
 NORMED = "n as (select vec_id, label, [x::double / sqrt(list_sum([y::double * y::double for y in embedding])) for x in embedding] as v from embeddings)"
 
 
-@query("l2_cosine_max", f"with {NORMED} select a.vec_id as id, round(max(list_dot_product(a.v, b.v)), 6) as cosine from n a, n b where a.vec_id % 10 = 0 and b.vec_id % 10 <> 0 group by a.vec_id")
+@query("l2_cosine_max", f"with {NORMED} select a.vec_id as id, round(max(list_dot_product(a.v, b.v)), 6) as cosine from n a, n b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id group by a.vec_id")
 def l2_cosine_max(spark, d):
     e = files.table(spark, d, "embeddings")
-    return rounded(splits.max_cosine(e.filter("vec_id % 10 = 0"), e.filter("vec_id % 10 <> 0"), "vec_id", "embedding"), "cosine")
+    return rounded(splits.nearest_cosine(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding").select("id", "cosine"), "cosine")
 
 
 @query("pairwise_cosine", f"with {NORMED} select a.vec_id as id_a, b.vec_id as id_b, round(list_dot_product(a.v, b.v), 6) as cosine from n a join n b on a.label = b.label and a.vec_id = b.vec_id - 10 ")
@@ -316,15 +315,15 @@ def anti_overlap(spark, d):
     return splits.without_rows_of(x.filter("doc_id % 2 = 0"), x.filter("doc_id % 2 = 1"), ["text"]).select("doc_id")
 
 
-@query("family_anti_join", "select o_orderkey from orders where o_orderkey % 3 = 0 and (o_custkey % 50 = 0 or o_custkey % 50 not in (select o_custkey % 50 from orders where o_orderkey % 97 = 1 and o_custkey % 50 <> 0))")
+@query("family_anti_join", "select o_orderkey from orders where o_orderkey % 2 = 0 and (o_custkey = 0 or o_custkey not in (select o_custkey from orders where o_orderkey % 2 = 1 and o_custkey <> 0))")
 def family_anti_join(spark, d):
-    o = files.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("family"))
-    return splits.without_family_of(o.filter("o_orderkey % 3 = 0"), o.filter("o_orderkey % 97 = 1"), "family").select("o_orderkey")
+    o = files.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("family"))
+    return splits.without_family_of(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), "family").select("o_orderkey")
 
 
-@query("key_overlap", "with a as (select o_custkey % 700 as k, count(*) as n from orders where o_orderkey % 2 = 0 and o_custkey % 700 <> 0 group by 1), b as (select c_custkey % 400 as k, count(*) as n from customer where c_custkey % 400 <> 0 group by 1), x as (select a.n as na, b.n as nb from a full join b using (k)) select count(na) as keys_a, count(nb) as keys_b, count(*) filter (na is not null and nb is not null) as shared, round(count(*) filter (na is not null and nb is not null) / count(*)::double, 6) as jaccard, round(sum(na) filter (nb is not null) / sum(na)::double, 6) as rate_a, round(sum(nb) filter (na is not null) / sum(nb)::double, 6) as rate_b from x")
+@query("key_overlap", "with a as (select o_custkey % 700 as k, count(*) as n from orders where o_custkey % 700 <> 0 group by 1), b as (select c_custkey % 400 as k, count(*) as n from customer where c_custkey % 400 <> 0 group by 1), x as (select a.n as na, b.n as nb from a full join b using (k)) select count(na) as keys_a, count(nb) as keys_b, count(*) filter (na is not null and nb is not null) as shared, round(count(*) filter (na is not null and nb is not null) / count(*)::double, 6) as jaccard, round(sum(na) filter (nb is not null) / sum(na)::double, 6) as rate_a, round(sum(nb) filter (na is not null) / sum(nb)::double, 6) as rate_b from x")
 def key_overlap(spark, d):
-    a = files.table(spark, d, "orders").filter("o_orderkey % 2 = 0").select((F.col("o_custkey") % 700).alias("k"))
+    a = files.table(spark, d, "orders").select((F.col("o_custkey") % 700).alias("k"))
     b = files.table(spark, d, "customer").select((F.col("c_custkey") % 400).alias("k"))
     return rounded(setops.key_overlap(a, b, "k"), "jaccard", "rate_a", "rate_b")
 
@@ -335,15 +334,15 @@ def first_per_group(spark, d):
     return columns.first_per_group(o, "family", [F.col("o_orderkey")]).select("family", "o_orderkey")
 
 
-MULTI = "a as (select user_id as id, least(count(*), 7) as cnt from events where event_id % 2 = 0 group by 1), b as (select user_id as id, least(count(*), 7) as cnt from events where event_id % 3 = 0 and user_id % 4 <> 0 group by 1)"
+MULTI = "a as (select event_id // 10 as id, least(count(*), 3) as cnt from events where event_id % 2 = 0 group by 1), b as (select event_id // 14 as id, least(count(*), 3) as cnt from events where event_id % 2 = 1 group by 1)"
 
 
-@query("multiset_ops", f"with {MULTI} select 'union' as op, count(*) as ids, sum(greatest(coalesce(a.cnt, 0), coalesce(b.cnt, 0)))::bigint as total from a full join b using (id) union all select 'intersection', count(*), sum(least(a.cnt, b.cnt))::bigint from a join b using (id) union all select 'plus', count(*), sum(least(coalesce(a.cnt, 0) + (b.cnt is not null)::int, 7))::bigint from a full join b using (id) union all select 'minus', count(*), sum(a.cnt)::bigint from a where id not in (select id from b)")
+@query("multiset_ops", f"with {MULTI} select 'union' as op, count(*) as ids, sum(greatest(coalesce(a.cnt, 0), coalesce(b.cnt, 0)))::bigint as total from a full join b using (id) union all select 'intersection', count(*), sum(least(a.cnt, b.cnt))::bigint from a join b using (id) union all select 'plus', count(*), sum(least(coalesce(a.cnt, 0) + (b.cnt is not null)::int, 3))::bigint from a full join b using (id) union all select 'minus', count(*), sum(a.cnt)::bigint from a where id not in (select id from b)")
 def multiset_ops(spark, d):
     e = files.table(spark, d, "events")
-    a = setops.multiset(e.filter("event_id % 2 = 0"), "user_id", 3)
-    b = setops.multiset(e.filter("event_id % 3 = 0 and user_id % 4 <> 0"), "user_id", 3)
-    made = {"union": setops.multiset_union(a, b), "intersection": setops.multiset_intersection(a, b), "plus": setops.multiset_plus(a, b, 3), "minus": setops.multiset_minus(a, b)}
+    a = setops.multiset(e.filter("event_id % 2 = 0").select(F.floor(F.col("event_id") / 10).alias("id")), "id", 2)
+    b = setops.multiset(e.filter("event_id % 2 = 1").select(F.floor(F.col("event_id") / 14).alias("id")), "id", 2)
+    made = {"union": setops.multiset_union(a, b), "intersection": setops.multiset_intersection(a, b), "plus": setops.multiset_plus(a, b, 2), "minus": setops.multiset_minus(a, b)}
     out = None
     for op, x in made.items():
         one = x.agg(F.count("*").alias("ids"), F.sum("cnt").cast("long").alias("total")).select(F.lit(op).alias("op"), "ids", "total")
@@ -416,7 +415,19 @@ def drift_signal(spark, d):
     return quantize.drift_signals(e, q).select("event_id", F.col("drift.feature").alias("feature"), r6("drift.value").alias("drifted"))
 
 
-@query("drift_rebin")
+EDGES = "s as (select *, greatest(floor(65535 / (hi - lo)), 1) as k from q), e as (select *, floor(lo * k + 0.5e0) as base from s), g as (select *, [least(greatest(floor(x * k + 0.5e0) - base, 0), 65535) for x in c] as edges from e), r as (select event_id, value, case when floor(value * k + 0.5e0) - base <= 0 then 0 else least(len([x for x in edges if floor(value * k + 0.5e0) - base >= x]), len(edges)) end as bin from events, g)"
+
+
+@query(
+    "drift_rebin",
+    f"""with q as (select quantile_cont(value, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) as c, min(value) as lo, max(value) as hi from events where value between 20 and 80), {EDGES},
+f as (select min(value) as flo, max(value) as fhi from events),
+n as (select [lo] || [(x + base) / k for x in edges] || [hi] as old, least(lo, flo) as lo2, greatest(hi, fhi) as hi2, lo as lo1, hi as hi1 from g, f),
+w as (select old, [lo2 + (x - lo1) * ((hi2 - lo2) / (hi1 - lo1)) for x in old] as new from n),
+m as (select b, n, least(old[b + 2], new[n + 2]) - greatest(old[b + 1], new[n + 1]) as overlap from w, (select unnest(range(8)) as b), (select unnest(range(8)) as n)),
+t as (select b, n as bin from (select *, row_number() over (partition by b order by overlap desc, n) as o from m) where o = 1)
+select t.bin::bigint as bin, count(*) as n from r join t on r.bin = t.b group by 1""",
+)
 def drift_rebin(spark, d):
     e = files.table(spark, d, "events").select("event_id", "value")
     q = quantize.fit_quantizer(e.filter("value between 20 and 80"), ["value"], bits=3, clip=False)
@@ -426,7 +437,13 @@ def drift_rebin(spark, d):
     return quantize.remapped(old, {"value": m}).groupBy(F.col("value").cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("bin_shrink")
+@query(
+    "bin_shrink",
+    f"""with q as (select quantile_cont(value, [0.0625, 0.125, 0.1875, 0.25, 0.3125, 0.375, 0.4375, 0.5, 0.5625, 0.625, 0.6875, 0.75, 0.8125, 0.875, 0.9375]) as c, min(value) as lo, max(value) as hi from events), {EDGES},
+l as (select bin from r where value > 40),
+h as (select case when count(*) filter (bin = 0) > 0 then 0 when count(*) filter (bin = 1) > 0 then 1 else 2 end as low, case when count(*) filter (bin = 15) > 0 then 0 when count(*) filter (bin = 14) > 0 then 1 else 2 end as high from l)
+select case when low + high = 0 then bin else least(greatest(floor((bin - low) * 16.0e0 / (16 - low - high)), 0), 15) end::bigint as bin, count(*) as n from l, h group by 1""",
+)
 def bin_shrink(spark, d):
     e = files.table(spark, d, "events").select("event_id", "value")
     q = quantize.fit_quantizer(e, ["value"], bits=4, clip=False)
@@ -642,14 +659,14 @@ def boost_predict(spark, d):
 
 @query(
     "centroid_mmd",
-    f"""with x as (select vec_id as id, embedding as v, label < 5 as side from embeddings where vec_id % 4 = 0),
+    f"""with x as (select vec_id as id, embedding as v, label < 5 as side from embeddings),
 p as (select a.id as ia, b.id as ib, a.side as sa, b.side as sb, list_sum([(a.v[i]::double - b.v[i]::double) * (a.v[i]::double - b.v[i]::double) for i in range(1, 65)]) as d2 from x a join x b on a.id <= b.id),
 g as (select 1 / quantile_cont(d2, 0.5) as gamma from p where ia < ib),
 k as (select sa, sb, exp(-gamma * d2) * case when ia = ib then 1 else 2 end as k, case when ia = ib then 1 else 2 end as n, gamma from p, g)
 select round(max(gamma), 6) as gamma, round(sum(k) filter (sa and sb) / sum(n) filter (sa and sb) + sum(k) filter (not sa and not sb) / sum(n) filter (not sa and not sb) - 2 * sum(k) filter (sa <> sb) / sum(n) filter (sa <> sb), 6) as mmd2 from k""",
 )
 def centroid_mmd(spark, d):
-    e = files.table(spark, d, "embeddings").filter("vec_id % 4 = 0")
+    e = files.table(spark, d, "embeddings")
     return rounded(audit.mmd2(e, "vec_id", "embedding", F.col("label") < 5), "gamma", "mmd2")
 
 
@@ -665,7 +682,7 @@ def newest_log(spark, d):
     return files.newest_first_log(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "event_id", 50)
 
 
-@query("pending_feedback", "with p as (select event_id, user_id, row_number() over (partition by user_id order by event_id) as k from events where event_type = 'click'), l as (select user_id, event_type || '-' || event_id as actual, row_number() over (partition by user_id order by event_id) as k from events where event_type = 'error') select p.event_id, p.user_id, l.actual from p left join l using (user_id, k) where p.k <= 100")
+@query("pending_feedback", "with e as (select event_id, user_id, event_type from events where event_type in ('click', 'error')), c as (select *, sum((event_type = 'error')::int) over w - sum((event_type = 'click')::int) over w as ahead from e window w as (partition by user_id order by event_id)), i as (select *, greatest(0, max(ahead) over (partition by user_id order by event_id)) as ignored from c), m as (select *, event_type = 'error' and ignored = coalesce(lag(ignored) over (partition by user_id order by event_id), 0) as taken from i), l as (select user_id, event_type || '-' || event_id as actual, row_number() over (partition by user_id order by event_id) as k from m where taken), p as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as k from e where event_type = 'click') select event_id, user_id, actual from p left join l using (user_id, k)")
 def pending_feedback(spark, d):
     e = files.table(spark, d, "events")
     p = e.filter("event_type = 'click'").select("event_id", "user_id")

@@ -72,12 +72,11 @@ def fit_csv(spark: SparkSession, path: str, names: list[str] | None = None, labe
     header = len(head) == 2 and has_header(head[0][labelled:], head[1][labelled:])
     width = len(head[0]) if head else 0
     names = names or ([c.strip() for c in head[0]] if header else (["label"] if labelled else []) + [f"f{i}" for i in range(width - labelled)])
-    cells = F.split("value", ",")
-    rows = lines.select(cells.alias("c"), "value").filter(F.size("c") == width)
-    if header:
-        rows = rows.filter(F.col("value") != ",".join(head[0]))
-    number = lambda i: F.coalesce(F.trim(F.col("c")[i]).try_cast("double"), F.lit(0.0))
-    return rows.select(*[(F.trim(F.col("c")[i]) if labelled and i == 0 else number(i)).alias(n) for i, n in enumerate(names)])
+    schema = ", ".join(f"c{i} string" for i in range(max(width, 1))) + ", _bad string"
+    # the reader drops the header, which is a file's first line and no other that is equal to it
+    rows = spark.read.csv(path, schema=schema, header=header, quote='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True).filter(F.col("_bad").isNull())
+    number = lambda c: F.coalesce(F.trim(c).try_cast("double"), F.lit(0.0))
+    return rows.select(*[(F.trim(F.col(f"c{i}")) if labelled and i == 0 else number(F.col(f"c{i}"))).alias(n) for i, n in enumerate(names)])
 
 
 def dataset_params(df: DataFrame, features: int, bits: int, label: str | None = None) -> DataFrame:
@@ -105,11 +104,14 @@ def read_dataset_params(text: str) -> dict[str, str]:
 
 
 def config_or_scan(config: dict | None, df: DataFrame, label: str) -> dict:
-    """Counts from a configuration, else from the data."""
+    """Counts from a configuration, else from the data, with the settings that follow from them."""
+    from ..operators.trees import auto_config
+
     if config and "samples" in config:
         return config
-    counts = {r[0]: r.n for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    return {"samples": sum(counts.values()), "labels": len(counts), "counts": counts}
+    counts = {r[0]: r.n for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row a class
+    features = len(df.columns) - 1
+    return {"samples": sum(counts.values()), "labels": len(counts), "counts": counts, **auto_config(counts, features)}
 
 
 def bounded_append(old: DataFrame, new: DataFrame, order: str, most: int) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fnv1a
+from ..lineage import open_store
 
 MAGIC = b"EMLD"
 HEADER = struct.Struct("<4sHBBHHIQQ")
@@ -55,8 +56,12 @@ def unpack_matrix(raw: np.ndarray, features: int, bits: int) -> np.ndarray:
 
 
 def encode(labels: np.ndarray, x: np.ndarray, bits: int, checked: bool = False) -> bytes:
-    rows = np.concatenate([labels.astype(np.uint8)[:, None], pack_matrix(x, bits)], axis=1).tobytes()
-    n, f = x.shape
+    return _framed(labels, pack_matrix(x, bits), x.shape[1], bits, checked)
+
+
+def _framed(labels: np.ndarray, packed: np.ndarray, f: int, bits: int, checked: bool) -> bytes:
+    rows = np.concatenate([labels.astype(np.uint8)[:, None], packed], axis=1).tobytes()
+    n = len(labels)
     if not checked:
         return struct.pack("<IH", n, f) + rows
     size = 1 + (f * bits + 7) // 8
@@ -96,9 +101,90 @@ def read_packed(spark: SparkSession, path: str, bits: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, row_no long, label int, features array<short>")
 
 
-def rows_by_number(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Only the rows whose ``row_no`` is asked for."""
-    return df.join(ids.select("row_no"), "row_no", "left_semi")
+def write_packed(df: DataFrame, label: str, names: list[str], bits: int, folder: str, checked: bool = True) -> DataFrame:
+    """Write rows as packed files below a folder that all executors reach, a file a partition; (path, rows, dropped) of each. Rows with a null or a value that the bits cannot hold are dropped.
+
+    A file is written under another name and then renamed, so a task that is run
+    again replaces its own file.
+    """
+    import uuid
+
+    from pyspark.taskcontext import TaskContext
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, rows, dropped = [], [], 0
+        for b in batches:
+            x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns]) if b.num_rows else np.zeros((0, len(names) + 1))
+            with np.errstate(invalid="ignore"):
+                ok = (x[:, 1:] >= 0).all(axis=1) & (x[:, 1:] < 1 << bits).all(axis=1) & (x[:, 0] >= 0) & (x[:, 0] < 256) & ~np.isnan(x).any(axis=1)
+            dropped += int((~ok).sum())
+            labels.append(x[ok, 0].astype(np.uint8))
+            rows.append(pack_matrix(x[ok, 1:].astype(np.uint8), bits))
+        if not labels:
+            return
+        y, packed = np.concatenate(labels), np.concatenate(rows)
+        fs, root = open_store(folder)
+        fs.create_dir(root, recursive=True)
+        name, mine = f"part-{TaskContext.get().partitionId():06d}.bin", f"{root}/.{uuid.uuid4().hex}"
+        with fs.open_output_stream(mine) as f:
+            f.write(_framed(y, packed, len(names), bits, checked))
+        fs.move(mine, f"{root}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(y)]), pa.array([dropped])], names=["path", "rows", "dropped"])
+
+    return df.select(F.col(label).cast("double"), *[F.col(c).cast("double") for c in names]).mapInArrow(run, "path string, rows long, dropped long")
+
+
+def _layout(head: bytes, bits: int) -> tuple[int, int, int, int, int]:
+    """(rows, features, bits, bytes a row, where the first row begins) from a file's first bytes."""
+    if head[:4] == MAGIC:
+        _, _, bits, _, count, size, n, *_ = HEADER.unpack(head[: HEADER.size])
+        return n, count, bits, size, HEADER.size
+    n, count = struct.unpack("<IH", head[:6])
+    return n, count, bits, 1 + (count * bits + 7) // 8, 6
+
+
+def read_rows(wanted: DataFrame, bits: int) -> DataFrame:
+    """(path, row_no, label, features) of the wanted rows (path, row_no) of packed files: only their bytes are read, by seeking."""
+
+    def run(table: pa.Table) -> pa.Table:
+        path = table.column("path")[0].as_py()
+        numbers = np.unique(table.column("row_no").to_numpy())
+        fs, name = open_store(path)
+        with fs.open_input_file(name) as f:
+            n, count, width, size, begin = _layout(f.read(32), bits)
+            numbers = numbers[(numbers >= 0) & (numbers < n)]
+            raw = []
+            for k in numbers.tolist():
+                f.seek(begin + k * size)
+                raw.append(f.read(size))
+        got = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, size)
+        x = unpack_matrix(got[:, 1:], count, width).astype(np.int16) if len(got) else np.zeros((0, count), np.int16)
+        ends = np.arange(len(x) + 1, dtype=np.int32) * count
+        return pa.table({"path": pa.array([path] * len(x), pa.string()), "row_no": pa.array(numbers), "label": pa.array(got[:, 0].astype(np.int32)), "features": pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()))})
+
+    return wanted.select("path", "row_no").groupBy("path").applyInArrow(run, "path string, row_no long, label int, features array<short>")
+
+
+def copy_valid(spark: SparkSession, source: str, target: str, bits: int) -> DataFrame:
+    """Copy the packed files of a folder whose sizes and checksum hold; (path, rows, error) of each: rows is null, and nothing is copied, where one does not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = error = None
+                try:
+                    rows = len(decode(data, bits)[0])
+                    fs, root = open_store(target)
+                    fs.create_dir(root, recursive=True)
+                    name = path.rsplit("/", 1)[1]
+                    with fs.open_output_stream(f"{root}/.{name}") as f:
+                        f.write(data)
+                    fs.move(f"{root}/.{name}", f"{root}/{name}")
+                except (ValueError, struct.error) as x:
+                    error = str(x)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rows], pa.int64()), pa.array([error], pa.string())], names=["path", "rows", "error"])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(source).select("path", "content").mapInArrow(run, "path string, rows long, error string")
 
 
 def encode_log(pairs: list[tuple[int, int]]) -> bytes:

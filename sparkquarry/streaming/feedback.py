@@ -1,7 +1,10 @@
 """The feedback loop: predictions wait for labels, matched pairs go to a log, and the log gives metrics.
 
-Batch forms work on tables in order; the streaming form keeps a bounded queue
-for each key as state. Both give the same pairs.
+The batch form reads events in order, the streaming form keeps a bounded queue
+for each key as state. Both run the same :class:`Queue` and give the same pairs:
+the k-th label goes to the k-th waiting prediction, a label that finds none is
+ignored, and when more than ``MOST_PENDING`` predictions wait, the queue is
+flushed: all that wait leave without a label.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,12 +23,65 @@ PAIR = "key string, seq long, predicted string, actual string, status string"
 MOST_PENDING = 100
 
 
+class Queue:
+    """Waiting predictions of one key as (number, value); ``skip_ms``: a gap of so much between labels skips a waiting prediction each time."""
+
+    def __init__(self, most_pending: int, skip_ms: int = 0, pending: list | None = None, last_label: int = 0, count: int = 0):
+        self.most_pending, self.skip_ms, self.last_label, self.count = most_pending, skip_ms, last_label, count
+        self.pending = [tuple(p) for p in pending or []]
+
+    def prediction(self, value) -> list[tuple]:
+        """(number, value, label, status) of what leaves the queue."""
+        self.count += 1
+        self.pending.append((self.count, value))
+        if len(self.pending) <= self.most_pending:
+            return []
+        out = [(*p, None, "overflow") for p in self.pending]
+        self.pending = []
+        return out
+
+    def label(self, value, at_ms: int = 0) -> list[tuple]:
+        out = []
+        skip = (at_ms - self.last_label) // self.skip_ms if self.skip_ms and self.last_label else 0
+        self.last_label = at_ms
+        for _ in range(min(int(skip), len(self.pending))):
+            out.append((*self.pending.pop(0), None, "skipped"))
+        if self.pending:
+            out.append((*self.pending.pop(0), value, "labelled"))
+        return out
+
+
 def matched_in_order(predictions: DataFrame, labels: DataFrame, key: str, order: str, most_pending: int = MOST_PENDING) -> DataFrame:
-    """The k-th label of a key belongs to its k-th prediction; labels beyond the predictions, and predictions beyond the queue, match nothing."""
-    w = Window.partitionBy(key).orderBy(order)
-    p = predictions.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most_pending)
-    lab = labels.withColumn("k", F.row_number().over(w)).select(key, "k", F.col("actual"))
-    return p.join(lab, [key, "k"], "left")
+    """(key, order, actual): every prediction with its label, null where it has none. ``labels`` has ``actual``; ``order`` is a number common to both.
+
+    Events of a key are read as a stream in order, so memory is bounded by the queue.
+    """
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    both = predictions.select(F.col(key).alias("_k"), F.col(order).cast("long").alias("_o"), F.lit(0).alias("_label"), F.lit(None).cast("string").alias("actual")).union(labels.select(F.col(key), F.col(order).cast("long"), F.lit(1), F.col("actual").cast("string")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue, now, first = Queue(most_pending), None, True
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            keys, orders, actual = zip(*rows, strict=True) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(keys, kinds[0]), pa.array(orders, pa.int64()), pa.array(actual, pa.string())], names=["_k", "_o", "actual"])
+
+        for b in batches:
+            kinds = [b.column(0).type]
+            out = []
+            for k, at, is_label, actual in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if first or k != now:
+                    out += [(now, v, None) for _, v in queue.pending]
+                    queue, now, first = Queue(most_pending), k, False
+                gone = queue.label(actual) if is_label else queue.prediction(at)
+                out += [(k, v, lab) for _, v, lab, _ in gone]
+            yield made(out)
+        if not first:
+            yield made([(now, v, None) for _, v in queue.pending])
+
+    ordered = both.repartition("_k").sortWithinPartitions("_k", "_o", "_label")
+    got = ordered.mapInArrow(run, f"_k {kind(predictions, key)}, _o long, actual string")
+    return got.select(F.col("_k").alias(key), F.col("_o").alias(order), "actual")
 
 
 def skipped_slots(labels: DataFrame, key: str, at: str, wait_s: float) -> DataFrame:
@@ -65,31 +122,17 @@ def admitted_labels(known: list[str], arrived: list[str], allow_new: bool) -> li
 
 def _feed(most_pending: int, wait_ms: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, last_label, seq = (json.loads(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 0, 0)
-        out = []
+        pending, last_label, count = (json.loads(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 0, 0)
+        queue, out = Queue(most_pending, wait_ms, pending, last_label, count), []
         if state.hasTimedOut:
-            out = [(key[0], s, p, None, "timeout") for s, p in pending]
+            out = [(*p, None, "timeout") for p in queue.pending]
             state.remove()
         else:
             for pdf in frames:
-                for r in pdf.sort_values(["at_ms", "kind"]).itertuples(index=False):
-                    if r.kind == "prediction":
-                        if len(pending) >= most_pending:  # the oldest leaves unlabelled
-                            s, p = pending.pop(0)
-                            out.append((key[0], s, p, None, "overflow"))
-                        seq += 1
-                        pending.append((seq, r.value))
-                    else:
-                        skip = (r.at_ms - last_label) // wait_ms if wait_ms and last_label else 0
-                        last_label = r.at_ms
-                        for _ in range(min(int(skip), len(pending))):
-                            s, p = pending.pop(0)
-                            out.append((key[0], s, p, None, "skipped"))
-                        if pending:
-                            s, p = pending.pop(0)
-                            out.append((key[0], s, p, r.value, "labelled"))
-            state.update((json.dumps(pending), int(last_label), int(seq)))
-        yield pd.DataFrame(out, columns=["key", "seq", "predicted", "actual", "status"])
+                for r in pdf.assign(_label=(pdf.kind != "prediction").astype(int)).sort_values(["at_ms", "_label"], kind="stable").itertuples(index=False):
+                    out += queue.prediction(r.value) if r.kind == "prediction" else queue.label(r.value, int(r.at_ms))
+            state.update((json.dumps(queue.pending), int(queue.last_label), int(queue.count)))
+        yield pd.DataFrame([(key[0], *o) for o in out], columns=["key", "seq", "predicted", "actual", "status"])
 
     return run
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sparkquarry.plans import catalog
+from sparkquarry.plans import catalog, catalog_more  # noqa: F401
 from sparkquarry.sources.files import TABLES
 
 DATA = "/root/testdata/sf0.001"
