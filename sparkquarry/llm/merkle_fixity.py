@@ -2,28 +2,36 @@
 
 A replica is a folder of WARC files: records of the format's version 1.1, each a
 gzip member of its own, so that any record can be read at its offset. Every file
-has an offset table (``.cdx``-like, binary): record id, offset and length.
+has an offset table beside it (``.idx``): a magic, the number of records, the
+SHA-256 of what follows, and for each record its page id, offset and length.
 
-Fixity: the leaf of a record is the SHA-256 of its stored bytes. Leaves are
-ordered by file and offset; ``FANOUT`` consecutive nodes of a file (a contiguous
-range of offsets) make the node above by the SHA-256 of their digests, until the
-file has one; files go on in the same way up to the replica's root.
+Fixity: a record's digest is the SHA-256 of its stored bytes. A leaf is the SHA-256
+of offset, length and digest. Leaves are ordered by file and offset; ``FANOUT``
+consecutive nodes of a file make the node above by the SHA-256 of their ranges
+(first offset, length) and digests in order, until the file has one; files go on in
+the same way up to the replica's root.
 
-Audit: the roots of two replicas are compared, and only the children of nodes
-that differ are looked at on the next level, down to single records. The audit
-reads digests, never the records of ranges that agree. What differs is told as
-file, record number, offset and length, with both digests.
+Audit: the files of a replica are found by listing its folder, and both replicas'
+files are numbered together by name. The roots are compared, and only the children
+of nodes that differ are looked at on the next level, down to single records: the
+audit reads nodes, never the records of ranges that agree.
 
 Edge cases: null url or html is an empty one; a null page_id gives the record id
-``null``. Rows that repeat a page_id are records of their own. A replica without
-a record has no root and equals another such. A record or file that one replica
-lacks counts as differing (its digest there is null).
+``null``. Rows that repeat a page_id are records of their own. Very long pages are
+records like others; other columns than page_id, url and html are not read. An
+empty table gives a replica without a file, whose root equals another such. A
+record or file that one replica lacks differs (its leaf there is null). A file whose
+offset table is missing, short, damaged or not of one row of records has one leaf
+with number -1 instead of its records, and an offset table without its file gives
+leaves without bytes; both differ from everything. A record cut short differs;
+bytes behind the last record are a leaf of their own.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import itertools
 import struct
 import uuid
 import zlib
@@ -31,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -39,6 +48,9 @@ from . import scratch
 
 FANOUT = 16
 DAMAGED_OF = 97
+MAGIC = b"WIX2"
+#: Leaves that are handed on at once.
+ROWS = 10_000
 ENTRY = np.dtype([("page_id", "<i8"), ("known", "<i8"), ("offset", "<i8"), ("length", "<i8")])
 WRITTEN = "replica int, file_no int, name string, records long, bytes long"
 LEAF = "file_no int, number long, page_id long, offset long, length long, digest string"
@@ -65,6 +77,24 @@ def _damaged(data: bytes) -> bytes:
     return data[:-6] + bytes([data[-6] ^ 1]) + data[-5:]
 
 
+def offset_table(index: np.ndarray) -> bytes:
+    body = index.tobytes()
+    return MAGIC + struct.pack("<Q", len(index)) + hashlib.sha256(body).digest() + body
+
+
+def read_offset_table(data: bytes) -> np.ndarray | None:
+    """The entries of an offset table; None if it is damaged or its records do not lie one behind the other."""
+    head = len(MAGIC) + 8 + 32
+    if len(data) < head or data[: len(MAGIC)] != MAGIC:
+        return None
+    n, body = struct.unpack("<Q", data[len(MAGIC) : len(MAGIC) + 8])[0], data[head:]
+    if len(body) != n * ENTRY.itemsize or hashlib.sha256(body).digest() != data[head - 32 : head]:
+        return None
+    index = np.frombuffer(body, ENTRY)
+    ends = np.cumsum(index["length"])
+    return index if (index["length"] >= 0).all() and (index["offset"] == ends - index["length"]).all() else None
+
+
 def _write(replicas: list[tuple[str, int]]):
     """Write the rows of each task as one file in every replica, (folder, damaged_of); with ``damaged_of`` a byte of every record is changed whose page id's crc32 it divides."""
 
@@ -91,7 +121,7 @@ def _write(replicas: list[tuple[str, int]]):
             out.close()
             fs.move(f"{root}/{mine}", f"{root}/{name}")
             with fs.open_output_stream(f"{root}/{mine}") as f:
-                f.write(struct.pack("<Q", len(index)) + index.tobytes())
+                f.write(offset_table(index))
             fs.move(f"{root}/{mine}", f"{root}/{name}.idx")
         n = len(replicas)
         yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([part] * n, pa.int32()), pa.array([name] * n), pa.array([len(index)] * n), pa.array([at] * n)], names=[c.split()[0] for c in WRITTEN.split(", ")])
@@ -115,24 +145,65 @@ def write_replicas(pages: DataFrame, replicas: list[tuple[str, int]]) -> DataFra
     return ordered.mapInArrow(_write(replicas), WRITTEN)
 
 
+def replica_files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(file_no, name): the files that any of the folders lists, numbered by name."""
+    names = set()
+    for folder in folders:
+        fs, root = scratch.open_store(folder)
+        for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            names.add(info.base_name.removesuffix(".idx"))
+    return spark.createDataFrame(list(enumerate(sorted(n for n in names if n.endswith(".warc.gz")))), "file_no int, name string")
+
+
+def _bytes(fs: pafs.FileSystem, path: str) -> bytes | None:
+    if fs.get_file_info(path).type != pafs.FileType.File:
+        return None
+    with fs.open_input_stream(path, compression=None) as f:
+        return f.read()
+
+
+def _file_leaves(fs: pafs.FileSystem, root: str, name: str) -> Iterator[tuple]:
+    """(number, page, offset, length, digest) of one file's records."""
+    there = fs.get_file_info(f"{root}/{name}").type == pafs.FileType.File
+    table = _bytes(fs, f"{root}/{name}.idx")
+    if table is None and not there:
+        return
+    index = read_offset_table(table) if table is not None else None
+    if index is None:
+        yield -1, None, 0, 0, f"no offset table in {root}"
+        return
+    if not there:
+        for n, e in enumerate(index):
+            yield n, int(e["page_id"]) if e["known"] else None, int(e["offset"]), int(e["length"]), f"no file in {root}"
+        return
+    end = 0
+    with fs.open_input_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20) as f:
+        for n, e in enumerate(index):
+            yield n, int(e["page_id"]) if e["known"] else None, int(e["offset"]), int(e["length"]), hashlib.sha256(f.read(int(e["length"]))).hexdigest()
+            end = int(e["offset"] + e["length"])
+        rest, more = hashlib.sha256(), 0
+        while data := f.read(1 << 20):
+            rest.update(data)
+            more += len(data)
+    if more:
+        yield len(index), None, end, more, rest.hexdigest()
+
+
 def _leaves(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = scratch.open_store(folder)
         for batch in batches:
             for no, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with fs.open_input_stream(f"{root}/{name}.idx") as f:
-                    data = f.read()
-                index = np.frombuffer(data, ENTRY, struct.unpack("<Q", data[:8])[0], 8)
-                with fs.open_input_stream(f"{root}/{name}", compression=None, buffer_size=1 << 20) as f:
-                    digest = [hashlib.sha256(f.read(n)).hexdigest() for n in index["length"].tolist()]
-                page = np.ascontiguousarray(index["page_id"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), no, np.int32)), pa.array(np.arange(len(index))), pa.array(page, mask=index["known"] == 0), pa.array(np.ascontiguousarray(index["offset"])), pa.array(np.ascontiguousarray(index["length"])), pa.array(digest)], names=[c.split()[0] for c in LEAF.split(", ")])
+                leaves = _file_leaves(fs, root, name)
+                while rows := list(itertools.islice(leaves, ROWS)):
+                    columns = [[no] * len(rows), *zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=[c.split()[0] for c in LEAF.split(", ")])
 
     return run
 
 
 def read_leaves(files: DataFrame, folder: str) -> DataFrame:
-    """The leaf of every record of a replica, from the stored bytes."""
+    """Every record of a replica with the digest of its stored bytes. ``files``: those of :func:`replica_files`."""
     parts = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return files.select("file_no", "name").repartition(parts).mapInArrow(_leaves(folder), LEAF)
 
@@ -142,13 +213,15 @@ STEPS = {"records": (["file_no", "number"], "number"), "tops": (["file_no", "num
 
 
 def _above(nodes: DataFrame, step: str) -> DataFrame:
-    """The level above: nodes of FANOUT consecutive children each."""
+    """The level above: nodes of FANOUT consecutive children each, with the range that they cover."""
     names, index = STEPS[step]
     if index is None:  # the top of a file's own tree stands for the file
-        return nodes.select(F.col("file_no").cast("long").alias("file_no"), "digest")
+        return nodes.select(F.col("file_no").cast("long").alias("file_no"), "offset", "length", "digest")
     rest = [c for c in names if c != index]
-    up = nodes.groupBy(*rest, F.floor(F.col(index) / FANOUT).alias("up")).agg(F.sort_array(F.collect_list(F.struct(index, "digest"))).alias("c"))
-    return up.select(*rest, F.col("up").alias(index), F.sha2(F.array_join("c.digest", ""), 256).alias("digest"))
+    child = F.struct(index, "offset", "length", "digest")
+    up = nodes.groupBy(*rest, F.floor(F.col(index) / FANOUT).alias("up")).agg(F.sort_array(F.collect_list(child)).alias("c"))
+    said = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x[index], x["offset"], x["length"], x["digest"])), ",")
+    return up.select(*rest, F.col("up").alias(index), F.col("c")[0]["offset"].alias("offset"), F.aggregate("c.length", F.lit(0).cast("long"), lambda a, x: a + x).alias("length"), F.sha2(said, 256).alias("digest"))
 
 
 def _below(nodes: DataFrame, bad: DataFrame, step: str) -> DataFrame:
@@ -177,7 +250,8 @@ def merkle_levels(leaves: DataFrame, records: int, files: int) -> list[tuple[Dat
     while n > 1:
         steps.append("files")
         n = -(-n // FANOUT)
-    out = [leaves.select(F.col("file_no").cast("long").alias("file_no"), "number", "digest")]
+    leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)
+    out = [leaves.select(F.col("file_no").cast("long").alias("file_no"), "number", "offset", "length", leaf.alias("digest"))]
     for step in steps:
         up = _above(out[-1], step)
         out.append(up if step == "tops" else scratch.cut(up, "nodes")[0])
@@ -186,13 +260,13 @@ def merkle_levels(leaves: DataFrame, records: int, files: int) -> list[tuple[Dat
 
 def _differ(a: DataFrame, b: DataFrame) -> DataFrame:
     """Places whose digests differ, or that one side lacks."""
-    names = [c for c in a.columns if c != "digest"]
+    names = [c for c in a.columns if c in ("file_no", "number")]
     x, y = a.select(*names, F.col("digest").alias("digest_a")), b.select(*names, F.col("digest").alias("digest_b"))
     return x.join(y, names, "full_outer").filter(~F.col("digest_a").eqNullSafe(F.col("digest_b")))
 
 
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(file_no, number, digest_a, digest_b) of the records in which two replicas' leaves differ, found from the roots down."""
+    """(file_no, number, digest_a, digest_b) of the leaves in which two replicas differ, found from the roots down."""
     (ra, fa), (rb, fb) = _extent(a), _extent(b)
     tree_a, tree_b = (merkle_levels(x, max(ra, rb), max(fa, fb)) for x in (a, b))
     bad = None
@@ -212,7 +286,8 @@ def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folders = [scratch.new_path(spark, "replica") for _ in range(2)]
-    files, _ = scratch.cut(write_replicas(pages, list(zip(folders, (0, DAMAGED_OF), strict=True))), "replica-files")
-    leaves = [scratch.cut(read_leaves(files.filter(F.col("replica") == i), folder), "leaves")[0] for i, folder in enumerate(folders)]
+    scratch.cut(write_replicas(pages, list(zip(folders, (0, DAMAGED_OF), strict=True))), "replica-files")
+    files = replica_files(spark, folders)
+    leaves = [scratch.cut(read_leaves(files, folder), "leaves")[0] for folder in folders]
     bad = audit(*leaves).select(F.col("file_no").cast("int").alias("file_no"), "number", F.lit(True).alias("found"))
     return leaves[0].join(bad, ["file_no", "number"], "left").select("page_id", "file_no", "number", "offset", "length", "digest", F.coalesce("found", F.lit(False)).alias("damaged"))
