@@ -138,7 +138,8 @@ def correlation_pairs(df: DataFrame, names: list[str], least: float = 0.0) -> Da
     sums = x.mapInArrow(_products(len(names), [float(m) for m in mean]), PRODUCTS).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n = F.col("n")
     vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
-    r = F.when((vx > 0) & (vy > 0), F.abs((n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx) / F.sqrt(vy)))
+    noise = F.array(*[F.lit((abs(float(m)) * 1e-12) ** 2) for m in mean])  # a constant column's rounding is no variance
+    r = F.when((vx > n * n * noise[F.col("i")]) & (vy > n * n * noise[F.col("j")]), F.abs((n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx) / F.sqrt(vy)))
     name = lambda c: F.array(*[F.lit(x) for x in names])[F.col(c)]
     return sums.select(name("i").alias("a"), name("j").alias("b"), F.least(r, F.lit(1.0)).alias("r")).filter(F.col("r") > least)
 

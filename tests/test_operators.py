@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import scalar as S
-from sparkquarry.operators import audit, columns, forest, metrics, quantize, search, setops, splits, threshold, trees
+from sparkquarry.operators import audit, columns, engine, forest, metrics, quantize, ranks, search, setops, splits, threshold, trees
 
 
 def scores(spark, rows):
@@ -121,11 +121,19 @@ def test_split_hygiene(spark):
     assert down.count() == 5 and down.filter("f <> 0").select("f").distinct().count() == 3
 
 
-def test_manifest_gates(tmp_path):
-    p = str(tmp_path / "m.json")
-    audit.write_manifest(audit.manifest({"rows": 1, "sealed_pass": False}, 1, {}), p)
-    with pytest.raises(ValueError, match="sealed"):
-        audit.require_manifest(p)
+def test_manifest_gates(spark, tmp_path):
+    p = f"file://{tmp_path}/m"
+    good = {"rows": 5, "sealed_pass": True, "largest_cosine": 0.9}
+    for state, gate in (({"rows": 1, "sealed_pass": False}, "sealed"), ({**good, "rows": 0}, "least_rows"), ({**good, "largest_cosine": 0.99}, "projected")):
+        audit.write_manifest(spark, audit.manifest(state, 1, {}, 0.95), p)
+        with pytest.raises(ValueError, match=gate):
+            audit.require_manifest(spark, p)
+    m = audit.manifest(good, 1, {}, 0.95)
+    audit.write_manifest(spark, m, p)
+    assert audit.require_manifest(spark, p)["run_id"] == m["run_id"]
+    audit.write_manifest(spark, {**m, "state": {**good, "rows": 9}}, p)
+    with pytest.raises(ValueError, match="run id"):
+        audit.require_manifest(spark, p)
 
 
 def test_kfold_and_strata(spark):
@@ -147,9 +155,10 @@ def test_quantizer(spark, tmp_path):
     assert out[["full", "few", "real", "same"]].to_numpy().min() >= 0 and out[["full", "few", "real", "same"]].to_numpy().max() <= 3
     order = np.argsort(src.real.to_numpy())
     assert (np.diff(out.real.to_numpy()[order]) >= 0).all()
-    p = str(tmp_path / "q.json")
-    q.save(p)
-    assert quantize.Quantizer.load(p) == q
+    p = f"file://{tmp_path}/q"
+    q.save(spark, p)
+    q.save(spark, p)
+    assert quantize.Quantizer.load(spark, p) == q
     far = spark.createDataFrame([(0.0, 5.2, 99.0, 5.0)], "full double, few double, real double, same double")
     assert quantize.drift_signals(far, q).first().drift.feature == "few"
     assert quantize.quantized(far, q, "drift").first()["few"] == 3  # unknown category: top bin
@@ -233,3 +242,140 @@ def test_bit_packing_round_trip(rows):
     broken[33] ^= 1
     with pytest.raises(ValueError):
         packed.decode(bytes(broken), 3)
+
+
+def test_ordered_sums_match_plain_ones(spark):
+    """Outliers, ties, nulls and one hot group; ranges are cut where the rows are."""
+    rng = np.random.default_rng(7)
+    rows = [(i, None if i % 50 == 0 else float(rng.normal()) if i % 3 else 1e300, "hot" if i % 5 else None, int(rng.integers(0, 9))) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, key double, g string, v long").repartition(5)
+    got = {r.id: r for r in ranks.running_sums(df, "id", ["v"], by=["g"]).collect()}
+    for g in ("hot", None):
+        total = 0
+        mine = [r for r in rows if r[2] == g]
+        for i, _, _, v in mine:
+            assert (got[i].v_before, got[i].v_total) == (total, sum(r[3] for r in mine))
+            total += v
+    n = {r.id: r.row_no for r in ranks.numbered(df, "key", tie="id").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert [n[r[0]] for r in order] == list(range(900))
+    down = {r.id: r.v_before for r in ranks.running_sums(df.filter("key is not null"), "key", ["v"], descending=True, tie="id").collect()}
+    total = 0
+    for r in sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1], r[0])):
+        assert down[r[0]] == total
+        total += r[3]
+    assert ranks.numbered(df.limit(0), "id").count() == 0
+
+
+def test_quantiles_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    data = {"same": [4.0] * 70, "one": [2.5], "wide": [*rng.normal(size=400).tolist(), 1e18, -1e18], "few": rng.integers(0, 3, 300).astype(float).tolist()}
+    df = spark.createDataFrame([(f, v) for f, vs in data.items() for v in [*vs, None]], "feature string, value double").repartition(4)
+    q = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = {r.feature: list(r.q) for r in ranks.quantiles(df, "feature", "value", q).collect()}
+    assert set(got) == set(data)
+    for f, vs in data.items():
+        assert got[f] == pytest.approx(np.quantile(vs, q).tolist(), rel=1e-9)
+
+
+def test_neighbours_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(splits, "QUERY_BLOCK", 30)
+    monkeypatch.setattr(splits, "REF_BLOCK", 40)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(120, 6))
+    v[60:] = v[:60] * 2  # equal cosines
+    v[7] = 0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(500, None)], "id long, v array<double>")
+    u = v / np.where((n := np.linalg.norm(v, axis=1)) == 0, 1, n)[:, None]
+    sim = np.round(u @ u.T, 9)
+    got = {}
+    for r in splits.nearest_cosine(df, df, "id", "v", 3).collect():
+        got.setdefault(r.id, {})[r.place] = (r.neighbour, r.cosine)
+    for i in range(120):
+        want = sorted((j for j in range(120) if j != i), key=lambda j: (-sim[i, j], j))[:3]
+        assert [got[i][p][0] for p in (1, 2, 3)] == want
+    assert splits.nearest_cosine(df, df.limit(0), "id", "v").count() == 0 and len(got) == 120
+
+
+def test_correlations_with_gaps(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 4)) * [1, 1e6, 1, 1] + [0, 1e9, 5, 5]
+    x[:, 2] = x[:, 0] * 2 + rng.normal(size=200)
+    x[:, 3] = 7
+    rows = [[None if rng.random() < 0.1 else float(c) for c in r] for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    got = {(r.a, r.b): r.r for r in columns.correlation_pairs(df, list("abcd")).collect()}
+    y = np.array([[np.nan if c is None else c for c in r] for r in rows])
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        ok = ~np.isnan(y[:, i]) & ~np.isnan(y[:, j])
+        assert got["abcd"[i], "abcd"[j]] == pytest.approx(abs(np.corrcoef(y[ok, i], y[ok, j])[0, 1]), rel=1e-6)
+    assert not any("d" in k for k in got)
+
+
+def test_byte_entropy_counts_bytes(spark):
+    rows = [(1, "é" * 4), (2, "aab"), (3, ""), (4, None), (5, "".join(map(chr, range(128))))]
+    got = {r.id: r.entropy for r in columns.byte_entropy(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()}
+    assert got == pytest.approx({1: 1.0, 2: 0.9182958, 3: 0.0, 4: 0.0, 5: 7.0})
+
+
+def test_settings_follow_the_counts():
+    for counts, metric, scoring in (({0: 1000, 1: 1000}, "precision", "validation"), ({0: 900, 1: 100}, "f1_score", "validation"), ({0: 990, 1: 10}, "recall", "validation"), ({0: 300}, "accuracy", "oob"), ({i: 100 for i in range(3)}, "precision", "kfold")):
+        c = trees.auto_config(counts, 20)
+        assert (c["metric"], c["scoring"]) == (metric, scoring) and c["train"] + c["test"] + c["valid"] == pytest.approx(1)
+        assert (c["valid"] > 0) == (scoring == "validation")
+    assert trees.auto_config({0: 1000, 1: 1000}, 20)["train"] == pytest.approx(0.8) and trees.auto_config({0: 1000, 1: 151}, 20)["train"] == pytest.approx(0.7)
+    r = trees.search_ranges({0: 16000, 1: 16000}, 40)
+    assert r["min_split"] == (2, 5) and r["max_depth"] == (15, 21) and 1 <= r["min_leaf"][0] <= r["min_leaf"][1] <= 4
+    small = trees.impurity_threshold({0: 500, 1: 500}, 2), trees.impurity_threshold({0: 500_000, 1: 500_000}, 2), trees.impurity_threshold({0: 990, 1: 10}, 2)
+    assert small[1] < small[0] and small[2] < small[0] and trees.impurity_threshold({}, 2, "entropy") >= 0.002
+
+
+def test_equal_samples_are_drawn_anew(spark):
+    df = spark.createDataFrame([(i, i % 2, i % 2) for i in range(3)], "id long, x int, y int")
+    cfg = trees.RandomForestConfig(trees=30, bootstrap=False, sample_ratio=0.5)
+    model = trees.fit_random_forest(df, "id", ["x"], "y", cfg)
+    assert model.again and all(1 <= n <= 8 for n in model.again.values())
+
+
+def test_scores_of_a_forest(spark):
+    df = spark.createDataFrame([(i, i % 8, (i * 7) % 5, int(i % 8 > 3)) for i in range(400)], "id long, a int, b int, y int")
+    cfg = trees.RandomForestConfig(trees=5, max_depth=4)
+    model = trees.fit_random_forest(df, "id", ["a", "b"], "y", cfg)
+    assert trees.validation_score(df, model, "id", "y") > 0.95 and trees.oob_score(df, model, "id", "y") > 0.9
+    assert trees.kfold_score(df, "id", ["a", "b"], "y", cfg, 3, "f1_score") > 0.9
+    with pytest.raises(ValueError):
+        trees.kfold_score(df, "id", ["a", "b"], "y", cfg, 11)
+    with pytest.raises(ValueError):
+        trees.kfold_score(df.limit(7), "id", ["a", "b"], "y", cfg, 2)
+    one = trees.fit_single_tree(df, ["a", "b"], "y", trees.RandomForestConfig(max_depth=4))
+    assert trees.validation_score(df, one, "id", "y") == 1.0 and len(one.nodes) == 3
+
+
+def test_leaves_in_fixed_point():
+    model = trees.Booster(["x"], [0, 1], 0.3, [[{0: ("cut", 0, 3), 1: ("leaf", 1.7), 2: ("leaf", -2.4)}, {0: ("leaf", 0.01)}]])
+    bits = trees.leaf_scale_bits(model, 8)
+    assert bits == 5 and trees.fixed_leaf(2.4, 5, 8) == 77 and trees.fixed_leaf(99, 5, 8) == 127 and trees.fixed_leaf(-99, 5, 8) == -128
+    out = trees.with_fixed_leaves(model, 8).trees[0][0]
+    assert out[0] == ("cut", 0, 3) and abs(out[1][1] - 1.7) <= 2**-6 and abs(out[2][1] + 2.4) <= 2**-6
+
+
+def test_engine_answers_with_a_status(spark, tmp_path):
+    from sparkquarry.plans.catalog_more import _fixed_forest
+
+    e = engine.Engine(_fixed_forest())
+    e.save(spark, f"file://{tmp_path}/e")
+    e = engine.Engine.load(spark, f"file://{tmp_path}/e")
+    assert e.metadata()["trees"] == 2 and e.metadata()["threshold"] == -0.5
+    rows = spark.createDataFrame([(1, 10.0, 50.0), (2, None, 1.0), (3, float("nan"), 1.0)], "id long, a double, b double")
+    got = {r.id: (r.status, r.score is None) for r in e.infer_quantized(rows, "id").collect()}
+    assert got == {1: ("ok", False), 2: ("missing value", True), 3: ("missing value", True)}
+    assert e.infer_quantized(rows.limit(0), "id").count() == 0
+    nodes = spark.read.parquet(f"file://{tmp_path}/e/forest").withColumn("threshold", F.col("threshold") + 1)
+    nodes.write.parquet(f"file://{tmp_path}/changed")
+    with pytest.raises(ValueError, match="damaged"):
+        forest.Forest.load(spark, f"file://{tmp_path}/changed")
+
+
+def test_draws_are_even(spark):
+    x = spark.range(6000).select(S.bounded_draw(3, 6, "id").alias("d")).groupBy("d").count().collect()
+    assert sorted(r.d for r in x) == list(range(6)) and all(850 < r["count"] < 1150 for r in x)

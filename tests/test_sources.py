@@ -53,8 +53,17 @@ def test_packed_source(spark, tmp_path):
     (tmp_path / "d.bin").write_bytes(packed.encode(np.array([1, 0]), x, 4, checked=True))
     rows = packed.read_packed(spark, f"file://{tmp_path}/d.bin", 4).orderBy("row_no").collect()
     assert [list(r.features) for r in rows] == x.tolist() and [r.label for r in rows] == [1, 0]
-    got = packed.rows_by_number(packed.read_packed(spark, f"file://{tmp_path}/d.bin", 4), spark.createDataFrame([(1,)], "row_no long"))
-    assert got.count() == 1
+    got = packed.read_rows(spark.createDataFrame([(f"file://{tmp_path}/d.bin", n) for n in (1, 1, 7, -1)], "path string, row_no long"), 4).collect()
+    assert [(r.row_no, r.label, list(r.features)) for r in got] == [(1, 0, [3, 0, 9])]
+    (tmp_path / "bad.bin").write_bytes(packed.encode(np.array([1, 0]), x, 4, checked=True)[:-1] + b"?")
+    copied = {r.path.rsplit("/", 1)[1]: (r.rows, r.error) for r in packed.copy_valid(spark, f"file://{tmp_path}", f"file://{tmp_path}/copy", 4).collect()}
+    assert copied["d.bin"] == (2, None) and "checksum" in copied["bad.bin"][1] and not (tmp_path / "copy" / "bad.bin").exists()
+    odd = spark.createDataFrame([(1, 3, 4), (0, 16, 1), (2, None, 1), (None, 1, 1), (3, -1, 0), (7, 15, 15)], "y int, a int, b int").coalesce(1)
+    for checked in (True, False):
+        folder = f"file://{tmp_path}/made{checked}"
+        r = packed.write_packed(odd, "y", ["a", "b"], 4, folder, checked).collect()
+        assert [(x.rows, x.dropped) for x in r] == [(2, 4)]
+        assert [(x.label, list(x.features)) for x in packed.read_packed(spark, folder, 4).orderBy("row_no").collect()] == [(1, [3, 4]), (7, [15, 15])]
     f = spark.createDataFrame([([1, 15, 7],)], "f array<int>").select(packed.packed_bits(F.col("f"), 3, 4).alias("b")).first().b
     assert bytes(f) == packed.pack_matrix(x[:1], 4).tobytes()
     assert packed.decode_log(packed.encode_log([(1, 2), (3, 4)])) == [(1, 2), (3, 4)]
@@ -75,7 +84,7 @@ def test_feedback_stream(spark, tmp_path):
         got = sorted((r.seq, r.predicted, r.actual, r.status) for r in spark.table("pairs").collect())
     finally:
         q.stop()
-    assert got == [(1, "p0", None, "overflow"), (2, "p1", "l0", "labelled"), (3, "p2", None, "skipped"), (4, "p3", "l1", "labelled")]
+    assert got == [(n + 1, f"p{n}", None, "overflow") for n in range(4)]
     q = feedback.write_feedback(feedback.feedback_stream(stream), f"file://{out}", f"file://{tmp_path}/cp2").start()
     try:
         q.processAllAvailable()
@@ -84,6 +93,44 @@ def test_feedback_stream(spark, tmp_path):
     assert spark.read.parquet(f"file://{out}").count() == 2
 
 
+def test_queue_skips_and_flushes():
+    q = feedback.Queue(3, 5000)
+    out = [x for i in range(3) for x in q.prediction(f"p{i}")]
+    out += q.label("l0", 10) + q.label("l1", 5010) + q.label("l2", 5020)
+    assert out == [(1, "p0", "l0", "labelled"), (2, "p1", None, "skipped"), (3, "p2", "l1", "labelled")] and not q.pending
+    assert [s for *_, s in (x for i in range(4) for x in q.prediction(i))] == ["overflow"] * 4
+
+
+def test_batch_and_stream_give_the_same_pairs(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    events = [(str(rng.integers(0, 4)), "prediction" if rng.random() < 0.6 else "label", f"v{i}", i) for i in range(400)]
+    want = {}
+    for k in "0123":
+        q = feedback.Queue(5)
+        gone = [x for key, kind, v, _ in events if key == k for x in (q.prediction(v) if kind == "prediction" else q.label(v))]
+        want |= {v: label for _, v, label, _ in gone} | {v: None for _, v in q.pending}
+    df = spark.createDataFrame(events, "key string, kind string, value string, at long")
+    p = df.filter("kind = 'prediction'").select("key", "at", "value")
+    got = feedback.matched_in_order(p.select("key", "at"), df.filter("kind = 'label'").select("key", "at", F.col("value").alias("actual")), "key", "at", 5).join(p, ["key", "at"])
+    assert {r.value: r.actual for r in got.collect()} == want
+    schema = "key string, kind string, value string, at_ms long"
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    q = feedback.feedback_stream(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"), 5).writeStream.outputMode("append").format("memory").queryName("same").option("checkpointLocation", f"file://{tmp_path}/cp").start()
+    try:
+        q.processAllAvailable()
+        streamed = {r.predicted: r.actual for r in spark.table("same").collect()}
+    finally:
+        q.stop()
+    assert streamed == {v: label for v, label in want.items() if v in streamed} and {v for v, label in want.items() if label} <= set(streamed)
+
+
+def test_csv_rows_equal_to_the_header_stay(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\nx,y\n3,4,5\n6\n\n 7 ,oops\n")
+    (tmp_path / "b.csv").write_text("x,y\n8,9\n")
+    rows = sorted(tuple(r) for r in files.fit_csv(spark, f"file://{tmp_path}", names=["x", "y"]).collect())
+    assert rows == [(0.0, 0.0), (1.0, 2.0), (7.0, 0.0), (8.0, 9.0)]
+
+
 def test_log_tools(spark):
     log = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "seq long, predicted int, actual int")
     assert feedback.trimmed_log(log, "seq", 20).count() == 10
