@@ -141,7 +141,7 @@ def correlation_pairs(df: DataFrame, names: list[str], least: float = 0.0) -> Da
     noise = F.array(*[F.lit((abs(float(m)) * 1e-12) ** 2) for m in mean])  # a constant column's rounding is no variance
     r = F.when((vx > n * n * noise[F.col("i")]) & (vy > n * n * noise[F.col("j")]), F.abs((n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx) / F.sqrt(vy)))
     name = lambda c: F.array(*[F.lit(x) for x in names])[F.col(c)]
-    return sums.select(name("i").alias("a"), name("j").alias("b"), F.least(r, F.lit(1.0)).alias("r")).filter(F.col("r") > least)
+    return sums.select(name("i").alias("a"), name("j").alias("b"), F.when(r > 1, 1.0).otherwise(r).alias("r")).filter(F.col("r") > least)
 
 
 def prune_correlated(pairs: list[tuple[str, str, float]], variance: dict[str, float]) -> list[str]:
