@@ -29,13 +29,17 @@ one shingle, one without words is the empty set, which is linked with nothing).
 With 32 bands of 4 rows a pair at the threshold of 0.8 shares no key with a
 probability of 5e-8, and 13 keys on average; under each they are compared.
 The sets of candidates are built from a second reading of the documents, of
-which a bitmap of fixed size (``FILTER_BITS``) lets only candidates and a few
-others through, so that texts are not shuffled.
+which a bitmap (see ``idfilter``) lets only candidates and a few others through,
+so that texts are not shuffled.
 
 Edge cases: null text and text without words have the empty set (n_shingles 0,
-own component, kept). Rows that repeat a doc_id are one document (the row with
-the largest set counts). A null doc_id is no document and gives no row; the
-pipeline stage keeps such rows. An empty table gives an empty result.
+own component, kept). Rows that repeat a doc_id are one document: the row with the
+largest set, of equally large ones that with the greatest two sums over its
+members (``fingerprints``). The same row's set is compared and, in the pipeline,
+the same row stays. A null doc_id is no document and gives no row; the pipeline
+stage keeps such rows. Very long texts are read wholly. Other columns than doc_id
+and text are not read and pass the pipeline stage. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -49,10 +53,10 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import connected_components
-from .idfilter import has_bit, id_bits
+from .idfilter import by_bit, id_bits, rows_by_bit, with_id_hash
 from .textkernel import U64, long_lists, mix, shingles, signed, slices, span_hash, text_buffer, word_bounds
 
-BANDS, ROWS, SKETCH_BITS, FILTER_BITS, ROUNDS = 32, 4, 1024, 22, 3
+BANDS, ROWS, SKETCH_BITS, ROUNDS = 32, 4, 1024, 3
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, odd array<long>"
 #: Members of a ball in a block.
 BLOCK = 512
@@ -99,6 +103,21 @@ def estimated_similarity(flips: float, samples: int, bits: int) -> float:
     return 1 + bits / (4 * samples) * float(np.log1p(-min(2 * flips / bits, 1 - 1e-9)))
 
 
+def _shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, first = word_bounds(buf, offs)
+    return _distinct(*shingles(span_hash(buf, starts, ends, lower=True), first, k, short=True))
+
+
+def fingerprints(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums over the members of each set; 0 for the empty set."""
+    some = np.flatnonzero(np.diff(begin))
+    out = np.zeros((2, len(begin) - 1), U64)
+    if len(some):
+        out[0, some] = np.add.reduceat(mix(h), begin[some])
+        out[1, some] = np.bitwise_xor.reduceat(mix(h ^ U64(0x1234567)), begin[some])
+    return out
+
+
 def _sketches(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,20 +125,16 @@ def _sketches(k: int, bands: int, rows: int):
             buf, offs = text_buffer(batch.column(1))
             for i, j in slices(offs):
                 b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                starts, ends, first = word_bounds(b, o)
-                h, begin = shingles(span_hash(b, starts, ends, lower=True), first, k, short=True)
-                h, begin = _distinct(h, begin)
+                h, begin = _shingle_sets(b, o, k)
                 size = np.diff(begin)
                 some = np.flatnonzero(size)
-                sums = np.zeros((2, len(size)), U64)
+                sums = fingerprints(h, begin)
                 keys = np.zeros((len(some), bands), U64)
                 odd = np.zeros((len(size), SKETCH_BITS // 64), U64)
                 if len(some):
                     at = np.append(begin[some], begin[-1])
                     samples = sketch_samples(h, at, bands * rows)
                     odd[some] = odd_sketch(samples)
-                    sums[0, some] = np.add.reduceat(mix(h), at[:-1])
-                    sums[1, some] = np.bitwise_xor.reduceat(mix(h ^ U64(0x1234567)), at[:-1])
                     for x in range(bands):
                         key = np.full(len(some), x + 1, U64)
                         for y in range(rows):
@@ -134,18 +149,35 @@ def _sketches(k: int, bands: int, rows: int):
     return run
 
 
-def _sets(k: int, wanted: np.ndarray):
-    """Sorted shingle sets of the documents whose hash has its bit set in ``wanted``."""
+FULL = "doc_id long, n_shingles long, set_a long, set_b long, members array<long>"
+
+
+def _sets(k: int, held):
+    """Sorted shingle sets and what tells them apart, of the rows that the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(has_bit(batch.column(2).to_numpy(), wanted)))
+            batch = by_bit(batch, held.value, wanted=True)
             buf, offs = text_buffer(batch.column(1))
             for i, j in slices(offs):
-                b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                starts, ends, first = word_bounds(b, o)
-                h, begin = _distinct(*shingles(span_hash(b, starts, ends, lower=True), first, k, short=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), long_lists(signed(h).view(np.int64), begin)], names=["doc_id", "members"])
+                h, begin = _shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
+                sums = fingerprints(h, begin)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(begin)), pa.array(signed(sums[0])), pa.array(signed(sums[1])), long_lists(signed(h), begin)], names=[x.split()[0] for x in FULL.split(", ")])
+
+    return run
+
+
+def _with_fingerprints(k: int):
+    """All columns and, behind them, the size and the sums of the text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = text_buffer(batch.column(batch.schema.get_field_index("text")))
+            for i, j in slices(offs):
+                h, begin = _shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
+                sums = fingerprints(h, begin)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(begin)), pa.array(signed(sums[0])), pa.array(signed(sums[1]))], names=[*part.schema.names, "_set_n", "_set_a", "_set_b"])
 
     return run
 
@@ -240,7 +272,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     filled = F.col("n_shingles") > 0
     classes, _ = scratch.cut(sets.filter(filled).groupBy(*one).agg(F.min("doc_id").alias("rep")), "classes")
     reps = sketches.join(classes.select(F.col("rep").alias("doc_id"), *one), ["doc_id", *one], "left_semi").dropDuplicates(["doc_id"])
-    reps, _ = scratch.cut(reps.select("doc_id", "n_shingles", "keys", "odd"), "reps")
+    reps, _ = scratch.cut(reps.select("doc_id", *one, "keys", "odd"), "reps")
     limit = most_flips(percent / 100, bands * rows, SKETCH_BITS)
     light = reps.select("doc_id", "n_shingles", "odd")
     rounds, left = _balls(reps.select("doc_id", F.explode("keys").alias("key")), light, limit, percent)
@@ -248,9 +280,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     for more in rounds[1:]:
         balls = balls.union(more)
     balls, _ = scratch.cut(balls.distinct(), "balls")
-    wanted = balls.select(F.explode(F.array("a", "b")).alias("doc_id")).union(left.select("doc_id")).distinct()
-    full = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(_sets(k, id_bits(wanted, FILTER_BITS)), "doc_id long, members array<long>")
-    full = full.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("members", F.struct(F.size("members"), F.col("members"))).alias("members"))
+    wanted, _ = scratch.cut(balls.select(F.explode(F.array("a", "b")).alias("doc_id")).union(left.select("doc_id")).distinct(), "wanted")
+    held = docs.sparkSession.sparkContext.broadcast(id_bits(wanted))
+    full = with_id_hash(docs).mapInArrow(_sets(k, held), FULL)
+    # of rows that repeat a doc_id the set that was sketched
+    full = full.join(reps.join(wanted, "doc_id", "left_semi").select("doc_id", *one), ["doc_id", *one], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "members")
     full, _ = scratch.cut(full, "sets")
     # each member with its leader
     both = balls.join(full.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
@@ -284,6 +318,16 @@ def op2_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group stays (five-word shingles, 80 percent); rows without a doc_id stay."""
-    kept = near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").union(docs.filter("doc_id is null"))
+    """Pipeline stage: one document of each near-duplicate group stays (five-word shingles, 80 percent), one row each; rows without a doc_id stay.
+
+    Only rows whose id goes or is repeated are shuffled, with the others that the bitmap lets through.
+    """
+    judged, _ = scratch.cut(near_duplicates(docs, k=5, percent=80).select("doc_id", "kept"), "judged-ids")
+    several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    open_, _ = scratch.cut(judged.filter("not kept").select("doc_id").union(several).distinct(), "open-ids")
+    held = spark.sparkContext.broadcast(id_bits(open_))
+    rest = rows_by_bit(docs, held, wanted=True).join(judged.filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    found = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    marked = rest.mapInArrow(_with_fingerprints(5), f"{found}, _set_n long, _set_a long, _set_b long")
+    best = marked.groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), F.struct("_set_n", "_set_a", "_set_b", "text")).alias("_row"))
+    return rows_by_bit(docs, held, wanted=False).union(best.select("_row.*"))
