@@ -6,13 +6,13 @@ windows of ``least`` words. Of all suffixes only those are kept that begin at a
 hash. Documents that share a window share the gram and its place in the window.
 
 1. Grams at kept places are counted; only those that two documents hold go on.
-   A bitmap of fixed size (``FILTER_BITS``) carries them to the second reading.
-   Grams are half as long as a passage, so few go on that are part of none.
+   A bitmap sized by their number (see ``idfilter``) carries them to the second
+   reading. Grams are half as long as a passage, so few go on that are part of none.
 2. A kept suffix goes on with the hashes of all windows that have it as their
    minimiser, which lie side by side. Suffixes meet by gram, and every window of
    each is looked up among those of the same gram: each split of ``least`` words
    to the left and right of the gram is compared, whatever lies next to it in any
-   order.
+   order. Windows of one gram are told apart by ``WINDOW_BYTES`` bytes of hash.
 3. The windows of a gram that more than ``HOT`` suffixes have (a line that a third
    of the documents hold) meet by their own hash instead, so no task gets them
    all: the windows that two documents hold are found with a first count on the
@@ -23,7 +23,8 @@ hash. Documents that share a window share the gram and its place in the window.
 Edge cases: texts that are null or have under ``least`` words have no window
 and no passage. Rows with a null doc_id are left out. Rows that repeat a doc_id
 are one document: what only they share is not a repeat across documents. An
-empty table gives an empty result. Repeats within one document don't count.
+empty table gives an empty result. Repeats within one document don't count. Very
+long texts are read wholly; other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scratch
+from .idfilter import has_bit, hash_bits
 from .textkernel import U64, mix, shingles, signed, slices, span_hash, text_buffer, word_bounds
 
-LEAST, SEED, FILTER_BITS = 50, 25, 24
+LEAST, SEED, WINDOW_BYTES = 50, 25, 6
 #: Suffixes with one gram that are compared in one task at most.
 HOT = 20_000
 SUFFIX = "key long, doc_id long, pos int, windows binary"
@@ -104,9 +107,7 @@ def _suffixes(least: int, wanted: np.ndarray, hot: np.ndarray, alone: bool):
             buf, offs = text_buffer(batch.column(1))
             for i, j in slices(offs):
                 grams, at, cut, doc, pos, key = _kept(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], least)
-                place = key >> U64(64 - FILTER_BITS)
-                hit = (wanted[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
-                hit &= np.isin(key, hot) == alone
+                hit = has_bit(key, wanted) & (np.isin(key, hot) == alone)
                 if not hit.any():
                     continue
                 row, window = _flat(cut[:-1][hit], cut[1:][hit])
@@ -118,8 +119,9 @@ def _suffixes(least: int, wanted: np.ndarray, hot: np.ndarray, alone: bool):
                 if alone:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(h)), ids.take(pa.array(doc[row])), pa.array((pos[row] + window - first[row]).astype(np.int32))], names=["key", "doc_id", "pos"])
                     continue
-                ends = np.searchsorted(row, np.arange(len(doc) + 1)).astype(np.int32) * np.int32(8)
-                windows = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(h.tobytes())])
+                ends = np.searchsorted(row, np.arange(len(doc) + 1)).astype(np.int32) * np.int32(WINDOW_BYTES)
+                short = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :WINDOW_BYTES])
+                windows = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(short.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key)), ids.take(pa.array(doc)), pa.array(pos.astype(np.int32)), windows], names=["key", "doc_id", "pos", "windows"])
 
     return run
@@ -129,8 +131,9 @@ def _marks(table: pa.Table, least: int) -> pa.RecordBatch:
     """The words of the windows that another document has with the same gram."""
     key, doc, pos = (table.column(c).to_numpy() for c in ("key", "doc_id", "pos"))
     windows = table.column("windows").to_pylist()
-    h = np.frombuffer(b"".join(windows), U64)
-    end = np.cumsum(np.array([len(w) for w in windows], np.int64) // 8)
+    short = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW_BYTES)
+    h = np.pad(short, ((0, 0), (0, 8 - WINDOW_BYTES))).view(U64).ravel()
+    end = np.cumsum(np.array([len(w) for w in windows], np.int64) // WINDOW_BYTES)
     begin = np.append(0, end[:-1])
     row, number = _flat(np.zeros(len(end), np.int64), end - begin)
     h = mix(key.view(U64)[row] * U64(0x9E3779B97F4A7C15) + h)
@@ -175,13 +178,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> Da
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     keys = docs.mapInArrow(_grams(least), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    place = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-    keys = keys.select(place.alias("p"), F.when(F.col("n") > hot, F.col("key")).alias("hot"))
-    words = keys.select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("m"), "hot").groupBy("w").agg(F.bit_or("m").alias("m"), F.collect_list("hot").alias("hot")).toPandas()  # a bitmap of FILTER_BITS bits, and a gram of each HOT suffixes at most
-    wanted = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    wanted[words.w.to_numpy().astype(np.int64)] = words.m.to_numpy()
-    common = np.array(sorted(k for some in words.hot for k in some), np.int64)
-    held = spark.sparkContext.broadcast((wanted.view(U64), common.view(U64)))
+    keys, _ = scratch.cut(keys.select("key", "n"), "grams")
+    common = np.sort(keys.filter(F.col("n") > hot).select("key").toArrow().column("key").to_numpy())  # a gram of each HOT suffixes at most
+    held = spark.sparkContext.broadcast((hash_bits(keys.select(F.col("key").alias("h"))), common.view(U64)))
 
     def kept(alone: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
