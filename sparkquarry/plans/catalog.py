@@ -597,17 +597,17 @@ def class_histogram(spark, d):
 
 @query("gini_split", f"with {CELLS} select feature, bin::bigint as bin, round(1 - pow(t0 / n::double, 2) - pow(t1 / n::double, 2) - nl / n::double * (1 - pow(l0 / nl::double, 2) - pow(l1 / nl::double, 2)) - nr / n::double * (1 - pow(r0 / nr::double, 2) - pow(r1 / nr::double, 2)), 9) as gain from z")
 def gini_split(spark, d):
-    return trees.split_gains(_binned(spark, d), ["b1", "b2"], "y", [0, 1], "gini").withColumn("gain", F.round("gain", 9))
+    return trees.split_gains(_binned(spark, d), ["b1", "b2"], "y", [0, 1], "gini").drop("n").withColumn("gain", F.round("gain", 9))
 
 
 @query("entropy_split", f"with {CELLS}, e as (select feature, bin, n, nl, nr, -(t0 / n::double) * log2(t0 / n::double) - (t1 / n::double) * log2(t1 / n::double) as e, case when l0 = 0 or l1 = 0 then 0 else -(l0 / nl::double) * log2(l0 / nl::double) - (l1 / nl::double) * log2(l1 / nl::double) end as el, case when r0 = 0 or r1 = 0 then 0 else -(r0 / nr::double) * log2(r0 / nr::double) - (r1 / nr::double) * log2(r1 / nr::double) end as er from z) select feature, bin::bigint as bin, round(e - nl / n::double * el - nr / n::double * er, 9) as gain from e")
 def entropy_split(spark, d):
-    return trees.split_gains(_binned(spark, d), ["b1", "b2"], "y", [0, 1], "entropy").withColumn("gain", F.round("gain", 9))
+    return trees.split_gains(_binned(spark, d), ["b1", "b2"], "y", [0, 1], "entropy").drop("n").withColumn("gain", F.round("gain", 9))
 
 
 @query("best_split", f"with {CELLS} select feature, bin::bigint as bin, round(1 - pow(t0 / n::double, 2) - pow(t1 / n::double, 2) - nl / n::double * (1 - pow(l0 / nl::double, 2) - pow(l1 / nl::double, 2)) - nr / n::double * (1 - pow(r0 / nr::double, 2) - pow(r1 / nr::double, 2)), 9) as gain from z order by gain desc, feature, bin limit 1")
 def best_split(spark, d):
-    return trees.best_split(trees.split_gains(_binned(spark, d), ["b1", "b2"], "y", [0, 1]).withColumn("gain", F.round("gain", 9)))
+    return trees.best_split(trees.split_gains(_binned(spark, d), ["b1", "b2"], "y", [0, 1]).drop("n").withColumn("gain", F.round("gain", 9)))
 
 
 @query(
