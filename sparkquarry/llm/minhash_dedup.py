@@ -167,11 +167,12 @@ def _sets(k: int, held):
     return run
 
 
-def _with_fingerprints(k: int):
-    """All columns and, behind them, the size and the sums of the text's set."""
+def _with_fingerprints(k: int, held):
+    """All columns and, behind them, the size and the sums of the text's set, of the rows that the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = by_bit(batch, held.value, wanted=True)
             buf, offs = text_buffer(batch.column(batch.schema.get_field_index("text")))
             for i, j in slices(offs):
                 h, begin = _shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
@@ -326,8 +327,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     open_, _ = scratch.cut(judged.filter("not kept").select("doc_id").union(several).distinct(), "open-ids")
     held = spark.sparkContext.broadcast(id_bits(open_))
-    rest = rows_by_bit(docs, held, wanted=True).join(judged.filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     found = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = rest.mapInArrow(_with_fingerprints(5), f"{found}, _set_n long, _set_a long, _set_b long")
-    best = marked.groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), F.struct("_set_n", "_set_a", "_set_b", "text")).alias("_row"))
+    marked = with_id_hash(docs).mapInArrow(_with_fingerprints(5, held), f"{found}, _set_n long, _set_a long, _set_b long")  # one Python worker a task
+    best = marked.join(judged.filter("kept").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns), F.struct("_set_n", "_set_a", "_set_b", "text")).alias("_row"))
     return rows_by_bit(docs, held, wanted=False).union(best.select("_row.*"))
