@@ -14,13 +14,18 @@ text counts, whatever its length. Letters are lower-cased; all other characters
 are blanks, and runs of blanks are one.
 
 Training text: of each language at most ``FIT_DOCUMENTS`` documents (smallest hash
-of doc_id) with crc32(doc_id as text) mod 5 <> 0 and at most ``FIT_LETTERS``
-characters of them, an equal share of each document. Nothing else is sampled.
+of doc_id) with crc32(doc_id as text) mod 5 <> 0, chosen for all languages in one
+pass, and ``FIT_LETTERS`` characters in equal excerpts of them, each from a hashed
+place of its whole text. All languages together have at most ``FIT_TOTAL``
+characters, the bound of what is broadcast (512 bytes a character). Nothing else
+is sampled.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; so is
-every text if no language could be learned. Of languages with equal cost the
-first by name wins. A null doc_id is not held out and is never trained on; rows
-with repeated doc_ids are judged like others.
+every text if no language could be learned, as with an empty table. Of languages
+with equal cost the first by name wins. A null doc_id is not held out and is never
+trained on; rows with repeated doc_ids are judged like others, and the least of
+their excerpts is learned from. Very long texts are read wholly. Other columns than
+doc_id, text and (for learning) lang are not read. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -33,10 +38,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .textkernel import text_buffer
 
-WINDOW, FIT_DOCUMENTS, FIT_LETTERS, CLASSES = 512, 300, 40_000, 64
+WINDOW, FIT_DOCUMENTS, FIT_LETTERS, FIT_TOTAL, CLASSES = 512, 300, 40_000, 400_000, 64
 FOLDS, HELD_OUT = 5, 0
 BATCH_BYTES = 4 << 20
 _MARK = 1 << 30
@@ -169,26 +175,28 @@ class Parser:
         return [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, share, 0.0)
 
 
-def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS, letters: int = FIT_LETTERS) -> Parser:
-    """Automata of all languages that labelled rows outside the held-out fold have."""
+def excerpts(docs: DataFrame, documents: int, letters: int, total: int) -> DataFrame:
+    """(lang, doc_id, t): one excerpt of each document to learn from; all languages in one pass, at most ``documents`` rows a language."""
     rows = docs.filter("doc_id is not null and lang is not null and text is not null").filter(_fold() != HELD_OUT)
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())  # languages, not documents
-    chosen = None
-    for lang in langs:
-        one = rows.filter(F.col("lang") == lang).select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-        chosen = one if chosen is None else chosen.union(one)
-    if chosen is None:
-        return Parser((), np.zeros(_LIMIT, np.uint8), (), np.zeros(0))
-    share = max(letters // 20, 1)  # no more of one document than a twentieth
-    got = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.xxhash64("doc_id").alias("o"), "doc_id", F.substring("text", 1, share).alias("t")).toPandas()
-    got = got.sort_values(["lang", "o", "doc_id", "t"])
+    order = Window.partitionBy("lang").orderBy("o", "doc_id")  # each task hands on its first rows of a language only
+    chosen = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("o")).distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= documents)
+    each = Window.partitionBy("lang")
+    langs = F.greatest(F.size(F.collect_set("lang").over(Window.partitionBy())), F.lit(1))  # over the chosen rows, a few hundred a language
+    chosen = chosen.withColumn("n", F.count("*").over(each)).withColumn("size", F.ceil(F.least(F.lit(letters), F.floor(F.lit(total) / langs)) / F.col("n")).cast("int")).select("lang", "doc_id", "size")
+    found = rows.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"])  # documents rows a language
+    place = F.pmod(F.xxhash64("doc_id", "lang"), F.greatest(F.length("text") - F.col("size") + 1, F.lit(1))).cast("int") + 1
+    return found.select("lang", "doc_id", F.expr("text").substr(place, F.col("size")).alias("t")).groupBy("lang", "doc_id").agg(F.min("t").alias("t"))
+
+
+def fit(docs: DataFrame, documents: int = FIT_DOCUMENTS, letters: int = FIT_LETTERS, total: int = FIT_TOTAL) -> Parser:
+    """Automata of all languages that labelled rows outside the held-out fold have."""
+    got = excerpts(docs, documents, letters, total).toPandas().sort_values(["lang", "doc_id"])  # at most ``total`` characters
     texts = {lang: " ".join(g.t) for lang, g in got.groupby("lang")}
     classes = letter_classes(list(texts.values()))
     names, tables, bits = [], [], []
-    for lang in langs:
-        codes = code_points(texts.get(lang, ""), classes)
+    for lang in sorted(texts):
+        codes = code_points(texts[lang], classes)
         codes, _ = squeeze(codes, np.array([0, len(codes)]))
-        codes = codes[:letters]
         if not (codes > 0).any():
             continue
         names.append(lang)
