@@ -18,8 +18,10 @@ doc_id in the order of their texts), and so are the records in each. A file is
 written under another name and then renamed, with bytes that depend on its rows
 alone, so a task that is run again leaves the same file.
 
-Edge cases: a null text is an empty text; its record holds the end id alone. An
-empty table gives no file and an empty result.
+Edge cases: a null text is an empty text; its record holds the end id alone. Null
+doc_ids come first and keep that in the index; rows that repeat a doc_id are records
+of their own. Very long texts are one record each, encoded wholly. Other columns
+than doc_id and text are not read. An empty table gives no file and an empty result.
 """
 
 from __future__ import annotations

@@ -1,4 +1,8 @@
-"""Connected components of a link table by alternating large-star and small-star rounds."""
+"""Connected components of a link table by alternating large-star and small-star rounds.
+
+Edge cases: links that repeat, in either direction, count once; an empty table gives
+an empty result. Nodes are integers, never null, and no link joins a node to itself.
+"""
 
 from __future__ import annotations
 

@@ -21,8 +21,9 @@ side can't promise (the similarity of 30 shingles to 20,000 is 0.0015).
 Edge cases: a null or repeated doc_id: null is no document, rows that repeat an
 id are alternatives of which the best match counts. Rows that repeat an item_id
 are one item with the shingles of all its rows; a null item_id is no item. Texts
-that are null, empty or under k words have no shingle and match nothing. Empty
-tables give an empty result.
+that are null, empty or under k words have no shingle and match nothing. Very long
+texts are read wholly. Other columns than the id and text are not read and pass the
+pipeline stage. Empty tables give an empty result.
 """
 
 from __future__ import annotations

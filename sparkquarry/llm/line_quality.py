@@ -7,15 +7,18 @@ too many words in repeated three-word windows) reject before that.
 
 The field is trained here, on documents with a quality label, of which at most
 ``FIT_DOCUMENTS`` of each class are used (those with the smallest hash of their
-id) with at most ``FIT_LINES`` lines each: the only bounded sample; counts and
-decisions cover every line of every document. A line starts with its document's
+id), of longer ones ``FIT_LINES`` consecutive lines at a hashed place: the only
+bounded sample; counts and decisions cover every line of every document. A line starts with its document's
 label; lines of rejected documents that the fitted field sees as content are
 relabelled and the field is fitted again.
 
 Edge cases: null or blank text has no line, no word, fails the base rules and
 is not kept. Rows with a null doc_id or a repeated one are judged like any
-other row; every input row gives one output row. Without labelled documents of
-both classes the base rules alone decide (content_share is 1).
+other row; every input row gives one output row, and an empty table none. Very long
+texts are read wholly. Other columns than doc_id and text are not read and pass the
+pipeline stage. Of rows that repeat a labelled doc_id the least features of each
+line are learned from. Without labelled documents of both classes the base rules
+alone decide (content_share is 1).
 """
 
 from __future__ import annotations
@@ -204,7 +207,10 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             begin, length, _ = _sequences(doc)
             line = np.arange(len(doc)) - np.repeat(begin, length)
-            use = line < FIT_LINES
+            # FIT_LINES lines from a place that the document's id decides
+            spare = np.maximum(length - FIT_LINES, 0) + 1
+            place = (mix(ids[i:j][doc[begin]].astype(np.int64).view(U64)) % spare.astype(U64)).astype(np.int64)
+            use = (line >= np.repeat(place, length)) & (line < np.repeat(place + FIT_LINES, length))
             yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc[use]]), pa.array(line[use]), pa.array(quality[i:j][doc[use]].astype(np.int32)), pa.array(list(x[use]), pa.list_(pa.float64()))], names=["doc_id", "line", "quality", "x"])
 
 
@@ -214,10 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> L
     chosen = [marked.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents) for q in (0, 1)]
     chosen = chosen[0].union(chosen[1])  # at most 2 * documents rows of two integers
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = sample.mapInArrow(_fit_rows, "doc_id long, line long, quality int, x array<double>").toPandas()
+    rows = sample.mapInArrow(_fit_rows, "doc_id long, line long, quality int, x array<double>")
+    got = rows.groupBy("doc_id", "line").agg(F.min(F.struct("quality", "x")).alias("s")).select("doc_id", "line", "s.*").toPandas()  # FIT_LINES rows a document
     if got.quality.nunique() < 2:
         return None
-    got = got.drop_duplicates(["doc_id", "line"]).sort_values(["doc_id", "line"])
+    got = got.sort_values(["doc_id", "line"])
     x, doc, given = np.stack(got.x.to_numpy()), got.doc_id.to_numpy(), got.quality.to_numpy()
     y = given.copy()
     field = fit_field(x, doc, y)

@@ -18,7 +18,8 @@ power-of-two length, which need no padding.
 
 Edge cases: a null or empty text is a document of the end id alone. Rows with a
 null or repeated doc_id are documents of their own and are packed like others.
-An empty table gives no piece.
+Very long texts are encoded wholly and cut into many pieces. Other columns than
+doc_id and text are not read. An empty table gives no piece.
 """
 
 from __future__ import annotations
