@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Stages are joined by Parquet tables in the
 shared folder, so that a lost executor costs no more than its own stage's work.
+
+Edge cases: an empty table passes all stages and gives no piece. Nulls, repeated
+rows and very long texts are handled as each stage's module says; extra columns
+pass all stages but the last, which returns those of packing.
 """
 
 from __future__ import annotations
