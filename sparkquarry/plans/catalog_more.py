@@ -17,8 +17,7 @@ from .catalog import NORMED, SCORED, query, r6, rounded, scored_events
 
 @query("file_scan", "select unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' as name, '.parquet' as suffix")
 def file_scan(spark, d):
-    found = files.raw_files(spark, d, [".parquet"]).select(F.regexp_extract("path", r"([^/]+\.parquet)", 1).alias("name"))
-    return found.filter(F.col("name").isin([f"{t}.parquet" for t in files.TABLES])).select("name", files.suffix_of(F.col("name")).alias("suffix"))
+    return files.entries(spark, d, [".parquet"]).filter(F.col("name").isin([f"{t}.parquet" for t in files.TABLES])).select("name", files.suffix_of(F.col("name")).alias("suffix"))
 
 
 @query("magic_prefix", "select doc_id, coalesce(left(text, 2) = 'Th', false) as found from documents")

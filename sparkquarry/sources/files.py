@@ -24,6 +24,20 @@ def raw_files(spark: SparkSession, folder: str, suffixes: list[str] | None = Non
     return df.filter(suffix_of(F.col("path")).isin([s.lower() for s in suffixes])).select("path", "length", "content") if suffixes else df.select("path", "length", "content")
 
 
+def entries(spark: SparkSession, folder: str, suffixes: list[str] | None = None) -> DataFrame:
+    """(name) of what lies directly below a folder, a row each: files, and subfolders with files at any depth.
+
+    A table that was written as a folder of part files is one entry, whatever its parts
+    are called; suffixes filter by the entry's own name. Hidden and empty files do not
+    count, as in every Spark reader. No content is read.
+    """
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().getPath().rstrip("/")
+    path = F.regexp_replace("path", r"^[^:/]+:(//[^/]*)?", "")  # without scheme and authority, as the root is
+    names = raw_files(spark, folder).select(F.regexp_extract(F.substr(path, F.lit(len(root) + 2)), r"^[^/]+", 0).alias("name"))
+    return (names.filter(suffix_of(F.col("name")).isin([s.lower() for s in suffixes])) if suffixes else names).distinct()
+
+
 def suffix_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 

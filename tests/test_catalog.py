@@ -38,3 +38,17 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("folder", ["run", "run.parquet"])
+def test_file_scan_counts_a_folder_of_parts_once(spark, duck, tmp_path, folder):
+    root = tmp_path / folder
+    for i, t in enumerate(TABLES):
+        parts = [f"{t}.parquet"] if i % 3 == 0 else [f"{t}.parquet/part-{k}{'.parquet' * (i % 3 == 1)}" for k in range(3)]
+        for name in [*parts, f"old/{t}.parquet"]:
+            (root / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / name).write_bytes(b"x")
+    (root / "other.parquet").write_bytes(b"x")
+    for path in (str(root), f"file://{root}/"):
+        got = catalog.QUERIES["file_scan"](spark, path).select("name", "suffix").collect()
+        assert sorted(map(tuple, got)) == sorted(duck.sql(catalog.ORACLES["file_scan"]).fetchall())

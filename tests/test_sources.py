@@ -19,6 +19,16 @@ def test_raw_files(spark, tmp_path):
     assert sorted(r.copies for r in one.collect()) == [1, 2]
 
 
+def test_entries(spark, tmp_path):
+    root = tmp_path / "run.parquet" / "é data"
+    for name in ("a.parquet", "b.parquet/part-0.parquet", "b.parquet/part-1.parquet", "c.PARQUET/k=1/part-0.parquet", "c.PARQUET/k=2/0", "d.txt", "sub/a.parquet", "e.parquet/_SUCCESS", "_f.parquet"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x")
+    for folder in (f"file://{root}", f"{root}/", str(root)):
+        assert sorted(r.name for r in files.entries(spark, folder, [".parquet"]).collect()) == ["a.parquet", "b.parquet", "c.PARQUET"]
+    assert sorted(r.name for r in files.entries(spark, f"file://{root}").collect()) == ["a.parquet", "b.parquet", "c.PARQUET", "d.txt", "sub"]
+
+
 def test_fit_csv(spark, tmp_path):
     p = tmp_path / "x.csv"
     p.write_text("a,b,c\n1, 2 ,3\n4,bad,6\n7,8\n")
